@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from veilgraph.llm.content_store import op10_content_store
+from veilgraph.llm.knn import OP2_SQL, op2_voronoi_knn
+from veilgraph.llm.packing import op7_bm25_packing
+from veilgraph.llm.sharding import op1_shard_packing
 from veilgraph.llm.token_counts import op6_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_token_counts,)}
+    return {f.__name__: f for f in (op1_shard_packing, op2_voronoi_knn, op6_token_counts, op7_bm25_packing, op10_content_store)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_voronoi_knn": OP2_SQL}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.llm.common import arrow_map, batch_of, bytes_of, per_task, table, texts_of
-from veilgraph.llm.tokens import SegmentEncoder
+from veilgraph.llm.tokens import encoder_for
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -22,7 +22,7 @@ def token_counts(docs: DataFrame, vocab: str = "byte_bpe_50k.json", doc_id: str
 
     @per_task
     def task():
-        encoder = SegmentEncoder(vocab, lengths_only=True)
+        encoder = encoder_for(vocab, lengths_only=True)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(batch)

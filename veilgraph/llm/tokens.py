@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import filterfalse
+
+import numpy as np
 
 #: White space as the vocabularies' own patterns take it; single spaces lead the next word.
 _WS = r"\x09-\x0d \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -17,7 +20,11 @@ _SEGMENT = re.compile(
     rf"|[{_WS}]+"
 )
 _SAFE = re.compile(rf"(?<=[^{_WS}]) (?=[^{_WS}])")
+_LATIN = re.compile(rf"[{_LETTERS}]+").fullmatch
 PART_CHARS = 1 << 20
+#: White space other than the space and the line end, in ASCII and beyond; \x1c-\x1f are none for the vocabularies but split() takes them so.
+_OTHER_LATIN = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_OTHER = _OTHER_LATIN + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def vocabulary(name: str) -> str:
@@ -42,53 +49,118 @@ def safe_parts(text: str, limit: int = PART_CHARS):
 class SegmentEncoder:
     """Exact ids of whole texts, for byte-level BPE vocabularies that never merge across the segments cut here.
 
-    Segments not met before go to the library in one batch call; at most `keep` are remembered.
+    Texts whose white space is single spaces and line ends split at these; others by the pattern above. Segments not
+    met before go to the library together, joined by a separator with an id of its own. About `keep` are remembered:
+    beyond that, those of the current batch.
     """
 
-    def __init__(self, vocab: str, lengths_only: bool = False, keep: int = 400_000, longest: int = 48):
+    def __init__(self, vocab: str, lengths_only: bool = False, keep: int = 700_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._tok = Tokenizer.from_file(vocab if os.path.isabs(vocab) else vocabulary(vocab))
-        self._tok.no_truncation()
-        self._tok.no_padding()
-        self._special = re.compile("(" + "|".join(map(re.escape, sorted((t.content for t in self._tok.get_added_tokens_decoder().values()), key=len, reverse=True))) + ")")
-        self._known: dict[str, object] = {}
+        self._tok = tok = Tokenizer.from_file(vocab if os.path.isabs(vocab) else vocabulary(vocab))
+        tok.no_truncation()
+        tok.no_padding()
+        self._specials = [t.content for t in tok.get_added_tokens_decoder().values()]
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._specials, key=len, reverse=True))) + ")") if self._specials else None
         self._lengths, self._keep, self._longest = lengths_only, keep, longest
+        self._bare: dict = {}  # by segment
+        self._led: dict = {}  # by word, for a space and the word
+        line = tok.encode("\n", add_special_tokens=False).ids
+        self._drops_space = not line
+        self._break = self._value(line)
+        sep, self._not_in = (" 0 ", "0") if self._drops_space else ("\n", "\n")
+        self._marks = {c: self._value(tok.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
+        self._sep, self._sep_id = sep, tok.encode(sep, add_special_tokens=False).ids[0]
+
+    def _value(self, ids):
+        return len(ids) if self._lengths else array("I", ids).tobytes()
 
     def _encoded(self, segments: list[str]):
-        for at in range(0, len(segments), 20_000):
-            for e in self._tok.encode_batch_fast(segments[at : at + 20_000], add_special_tokens=False):
-                yield len(e.ids) if self._lengths else array("I", e.ids).tobytes()
+        """Values of segments, in order."""
+        odd = [k for k, s in enumerate(segments) if len(s) > 200 or self._not_in in s or s.strip(" ").split() != [s.strip(" ")] or any(x in s for x in self._specials)]
+        out = dict(zip(odd, (self._value(e.ids) for e in self._tok.encode_batch_fast([segments[k] for k in odd], add_special_tokens=False)), strict=True))
+        odd_at = set(odd)
+        plain = [k for k in range(len(segments)) if k not in odd_at]
+        for at in range(0, len(plain), 5000):
+            some = plain[at : at + 5000]
+            ids = np.array(self._tok.encode_batch_fast([self._sep.join([segments[k] for k in some]) + self._sep], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self._sep_id)
+            if len(ends) != len(some):
+                raise ValueError("a separator joined with a segment")
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            if self._lengths:
+                out.update(zip(some, (ends - starts).tolist(), strict=True))
+            else:
+                raw = ids.tobytes()
+                out.update(zip(some, (raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
+        return [out[k] for k in range(len(segments))]
+
+    def _regular(self, text: str) -> bool:
+        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            return False
+        return not any(c in text for c in (_OTHER_LATIN if text.isascii() else _OTHER)) and not any(s in text for s in self._specials)
 
     def _segments(self, text: str) -> list[str]:
         """The library takes special strings out first; what is between them is then text of its own."""
-        if self._special.search(text) is None:
+        if self._cut is None or not any(s in text for s in self._specials):
             return _SEGMENT.findall(text)
-        cut = self._special.split(text)
+        cut = self._cut.split(text)
         return [x for k, part in enumerate(cut) for x in ([part] if k % 2 else _SEGMENT.findall(part))]
 
-    def _look_up(self, lists: list[list[str]]) -> dict:
-        wanted = set().union(*lists)
-        new = wanted.difference(self._known)
-        if len(self._known) + len(new) > self._keep:
-            self._known, new = {}, wanted
-        segments = list(new)
-        fresh = dict(zip(segments, self._encoded(segments), strict=True))
-        self._known.update(fresh)
-        table = self._known
-        if len(table) > self._keep:
-            self._known = {}
-        long = [s for s in segments if len(s) > self._longest]
-        if long and table is self._known:
-            self._known = {k: v for k, v in table.items() if len(k) <= self._longest} if len(long) > 10_000 else self._known
+    def _fill(self, table: dict, wanted: list[list[str]], lead: str) -> dict:
+        """The table with all wanted segments in it; it is replaced where it has grown too large.
+
+        A word's last . , ; : ! or ? is a token of its own after a letter, so the word's value follows from its stem's.
+        """
+        new: set[str] = set()
+        for some in wanted:
+            new.update(filterfalse(table.__contains__, some))
+        if len(table) + len(new) > self._keep:
+            now = set().union(*wanted)
+            table = {k: table[k] for k in now if k in table and len(k) <= self._longest}
+            new = now.difference(table)
+        ended = [w for w in new if w[-1:] in self._marks and _LATIN(w[:-1])]
+        fresh = new.difference(ended)
+        fresh.update(filterfalse(table.__contains__, [w[:-1] for w in ended]))
+        fresh = sorted(fresh)
+        table.update(zip(fresh, self._encoded([lead + x for x in fresh]), strict=True))
+        marks = self._marks
+        table.update([(w, table[w[:-1]] + marks[w[-1]]) for w in ended])
         return table
 
     def encode(self, texts: list[str]) -> list:
         """For each text its ids as little-endian unsigned 32-bit bytes, or their number."""
-        parts = [[self._segments(p) for p in safe_parts(t)] for t in texts]
-        table = self._look_up([x for p in parts for x in p])
-        get = table.__getitem__
+        plan, bare, led = [], [], []
+        for text in texts:
+            parts = []
+            for part in safe_parts(text):
+                if self._regular(part):
+                    lines = [line.split(" ") for line in part.split("\n")]
+                    bare.append([x[0] for x in lines])
+                    led += (rest := [x[1:] for x in lines])
+                    parts.append((bare[-1], rest))
+                else:
+                    bare.append(self._segments(part))
+                    parts.append((bare[-1], None))
+            plan.append(parts)
+        self._bare, self._led = self._fill(self._bare, bare, ""), self._fill(self._led, led, " ")
+        first, rest = self._bare.__getitem__, self._led.__getitem__
         if self._lengths:
-            return [sum(sum(map(get, x)) for x in p) for p in parts]
-        return [b"".join(b"".join(map(get, x)) for x in p) for p in parts]
+            one = lambda heads, tails: sum(map(first, heads)) + (sum(sum(map(rest, t)) for t in tails) + self._break * (len(heads) - 1) if tails is not None else 0)
+            return [sum(one(*p) for p in parts) for parts in plan]
+        join = b"".join
+        line = lambda h, t: first(h) + join(map(rest, t))
+        one = lambda heads, tails: join(map(first, heads)) if tails is None else self._break.join(map(line, heads, tails))
+        return [join([one(*p) for p in parts]) for parts in plan]
+
+
+_HELD: dict[tuple[str, bool], SegmentEncoder] = {}
+
+
+def encoder_for(vocab: str, lengths_only: bool = False) -> SegmentEncoder:
+    """This Python worker's encoder: what it remembers serves all tasks that the worker runs."""
+    if (vocab, lengths_only) not in _HELD:
+        _HELD.clear()
+        _HELD[vocab, lengths_only] = SegmentEncoder(vocab, lengths_only)
+    return _HELD[vocab, lengths_only]

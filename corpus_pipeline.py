@@ -1,11 +1,86 @@
-"""The corpus pipeline: language ID, near-duplicates, repeated passages, benchmark leaks, packing."""
+"""The corpus pipeline over `documents`: each stage works on all that the one before it kept, written as Parquet between.
 
-STAGES = []
+language ID -> MinHash near-duplicates -> repeated passages -> benchmark leaks -> packing. All stages but the last
+return the columns of `documents`; the last returns packed pieces. Stages without a DuckDB form are held against
+brute force in tests/llm.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilgraph.llm.common import arrow_map, batch_of, shared_dir, table
+from veilgraph.llm.decontamination import contaminated
+from veilgraph.llm.langid import langid, train_langid
+from veilgraph.llm.near_dedup import near_duplicates
+from veilgraph.llm.packing import bm25_packing
+from veilgraph.llm.suffix_dedup import suffix_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near-duplicates of this stage: word 5-shingles, Jaccard similarity of at least 0.8.
+SIMILARITY_PERCENT = 80
+
+
+def _by_id(rows: DataFrame) -> DataFrame:
+    """One row an id, so that joining decisions back never multiplies documents; null ids drop out (they join nothing)."""
+    return rows.where("doc_id is not null").dropDuplicates(["doc_id"])
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language (`und`: null text or no letter) and sets lang where it was null."""
+    named = langid(docs, train_langid(docs)).select("doc_id", "lang_pred")
+    known = _by_id(named.where("lang_pred <> 'und'"))
+    return docs.join(known, "doc_id").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each component; repeated rows of an id leave one."""
+    kept = _by_id(near_duplicates(docs, percent=SIMILARITY_PERCENT).where("kept").select("doc_id"))
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+_TEXT = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later copies of 100-byte passages out of the texts; a document of which nothing is left goes.
+
+    Bytes of a character that a cut has split go with it. n_chars is counted anew.
+    """
+
+    def text_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch_of(_TEXT, batch.column("doc_id"), [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()])
+
+    cut = _by_id(arrow_map(suffix_dedup(docs).select("doc_id", "kept"), text_of, "doc_id long, text string", column="kept"))
+    left = docs.drop("text", "n_chars").join(cut.where(F.trim("text") != ""), "doc_id")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item within its edit budget."""
+    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
+    return bm25_packing(docs)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("decontaminate", decontaminate), ("pack", pack)]
+#: SQL cannot express the stages that learn, edit texts or tokenize.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
+        docs = spark.read.parquet(f"{where}/{name}")
     return docs

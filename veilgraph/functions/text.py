@@ -76,6 +76,7 @@ def normalized(text: Column) -> Column:
     tokens = F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
     last = lambda s: F.array_join(F.when(s["open"] != "", F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]), " ")
     glued = F.aggregate(tokens, F.struct(F.array().alias("done"), F.lit("").alias("open")).cast(kind), step, last)
+    glued = F.when(text.rlike(f"[{HANGUL}]"), glued).otherwise(F.array_join(tokens, " "))
     glued = F.regexp_replace(glued, rf"(?<=[{HANGUL}])[-_·•‧'\"`~|](?=[{HANGUL}])", "")
     digits = lambda m: F.translate(m, "OolI|", "00111")
     inner = replaced(glued, r"\d[\dOolI|\-\s]{4,}\d", digits)

@@ -14,6 +14,7 @@ from veilgraph.operators import clusters as C
 from veilgraph.operators import datasets as D
 from veilgraph.operators import evaluation as E
 from veilgraph.operators import neighbors as N
+from veilgraph.operators import values as Va
 from veilgraph.operators.judge import judged
 from veilgraph.plans import scan as S
 from veilgraph.session import shared_dir
@@ -257,6 +258,30 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports(judged(scene(spark)))
 
 
+_PAPERS = [
+    ("p1", 0, 0, "현관 비밀번호 9723*"), ("p1", 9, 0, "학생증"), ("p1", 10, 0, "학번 20231234"), ("p1", 30, 0, "운송장번호909266858784"), ("p1", 39, 0, "국민은행"), ("p1", 39, 1, "38159411957851"),
+    ("p2", 0, 0, "성명 김민수"), ("p2", 1, 0, "생년월일 1990.01.02"), ("p2", 2, 0, "처방 조제 내역"), ("p2", 3, 0, "010-1234-5678"),
+]
+
+
+def papers(spark: SparkSession) -> DataFrame:
+    return N.scene_spans(values(spark, _PAPERS, "photo_id string, row int, part int, text string"))
+
+
+@query()
+def value_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, secrets, ID numbers, accounts, tracking numbers, birth dates, and what a name beside a value changes."""
+    return Va.findings(papers(spark))
+
+
+@query()
+def health_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = papers(spark)
+    called = Va.names(spans)
+    births = Va.birth_dates(spans, called, Va.beside_names(spans, called))
+    return Va.health_documents(spans, called.unionByName(births))
+
+
 # ---- geometry on boxes made from events
 
 

@@ -20,6 +20,7 @@ ABOVE_EM = 2.2
 BANK_NAMES = ["국민", "신한", "우리", "하나", "농협", "기업", "카카오뱅크", "카카오", "토스뱅크", "토스", "케이뱅크", "새마을", "새마을금고", "우체국", "수협", "신협", "SC제일", "씨티", "산업", "부산", "대구", "경남", "광주", "전북", "제주", "KB", "NH", "IBK"]
 DATE = r"(?<!\d)(?:19|20)\d{2}\s?[.\-/년]\s?\d{1,2}\s?[.\-/월]\s?\d{1,2}(?:\s?[.일])?(?!\d)|(?<!\d)(?:\d{6}|\d{8})(?!\d)"
 SECRET = r"[A-Za-z0-9!@#$%^&*()_+=.?~\-]{4,24}"
+PERSONAL_VALUES = ["mobile", "landline", "email", "address_road", "address_unit", "rrn", "rrn_unverified", "card", "account", "student_id"]
 PROMOTED = ["mobile", "email", "address_road"]
 
 
@@ -138,6 +139,27 @@ def relabelled(spans: DataFrame, hits: DataFrame) -> DataFrame:
     return out.withColumn("kind", named(F.lit("tracking"), F.lit("account"), F.col("kind"))).withColumn("severity", named(F.lit("review"), F.lit("cover"), F.col("severity"))).withColumn("label", named(F.col("t"), F.col("a"), F.col("label"))).drop("normal", "left_tracking", "near_account", "t", "a")
 
 
+def unlabelled_names(spans: DataFrame, called: DataFrame, hits: DataFrame, mode: str = "context") -> DataFrame:
+    """Spans that look like a name: to cover near a personal value or a card's words; with an honorific for review;
+    without any clue for review in mode `all` only. Nothing in mode `off`, and nothing from text that was not read."""
+    words = V.CONTEXT_DOCUMENT["student"] + V.CONTEXT_DOCUMENT["badge"] + ["신분", "주민등록증", "면허", "명함"]
+    known = [w.replace(" ", "") for w in [*V.CONTEXT_PERSONAL, *V.CONTEXT_PUBLIC, *V.NAME_LABELS, *V.TRACKING_LABELS, *V.ACCOUNT_WORDS, *V.SECRET_LABELS, *V.ID_LABELS, *(w for ws in V.CONTEXT_DOCUMENT.values() for w in ws)]]
+    base = spans.join(called.select(*KEY).distinct(), KEY, "left_anti").withColumn("plain", T.without_hanja(T.normalized(F.col("text")))).withColumn("flat", T.compact(F.col("plain")))
+    polite = F.regexp_extract("plain", r"(?<![가-힣])([가-힣]{3,4})(?:님|씨|께서|에게|선생님|고객님)", 1)
+    base = base.withColumn("alone", T.name_candidate(F.col("flat")) & ~T.label_key(F.col("flat")).isin(known)).withColumn("polite", F.when(T.name_candidate(polite), polite))
+    base = base.where("alone or polite is not null").where(T.certainty(F.col("conf")) != "region")
+    near = nearby(spans).select("photo_id", F.col("i").alias("span_index"), "j")
+    valued = hits.where(F.col("kind").isin(PERSONAL_VALUES) & (F.col("severity") != "info")).select("photo_id", F.col("span_index").alias("j")).distinct()
+    beside_value = near.join(valued, ["photo_id", "j"]).select(*KEY).distinct().withColumn("valued", F.lit(True))
+    worded = spans.select("photo_id", F.col("span_index").alias("j"), first_inside(T.label_key(F.col("text")), words).alias("w")).where("w is not null")
+    beside_word = near.join(worded, ["photo_id", "j"]).groupBy(*KEY).agg(F.min_by("w", "j").alias("word"))
+    out = base.join(beside_value, KEY, "left").join(beside_word, KEY, "left")
+    severity = F.when(F.col("alone"), F.when(F.col("valued") | F.col("word").isNotNull(), "cover").when(F.lit(mode == "all"), "review")).otherwise("review")
+    clue = F.when(~F.col("alone"), "호칭").when(F.col("valued"), "연락처·주소").otherwise(F.col("word"))
+    out = out.withColumn("severity", severity).withColumn("label", clue).withColumn("value", F.when(F.col("alone"), F.col("flat")).otherwise(F.col("polite"))).where(F.col("severity").isNotNull() & F.lit(mode != "off"))
+    return out.select(*KEY, F.lit("name").alias("kind"), F.col("value").alias("evidence_text"), T.certainty(F.col("conf")).alias("certainty"), "severity", "label")
+
+
 def beside_names(spans: DataFrame, found_names: DataFrame) -> DataFrame:
     """(photo_id, span_index): spans within reach of another span's covered name."""
     held = found_names.where("severity = 'cover'").select("photo_id", F.col("span_index").alias("j")).distinct()
@@ -171,13 +193,16 @@ def health_documents(spans: DataFrame, persons: DataFrame) -> DataFrame:
     return several.join(held, ["photo_id", "cluster"], "left_semi")
 
 
-def findings(spans: DataFrame) -> DataFrame:
-    """All text passes in their order: hits, names, secrets, ID numbers, promotion, birth dates."""
-    called = names(spans)
-    beside = beside_names(spans, called)
-    hits = promoted(relabelled(spans, judged(spans)), beside).select(*FOUND)
-    passes = [hits, called, secrets(spans), id_numbers(spans), birth_dates(spans, called, beside)]
-    out = passes[0].withColumn("pass_no", F.lit(0))
+def findings(spans: DataFrame, unlabelled: str = "context") -> DataFrame:
+    """All text passes in their order: hits, labelled names, secrets, ID numbers, unlabelled names, promotion, birth dates."""
+    called, numbers = names(spans), id_numbers(spans)
+    first = relabelled(spans, judged(spans))
+    seen = first.select(*KEY, "kind", "severity").unionByName(numbers.select(*KEY, "kind", "severity"))
+    guessed = unlabelled_names(spans, called, seen, unlabelled)
+    every_name = called.unionByName(guessed)
+    beside = beside_names(spans, every_name)
+    passes = [promoted(first, beside), called, secrets(spans), numbers, guessed, birth_dates(spans, every_name, beside)]
+    out = passes[0].select(*FOUND).withColumn("pass_no", F.lit(0))
     for n, p in enumerate(passes[1:], 1):
         out = out.unionByName(p.select(*FOUND).withColumn("pass_no", F.lit(n)))
     return out

@@ -23,6 +23,8 @@ from veilgraph.llm.near_dedup import mixed
 LENGTH, K = 100, 24
 #: Segments a bucket is meant to hold; a minimizer with more than HOT goes by window hashes instead; met more often than OFTEN in a batch, it is known to repeat.
 BUCKET, HOT, OFTEN = 12_000, 100_000, 8
+#: Bytes of text whose anchors are computed at once: some ten arrays of eight bytes each.
+CHUNK = 1 << 20
 _POS = np.uint64((1 << 30) - 1)
 _ANCHOR = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("run", pa.int64())])
 _SEGMENT = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int64()), ("seg", pa.binary())])
@@ -69,6 +71,35 @@ def anchors(parts: list[bytes], length: int = LENGTH, k: int = K):
     return part, first - base, last - base, h[owner[first]].view(np.int64)
 
 
+def chunks(data: list[bytes], length: int = LENGTH, size: int = CHUNK):
+    """(part, offset, bytes): long texts cut into pieces that overlap so that each window lies in exactly one."""
+    for i, d in enumerate(data):
+        for at in range(0, max(1, len(d) - length + 1), size):
+            yield i, at, d[at : at + size + length - 1]
+
+
+def anchors_of(data: list[bytes], length: int = LENGTH, k: int = K):
+    """anchors() of whole texts in bounded memory; a run that a piece's edge cuts counts as two."""
+    out, held, size = [], [], 0
+
+    def solve():
+        if not held:
+            return
+        part, a, b, h = anchors([x[2] for x in held], length, k)
+        index, base = (np.array([x[j] for x in held], dtype=np.int64) for j in (0, 1))
+        out.append((index[part], a + base[part], b + base[part], h))
+        held.clear()
+
+    for piece in chunks(data, length):
+        held.append(piece)
+        size += len(piece[2])
+        if size >= CHUNK:
+            solve()
+            size = 0
+    solve()
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else anchors([], length, k)
+
+
 def earlier(segments: list[bytes], windows: np.ndarray, position: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each segment, the offsets of its windows (windows[i] of them, first at position rank position[i] + offset)
     whose longest previous factor reaches `length`. Positions order all windows; equal ones are never each other's earlier."""
@@ -124,7 +155,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, bucket: int
     texts = spark.table(name)
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
-        part, a, b, h = anchors(bytes_of(batch.column("text")), length, k)
+        part, a, b, h = anchors_of(bytes_of(batch.column("text")), length, k)
         doc = np.asarray(batch.column("doc_id"))[part]
         _, back, count = np.unique(h, return_inverse=True, return_counts=True)
         known = count[back] > OFTEN
@@ -141,7 +172,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, bucket: int
         for batch in batches:
             for piece in sliced(batch, "text", 4 << 20):
                 data, ids = bytes_of(piece.column("text")), np.asarray(piece.column("doc_id"))
-                part, a, b, h = anchors(data, length, k)
+                part, a, b, h = anchors_of(data, length, k)
                 wanted = piece.column("runs")
                 listed = np.asarray(wanted.flatten())
                 owner = np.repeat(np.arange(len(data)), np.diff(np.asarray(wanted.offsets)))

@@ -27,6 +27,13 @@ def test_marginals_equal_enumeration():
     assert np.allclose(pairs, want_pairs)
 
 
+def test_blocks_give_the_same_marginals():
+    rng = np.random.default_rng(8)
+    lengths = np.array([1, 40, 0, 7, 8, 9, 17, 300])
+    emit, trans, first = 3 * rng.normal(size=(lengths.sum(), 4)), 2 * rng.normal(size=(4, 4)), rng.normal(size=4)
+    assert np.allclose(langid.long_marginals(emit, lengths, trans, first, block=8), langid.marginals(emit, lengths, trans, first))
+
+
 def test_langid_held_out_accuracy(spark):
     out = langid.op8_crf_langid(spark, "/root/testdata/sf0.01").toPandas()
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from veilgraph.llm.common import arrow_map, batch_of, table
 
 #: Hashed weights; sampled documents a language; words of a training sequence's stretch; passes over the sample.
-BITS, SAMPLE, STRETCH, EPOCHS = 16, 400, 24, 4
+BITS, SAMPLE, STRETCH, EPOCHS = 16, 120, 24, 6
+#: Words of a block whose transfer matrix is formed.
+BLOCK = 128
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64())])
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -39,9 +41,9 @@ def features(parts: list[bytes]):
     # the word with its edges marked: zero bytes stand for them, so n-grams at an edge are affixes
     long = stop - start + 2
     base = np.cumsum(long) - long
-    word = np.repeat(np.arange(n), long)
-    inner = np.arange(int(long.sum())) - np.repeat(base, long)
-    at = np.repeat(start, long) + inner - 1
+    word = np.repeat(np.arange(n, dtype=np.int32), long)
+    inner = np.arange(int(long.sum()), dtype=np.int32) - np.repeat(base.astype(np.int32), long)
+    at = np.repeat(start.astype(np.int32), long) + inner - 1
     c = np.where((inner == 0) | (inner == np.repeat(long, long) - 1), 0, buf[np.clip(at, 0, len(buf) - 1)]).astype(np.uint32)
     owners, hashed = [], []
     h = c.copy()
@@ -53,9 +55,9 @@ def features(parts: list[bytes]):
         owners.append(word[: len(h)][inside])
         hashed.append((h[inside] + np.uint32(size)) * _KNUTH)
     powers = np.cumprod(np.full(int(long.max()) if n else 1, 0x01000193, dtype=np.uint32), dtype=np.uint32)
-    owners.append(np.arange(n))
+    owners.append(np.arange(n, dtype=np.int32))
     hashed.append(np.add.reduceat((c + np.uint32(1)) * powers[inner], base, dtype=np.uint32) * _KNUTH ^ np.uint32(0x5BD1E995) if n else np.zeros(0, np.uint32))
-    return part, np.concatenate(owners), (np.concatenate(hashed) >> np.uint32(32 - BITS)).astype(np.int64)
+    return part, np.concatenate(owners), (np.concatenate(hashed) >> np.uint32(32 - BITS)).astype(np.int32)
 
 
 def emissions(weights: np.ndarray, n_words: int, owner: np.ndarray, feature: np.ndarray) -> np.ndarray:
@@ -100,6 +102,54 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, first: n
     return (p, expected) if pairs else p
 
 
+def long_marginals(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, first: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """marginals() for chains of any length, exactly: blocks of words are reduced to transfer matrices side by side,
+    messages pass from block to block, and all blocks are then finished side by side."""
+    if int(lengths.max(initial=0)) <= block:
+        return marginals(emit, lengths, trans, first)
+    k, t = emit.shape[1], np.exp(trans)
+    e = np.exp(emit - emit.max(1, keepdims=True))
+    count = -(-lengths // block)
+    chain = np.repeat(np.arange(len(lengths)), count)
+    index = np.arange(len(chain)) - np.repeat(np.cumsum(count) - count, count)
+    begin = np.repeat(np.cumsum(lengths) - lengths, count) + index * block
+    size = np.minimum(block, lengths[chain] - index * block)
+    order = np.argsort(-size, kind="stable")
+    chain, index, begin, size = chain[order], index[order], begin[order], size[order]
+    live = np.searchsorted(-size, -np.arange(1, block + 1), side="right").tolist()
+    through = np.broadcast_to(np.eye(k), (len(size), k, k)).copy()
+    for step, n in enumerate(live):
+        a = (through[:n] @ t if step else through[:n]) * e[begin[:n] + step][:, None, :]
+        through[:n] = a / a.sum((1, 2), keepdims=True)
+    # messages into each block, from the left and from the right; blocks of all chains move together
+    left, right = np.tile(np.exp(first), (len(size), 1)), np.ones((len(size), k))
+    at = {(c, i): b for b, (c, i) in enumerate(zip(chain.tolist(), index.tolist(), strict=True))}
+    rounds = [[(at[c, i], at[c, i + 1]) for c in np.flatnonzero(count > i + 1).tolist()] for i in range(int(count.max()) - 1)]
+    for pairs in rounds:
+        x, y = np.array(pairs).T
+        u = (left[x][:, None, :] @ through[x] @ t)[:, 0]
+        left[y] = u / u.sum(1, keepdims=True)
+    for pairs in reversed(rounds):
+        x, y = np.array(pairs).T
+        r = (t @ through[y] @ right[y][:, :, None])[:, :, 0]
+        right[x] = r / r.sum(1, keepdims=True)
+    alpha, p = np.zeros_like(e), np.zeros_like(e)
+    u = left
+    for step, n in enumerate(live):
+        a = u[:n] * e[begin[:n] + step]
+        a /= a.sum(1, keepdims=True)
+        alpha[begin[:n] + step] = a
+        u = a @ t
+    b = right.copy()
+    for step in range(block - 1, -1, -1):
+        n = live[step]
+        here = begin[:n] + step
+        p[here] = alpha[here] * b[:n]
+        r = (e[here] * b[:n]) @ t.T
+        b[:n] = r / r.sum(1, keepdims=True)
+    return p / np.maximum(p.sum(1, keepdims=True), 1e-300)
+
+
 class Model:
     """labels, weights (label, feature), trans (label, label), first (label)."""
 
@@ -110,7 +160,7 @@ class Model:
         """(label, score, words) of each text. `und` with score 0 where a text is null or has no letter."""
         part, owner, feature = features([t or b"" for t in texts])
         lengths = np.bincount(part, minlength=len(texts))
-        p = marginals(emissions(self.weights, len(part), owner, feature), lengths, self.trans, self.first) if len(part) else np.zeros((0, len(self.labels)))
+        p = long_marginals(emissions(self.weights, len(part), owner, feature), lengths, self.trans, self.first) if len(part) else np.zeros((0, len(self.labels)))
         total = np.stack([np.bincount(part, weights=p[:, i], minlength=len(texts)) for i in range(len(self.labels))], axis=1)
         out = []
         for text, n, row in zip(texts, lengths.tolist(), total, strict=True):
@@ -205,7 +255,7 @@ def langid(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
         return batch_of(_OUT, batch.column("doc_id"), *zip(*sent.value.predict(texts), strict=True))
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return arrow_map(picked, step, "doc_id long, lang_pred string, score double, n_words long", limit=4 << 20)
+    return arrow_map(picked, step, "doc_id long, lang_pred string, score double, n_words long", limit=1 << 20)
 
 
 def op8_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@ import random
 
 from pyspark.sql import functions as F
 
-from veilgraph import queries as Q
 from veilgraph.functions import geometry as G
 from veilgraph.operators import clusters as C
 from veilgraph.operators import evaluation as E
@@ -44,24 +43,22 @@ def test_clusters_equal_union_find(spark):
     assert got == {i: order.index(r) for i, r in enumerate(root)}
 
 
-def severities(spark, rows):
-    parts = spark.createDataFrame([("s", r, p, t) for r, p, t in rows], "photo_id string, row int, part int, text string")
-    return {(r.span_index, r.kind): r.severity for r in judged(N.scene_spans(parts)).collect()}
+SCENES = {
+    "labels": [(0, 0, "연락처"), (0, 1, "010-1234-5678"), (9, 0, "고객센터"), (9, 1, "02-345-6789"), (18, 0, "010-1111-2222")],
+    "reach": [(0, 0, "010-1234-5678"), (2, 0, "성명 적는 칸입니다"), (20, 0, "02-345-6789"), (22, 0, "매장 안내입니다")],
+    "prefix": [(0, 0, "받는분 010-1234-5678"), (20, 0, "help@a.co"), (40, 0, "고객센터 4111111111111111"), (60, 0, "1588-1234")],
+}
 
 
-def test_label_on_the_line_decides(spark):
-    got = severities(spark, [(0, 0, "연락처"), (0, 1, "010-1234-5678"), (9, 0, "고객센터"), (9, 1, "02-345-6789"), (18, 0, "010-1111-2222")])
-    assert got == {(1, "mobile"): "cover", (3, "landline"): "info", (4, "mobile"): "review"}
-
-
-def test_words_within_reach(spark):
-    got = severities(spark, [(0, 0, "010-1234-5678"), (2, 0, "성명 적는 칸입니다"), (20, 0, "02-345-6789"), (22, 0, "매장 안내입니다")])
-    assert got == {(0, "mobile"): "cover", (2, "landline"): "info"}
-
-
-def test_prefix_label_mailbox_and_fixed_kinds(spark):
-    got = severities(spark, [(0, 0, "받는분 010-1234-5678"), (20, 0, "help@a.co"), (40, 0, "고객센터 4111111111111111"), (60, 0, "1588-1234")])
-    assert got == {(0, "mobile"): "cover", (1, "email"): "info", (2, "card"): "cover", (3, "service_line"): "info"}
+def test_labels_words_prefixes_and_fixed_kinds(spark):
+    rows = [(p, r, k, t) for p, parts in SCENES.items() for r, k, t in parts]
+    spans = N.scene_spans(spark.createDataFrame(rows, "photo_id string, row int, part int, text string"))
+    got = {(r.photo_id, r.span_index, r.kind): r.severity for r in judged(spans).collect()}
+    assert got == {
+        ("labels", 1, "mobile"): "cover", ("labels", 3, "landline"): "info", ("labels", 4, "mobile"): "review",
+        ("reach", 0, "mobile"): "cover", ("reach", 2, "landline"): "info",
+        ("prefix", 0, "mobile"): "cover", ("prefix", 1, "email"): "info", ("prefix", 2, "card"): "cover", ("prefix", 3, "service_line"): "info",
+    }
 
 
 def test_unread_text_is_not_told(spark):
@@ -71,9 +68,10 @@ def test_unread_text_is_not_told(spark):
 
 
 def test_order_of_rows_does_not_matter(spark):
-    spans = Q.scene(spark)
-    once = sorted(map(str, judged(spans).collect()))
-    assert once == sorted(map(str, judged(spans.orderBy(F.rand(3)).repartition(5)).collect()))
+    spans = spark.createDataFrame(page(6), SPAN)
+    shuffled = spans.orderBy(F.rand(3)).repartition(5)
+    for f in (N.nearby, N.left_neighbors, N.line_above):
+        assert sorted(map(str, f(spans).collect())) == sorted(map(str, f(shuffled).collect()))
 
 
 def plain_iou(a, b):

@@ -151,7 +151,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, bucket: int
     firsts = written(copies.select(F.col("first").alias("doc_id")).distinct(), "firsts").withColumn("first", F.lit(True))
     # the texts, bucketed by id once: both later joins then move only their small side
     name = f"suffix_texts_{uuid.uuid4().hex}"
-    picked.join(firsts, "doc_id", "left").write.bucketBy(parts, "doc_id").saveAsTable(name)
+    # (a merge join at every size: `firsts` grows with the input, so it is never broadcast)
+    picked.join(firsts.hint("merge"), "doc_id", "left").write.bucketBy(parts, "doc_id").saveAsTable(name)
     texts = spark.table(name)
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -182,7 +183,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, bucket: int
                 segs = [data[p][x : y + length] for p, x, y in zip(part.tolist(), a.tolist(), b.tolist(), strict=True)]
                 yield batch_of(_SEGMENT, h, ids[part], a, segs)
 
-    segments = written(texts.where("first").join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(cut, _SEGMENTS), "segments")
+    segments = written(texts.where("first").join(runs.hint("merge"), "doc_id").select("doc_id", "text", "runs").mapInArrow(cut, _SEGMENTS), "segments")
     total = segments.count()
     many = written(segments.groupBy("h").count().where(F.col("count") > hot).select("h"), "hot")
 
@@ -228,7 +229,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, bucket: int
             out.append((doc, len(data), [{"start": s, "stop": e} for s, e in spans], b"".join(kept) + data[at:]))
         return batch_of(_KEPT, *zip(*out, strict=True))
 
-    return arrow_map(texts.join(by_doc, "doc_id", "left").select("doc_id", "text", "first", "runs"), finish, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+    return arrow_map(texts.join(by_doc.hint("merge"), "doc_id", "left").select("doc_id", "text", "first", "runs"), finish, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
 
 
 def _hot_runs(segments: DataFrame, length: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -71,6 +72,9 @@ class SegmentEncoder:
         self._break = self._value(line)
         sep, self._not_in = (" 0 ", "0") if self._drops_space else ("\n", "\n")
         self._marks = {c: self._value(tok.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
+        # may stand beside a separator: no white space but one leading space, no separator, no start of a special string
+        starts = "".join({re.escape(x[0]) for x in self._specials})
+        self._plain = re.compile(rf" ?[^{_WS}\x1c-\x1f{self._not_in}{starts}]{{1,200}}")
         self._sep, self._sep_id = sep, tok.encode(sep, add_special_tokens=False).ids[0]
 
     def _value(self, ids):
@@ -78,7 +82,8 @@ class SegmentEncoder:
 
     def _encoded(self, segments: list[str]):
         """Values of segments, in order."""
-        odd = [k for k, s in enumerate(segments) if len(s) > 200 or self._not_in in s or s.strip(" ").split() != [s.strip(" ")] or any(x in s for x in self._specials)]
+        plain_form = self._plain.fullmatch
+        odd = [k for k, s in enumerate(segments) if plain_form(s) is None]
         out = dict(zip(odd, (self._value(e.ids) for e in self._tok.encode_batch_fast([segments[k] for k in odd], add_special_tokens=False)), strict=True))
         odd_at = set(odd)
         plain = [k for k in range(len(segments)) if k not in odd_at]
@@ -123,7 +128,7 @@ class SegmentEncoder:
         ended = [w for w in new if w[-1:] in self._marks and _LATIN(w[:-1])]
         fresh = new.difference(ended)
         fresh.update(filterfalse(table.__contains__, [w[:-1] for w in ended]))
-        fresh = sorted(fresh)
+        fresh = list(fresh)
         table.update(zip(fresh, self._encoded([lead + x for x in fresh]), strict=True))
         marks = self._marks
         table.update([(w, table[w[:-1]] + marks[w[-1]]) for w in ended])
@@ -131,28 +136,50 @@ class SegmentEncoder:
 
     def encode(self, texts: list[str]) -> list:
         """For each text its ids as little-endian unsigned 32-bit bytes, or their number."""
+        collecting = gc.isenabled()
+        gc.disable()  # many short-lived lists, no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list:
         plan, bare, led = [], [], []
         for text in texts:
             parts = []
             for part in safe_parts(text):
                 if self._regular(part):
-                    lines = [line.split(" ") for line in part.split("\n")]
-                    bare.append([x[0] for x in lines])
-                    led += (rest := [x[1:] for x in lines])
-                    parts.append((bare[-1], rest))
+                    # words after a single space, in order; first words of lines and what has no space before it, apart
+                    lines = part.split("\n")
+                    words = [line.split(" ") for line in lines]
+                    heads = [x[0] for x in words]
+                    led += words
+                    bare.append(heads)
+                    parts.append((heads, words))
                 else:
                     bare.append(self._segments(part))
                     parts.append((bare[-1], None))
             plan.append(parts)
-        self._bare, self._led = self._fill(self._bare, bare, ""), self._fill(self._led, led, " ")
-        first, rest = self._bare.__getitem__, self._led.__getitem__
-        if self._lengths:
-            one = lambda heads, tails: sum(map(first, heads)) + (sum(sum(map(rest, t)) for t in tails) + self._break * (len(heads) - 1) if tails is not None else 0)
-            return [sum(one(*p) for p in parts) for parts in plan]
-        join = b"".join
-        line = lambda h, t: first(h) + join(map(rest, t))
-        one = lambda heads, tails: join(map(first, heads)) if tails is None else self._break.join(map(line, heads, tails))
-        return [join([one(*p) for p in parts]) for parts in plan]
+        self._bare = self._fill(self._bare, bare, "")
+        tails = [w[1:] for w in led]
+        self._led = self._fill(self._led, tails, " ")
+        first, rest, at = self._bare.__getitem__, self._led.__getitem__, iter(tails)
+        join, out = b"".join, []
+        for parts in plan:
+            values = []
+            for heads, words in parts:
+                if self._lengths:
+                    n = sum(map(first, heads))
+                    if words is not None:
+                        n += sum(sum(map(rest, next(at))) for _ in words) + self._break * (len(heads) - 1)
+                    values.append(n)
+                elif words is None:
+                    values.append(join(map(first, heads)))
+                else:
+                    values.append(self._break.join([first(h) + join(map(rest, next(at))) for h in heads]))
+            out.append(sum(values) if self._lengths else join(values))
+        return out
 
 
 _HELD: dict[tuple[str, bool], SegmentEncoder] = {}

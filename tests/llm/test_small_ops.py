@@ -156,7 +156,7 @@ def test_crc_joined_and_cuts():
         assert content_store.crc_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
     for n in (0, 1, 127, 128, 129, 5000, 60_000):
         for ids in (rng.integers(0, 50_000, n, dtype=np.uint32), np.zeros(n, dtype=np.uint32)):
-            ends = content_store.cuts(ids)
+            ends = content_store.cuts(n, content_store.marks(ids).tolist())
             assert ends[-1] == n and ends == sorted(set(ends)) and max(np.diff([0, *ends])) <= content_store.MOST
 
 

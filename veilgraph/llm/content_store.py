@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,22 +43,29 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: where the hash of the last WINDOW ids has MEAN_BITS zero bits, within LEAST and MOST ids."""
-    n, ends, last = len(ids), [], 0
-    if n > LEAST:
-        x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        h = np.zeros(n - WINDOW + 1, dtype=np.uint64)
-        for k, f in enumerate(_FACTORS):
-            h += x[k : n - WINDOW + 1 + k] * f
-        for end in (np.flatnonzero((h >> np.uint64(64 - MEAN_BITS)) == 0) + WINDOW).tolist():
-            while end - last > MOST:
-                last += MOST
-                ends.append(last)
-            if end - last >= LEAST:
-                ends.append(end)
-                last = end
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Ends where a chunk may end: the hash of the last WINDOW ids has MEAN_BITS zero bits at its top."""
+    n = len(ids)
+    if n < WINDOW:
+        return np.zeros(0, dtype=np.int64)
+    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    h = np.zeros(n - WINDOW + 1, dtype=np.uint64)
+    for k, f in enumerate(_FACTORS):
+        h += x[k : n - WINDOW + 1 + k] * f
+    return np.flatnonzero((h >> np.uint64(64 - MEAN_BITS)) == 0) + WINDOW
+
+
+def cuts(n: int, may: list[int]) -> list[int]:
+    """Ends of the chunks of a stream of n ids: at marks, within LEAST and MOST ids (the last chunk may be shorter)."""
+    ends, last = [], 0
+    for end in may:
+        while end - last > MOST:
+            last += MOST
+            ends.append(last)
+        if end - last >= LEAST:
+            ends.append(end)
+            last = end
     while n - last > MOST:
         last += MOST
         ends.append(last)
@@ -111,17 +119,26 @@ def write_store(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", en
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows: list[tuple] = []
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch)), strict=True):
-                ids = np.frombuffer(raw + end_id.to_bytes(4, "little"), dtype="<u4")
-                small, names, first = ids.astype(width), [], 0
-                for end in cuts(ids):
-                    payload = small[first:end].tobytes()
-                    names.append(digest(payload))
-                    if names[-1] not in sent:
-                        sent.add(names[-1])
-                        rows.append((0, names[-1], None, end - first, payload, None))
-                    first = end
-                rows.append((1, digest(str(doc).encode()), doc, len(ids), b"".join(names), merkle(names)))
+            end = end_id.to_bytes(4, "little")
+            raws = [x + end for x in encoder.encode(texts_of(batch))]
+            # one pass of the rolling hash over all streams; marks whose window starts in another document don't count
+            ids = np.frombuffer(b"".join(raws), dtype="<u4")
+            size = np.array([len(x) // 4 for x in raws])
+            base = np.cumsum(size) - size
+            may = marks(ids)
+            split = np.searchsorted(may, np.column_stack((base + WINDOW, base + size + 1))).tolist()
+            flat, wide, may = ids.astype(width).tobytes(), np.dtype(width).itemsize, may.tolist()
+            for doc, at, n, (lo, hi) in zip(batch.column("doc_id").to_pylist(), base.tolist(), size.tolist(), split, strict=True):
+                names, first = [], 0
+                for stop in cuts(n, [x - at for x in may[lo:hi]]):
+                    payload = flat[(at + first) * wide : (at + stop) * wide]
+                    name = digest(payload)
+                    names.append(name)
+                    if name not in sent:
+                        sent.add(name)
+                        rows.append((0, name, None, stop - first, payload, None))
+                    first = stop
+                rows.append((1, digest(str(doc).encode()), doc, n, b"".join(names), merkle(names)))
             if len(sent) > 200_000:
                 sent.clear()
             return batch_of(_PIECE, *zip(*rows, strict=True))
@@ -130,12 +147,15 @@ def write_store(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", en
 
     def once(batches):
         last = None
-        for batch in batches:
-            keep = []
-            for kind, key in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), strict=True):
-                keep.append(kind == 1 or key != last)
-                last = key if kind == 0 else None
-            yield batch.filter(pa.array(keep, type=pa.bool_()))
+        for batch in batches:  # sorted: copies of a chunk follow one another
+            key, kind = batch.column("key"), np.asarray(batch.column("kind"))
+            keep = kind == 1
+            if len(keep):
+                same = np.asarray(pc.equal(key[1:], key[:-1]).fill_null(False).to_numpy(zero_copy_only=False))
+                keep[1:] |= ~same
+                keep[0] |= key[0].as_py() != last
+                last = key[-1].as_py() if kind[-1] == 0 else None
+                yield batch.filter(pa.array(keep))
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = arrow_map(picked, task, _KIND)

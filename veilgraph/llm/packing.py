@@ -7,6 +7,8 @@ Its statistics (document frequencies, mean length) are its own, as in any sharde
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,10 @@ class Bm25:
     """Inverted index of one shard over lower-cased words."""
 
     def __init__(self, texts: list[str]):
-        names: dict[str, int] = {}
-        put, words, owner, length = names.setdefault, [], [], []
+        names: defaultdict[str, int] = defaultdict(count().__next__)
+        words, length = [], []
         for text in texts:
-            t = np.fromiter([put(w, len(names)) for w in text.lower().split()], dtype=np.int64)
+            t = np.array(list(map(names.__getitem__, text.lower().split())), dtype=np.int64)
             length.append(len(t))
             words.append(t)
         owner = np.repeat(np.arange(len(texts)), length)
@@ -44,7 +46,9 @@ class Bm25:
         self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc]) if len(term) else np.zeros(0)
         # each document's terms, strongest first; words of one document only find nobody
         use = np.flatnonzero(df[term] > 1) if len(term) else np.zeros(0, np.int64)
-        order = use[np.lexsort((term[use], -self.weight[use], self.doc[use]))]
+        # (the sort is stable, and what comes in is in order of terms: ties go to the word met first)
+        top = float(self.weight.max(initial=0.0)) + 1.0
+        order = use[np.argsort(self.doc[use] - self.weight[use] / top, kind="stable")]
         at = np.searchsorted(self.doc[order], np.arange(len(texts) + 1))
         self._best = [term[order[a : min(b, a + QUERY_TERMS)]] for a, b in zip(at[:-1], at[1:], strict=True)]
         self._score = np.zeros(len(texts))

@@ -146,6 +146,13 @@ def test_neighbours_share_rare_words():
     assert list(packing.reading_order(texts, [3] * 5, window=100)) == [0, 2, 1, 3, 4]
 
 
+def test_seed_asks_with_all_its_words():
+    rare, common = [f"rare{k}" for k in range(10)], [f"word{k}" for k in range(60)]
+    texts = [" ".join(rare + common)] + [f"{r} " + " ".join(f"own{k}x{j}" for j in range(40)) for k, r in enumerate(rare)]
+    texts += [" ".join(common), " ".join(common + [f"more{j}" for j in range(400)])]
+    assert list(packing.reading_order(texts, [3] * len(texts), window=1000))[:2] == [0, 11]
+
+
 # ---- operator 10
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from veilgraph.llm.common import batch_of, sliced, table, texts_of
 from veilgraph.llm.tokens import encoder_for
 
-WINDOW_TOKENS, BLOCK_BYTES, QUERY_TERMS, K1, B = 4096, 12 << 20, 8, 1.2, 0.75
+WINDOW_TOKENS, BLOCK_BYTES, K1, B = 4096, 12 << 20, 1.2, 0.75
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -50,12 +50,12 @@ class Bm25:
         top = float(self.weight.max(initial=0.0)) + 1.0
         order = use[np.argsort(self.doc[use] - self.weight[use] / top, kind="stable")]
         at = np.searchsorted(self.doc[order], np.arange(len(texts) + 1))
-        self._best = [term[order[a : min(b, a + QUERY_TERMS)]] for a, b in zip(at[:-1], at[1:], strict=True)]
+        self._terms = [term[order[a:b]] for a, b in zip(at[:-1], at[1:], strict=True)]
         self._score = np.zeros(len(texts))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share the seed's strongest terms, by (score desc, index)."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self._best[seed]]
+        """Unused documents that share a term with the seed, by (score of all its terms desc, index)."""
+        spans = [slice(self.first[t], self.first[t + 1]) for t in self._terms[seed]]
         for s in spans:
             self._score[self.doc[s]] += self.weight[s]
         found = np.unique(np.concatenate([self.doc[s] for s in spans])) if spans else np.zeros(0, np.int64)

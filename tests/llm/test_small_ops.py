@@ -153,6 +153,35 @@ def test_seed_asks_with_all_its_words():
     assert list(packing.reading_order(texts, [3] * len(texts), window=1000))[:2] == [0, 11]
 
 
+def best_by_bm25(texts, seed):
+    """Brute force over all documents and all words of the seed."""
+    words = [x.split() for x in texts]
+    mean = sum(map(len, words)) / len(words)
+    score = []
+    for d, have in enumerate(words):
+        total = 0.0
+        for t in set(words[seed]):
+            df, tf = sum(t in w for w in words), have.count(t)
+            total += np.log1p((len(words) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(have) / mean))
+        score.append(-1.0 if d == seed else total)
+    return int(np.argmax(score))
+
+
+def test_packing_looks_in_all_shards_whatever_the_layout(spark):
+    draw = random.Random(8)
+    topics = [[f"t{k}w{j}" for j in range(30)] for k in range(12)]
+    texts = [" ".join(draw.choices(topics[i % 12], k=20) + draw.choices([f"all{j}" for j in range(50)], k=20)) for i in range(24)]
+    rows, got = list(enumerate(texts)), []
+    for parts, block, here in ((1, 1 << 20, 1 << 20), (4, 600, 1 << 20), (3, 500, 0)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").sort("doc_id").coalesce(1) if parts == 1 else spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        pieces = packing.bm25_packing(docs, window=4096, block=block, here=here).collect()
+        assert packed_right(rows, pieces, 4096) == 0
+        got.append(sorted((p.sequence_id, p.offset, p.doc_id, p.start, p.length, p.ids_crc32) for p in pieces))
+    assert got[0] == got[1] == got[2]
+    first, second = list(dict.fromkeys(p[2] for p in got[0]))[:2]
+    assert second == best_by_bm25(texts, first)
+
+
 # ---- operator 10
 
 

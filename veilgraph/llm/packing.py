@@ -1,123 +1,165 @@
 """Operator 7, packing: a sharded BM25 index hands each seed document its unused neighbours, which fill its window.
 
-A shard is a run of about BLOCK_BYTES of text within a scan partition: nothing is shuffled and memory is bounded.
-Its statistics (document frequencies, mean length) are its own, as in any sharded index; every document is in one.
+Statistics (number of documents, document frequencies, mean length) are those of all documents. A shard holds the
+postings of a run of about BLOCK_BYTES of text; each seed asks every shard with all its words, and the shards' top lists
+are merged. Windows grow in rounds: some thousand chains of windows ask at once, the driver hands out documents chain
+by chain, and a seed that others left short asks again. No choice depends on file layout or partitioning: scores are
+whole numbers, and ties go by a hash of id and text, counted from the seed's own.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import defaultdict
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilgraph.llm.common import batch_of, sliced, table, texts_of
+from veilgraph.llm.common import batch_of, shared_dir, sliced, table, texts_of, written
 from veilgraph.llm.tokens import encoder_for
 
 WINDOW_TOKENS, BLOCK_BYTES, K1, B = 4096, 12 << 20, 1.2, 0.75
+#: Chains of windows that grow at the same time, at most, and unused documents for each of them, at least.
+CHAINS, CHAIN_DOCS = 4096, 8
+#: Scores count in units of 1 / UNIT, so that their sums are exact in any order. Scores held at once by a search.
+UNIT, SCORES = 1 << 20, 1 << 21
+_HELD = pa.schema([("shard", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("raw", pa.binary()), ("n", pa.int64()), ("words", pa.int64()), *((c, pa.binary()) for c in ("h", "tokens", "lengths", "terms", "df", "doc", "tf"))])
+HELD = "shard long, row long, doc_id long, raw binary, n long, words long, h binary, tokens binary, lengths binary, terms binary, df binary, doc binary, tf binary"
+_INDEX = pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in ("h", "tokens", "lengths", "terms", "df", "idf", "doc", "tf"))])
+INDEX = "shard long, h binary, tokens binary, lengths binary, terms binary, df binary, idf binary, doc binary, tf binary"
+_FOUND = pa.schema([("seed", pa.int64()), ("score", pa.int64()), ("tie", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("most", pa.int64())])
+_CUT = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Bm25:
-    """Inverted index of one shard over lower-cased words."""
-
-    def __init__(self, texts: list[str]):
-        names: defaultdict[str, int] = defaultdict(count().__next__)
-        words, length = [], []
-        for text in texts:
-            t = np.array(list(map(names.__getitem__, text.lower().split())), dtype=np.int64)
-            length.append(len(t))
-            words.append(t)
-        owner = np.repeat(np.arange(len(texts)), length)
-        flat = np.concatenate(words) if words else np.zeros(0, np.int64)
-        pair, tf = np.unique(flat * max(1, len(texts)) + owner, return_counts=True)
-        term, self.doc = np.divmod(pair, max(1, len(texts)))
-        self.first = np.searchsorted(term, np.arange(len(names) + 1))
-        df = np.diff(self.first)
-        mean = max(1.0, float(np.mean(length)) if length else 1.0)
-        idf = np.log1p((len(texts) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * np.asarray(length, dtype=float) / mean)
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc]) if len(term) else np.zeros(0)
-        # each document's terms, strongest first; words of one document only find nobody
-        use = np.flatnonzero(df[term] > 1) if len(term) else np.zeros(0, np.int64)
-        # (the sort is stable, and what comes in is in order of terms: ties go to the word met first)
-        top = float(self.weight.max(initial=0.0)) + 1.0
-        order = use[np.argsort(self.doc[use] - self.weight[use] / top, kind="stable")]
-        at = np.searchsorted(self.doc[order], np.arange(len(texts) + 1))
-        self._terms = [term[order[a:b]] for a, b in zip(at[:-1], at[1:], strict=True)]
-        self._score = np.zeros(len(texts))
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, by (score of all its terms desc, index)."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self._terms[seed]]
-        for s in spans:
-            self._score[self.doc[s]] += self.weight[s]
-        found = np.unique(np.concatenate([self.doc[s] for s in spans])) if spans else np.zeros(0, np.int64)
-        score = self._score[found]
-        self._score[found] = 0.0
-        free = unused[found]
-        found, score = found[free], score[free]
-        return found[np.argsort(-score, kind="stable")]
+def postings(texts: list[str]) -> dict[str, np.ndarray]:
+    """Of lower-cased words: term hashes in order, how many documents have each, (document, frequency) by term; words a document."""
+    names: defaultdict[str, int] = defaultdict(count().__next__)
+    words = [np.array(list(map(names.__getitem__, x.lower().split())), dtype=np.int64) for x in texts]
+    lengths = np.array([len(x) for x in words], dtype=np.int64)
+    key = np.array([int.from_bytes(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for x in names], dtype=np.uint64)
+    order = np.argsort(key)
+    place = np.empty(len(key), np.int64)
+    place[order] = np.arange(len(key))
+    n = max(1, len(texts))
+    flat = place[np.concatenate(words)] if len(key) else np.zeros(0, np.int64)
+    pair, tf = np.unique(flat * n + np.repeat(np.arange(len(texts)), lengths), return_counts=True)
+    term, doc = np.divmod(pair, n)
+    return {"lengths": lengths, "terms": key[order], "df": np.bincount(term, minlength=len(key)), "doc": doc, "tf": tf}
 
 
-def reading_order(texts: list[str], tokens: list[int], window: int = WINDOW_TOKENS, filled: int = 0):
-    """Document indexes in the order in which they fill windows. `filled`: tokens that already stand in the open window."""
-    index, unused, at, seed = Bm25(texts), np.ones(len(texts), dtype=bool), 0, -1
-    room = window - filled
-    while True:
-        if seed < 0:
-            while at < len(texts) and not unused[at]:
-                at += 1
-            if at == len(texts):
-                return
-            seed = at
-            unused[seed] = False
-            yield seed
-            room -= tokens[seed]
-        if room <= 0:
-            room = window - (-room) % window
-        last = -1
-        for d in index.neighbours(seed, unused).tolist():
-            unused[d] = False
-            yield d
-            room -= tokens[d]
-            if room <= 0:  # the window is full; what is left of d opens the next one and is its seed
-                last = d
-                room = window - (-room) % window
-                break
-        seed = last
+def _packed(x: np.ndarray) -> bytes:
+    """Small whole numbers in as few bytes as hold them all."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def idf_of(df: np.ndarray, total: int) -> np.ndarray:
+    return np.log1p((total - df + 0.5) / (df + 0.5))
+
+
+class Shard:
+    """Postings of some documents under the statistics of all; terms of one document only are left out."""
+
+    def __init__(self, lengths, terms, df, idf, doc, tf, mean: float):
+        self.n, self.terms, self.doc = len(lengths), terms, doc
+        self.first = np.concatenate(([0], np.cumsum(df))).astype(np.int64)
+        norm = K1 * (1 - B + B * lengths / max(1.0, mean))
+        self.weight = np.rint(np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[doc]) * UNIT)
+        # terms of many documents are added by a matrix product, the others posting by posting
+        self.wide = np.flatnonzero(df * 10 > self.n) if self.n > 100 else np.zeros(0, np.int64)
+        self.column = np.full(len(terms), -1)
+        self.column[self.wide] = np.arange(len(self.wide))
+        self.dense = np.zeros((len(self.wide), self.n))
+        for k, t in enumerate(self.wide.tolist()):
+            span = slice(self.first[t], self.first[t + 1])
+            self.dense[k, doc[span]] = self.weight[span]
+
+    def terms_of(self, rows: list[int]) -> dict[int, np.ndarray]:
+        wanted = np.zeros(self.n, dtype=bool)
+        wanted[rows] = True
+        at = np.flatnonzero(wanted[self.doc])
+        doc, term = self.doc[at], np.searchsorted(self.first, at, side="right") - 1
+        order = np.argsort(doc, kind="stable")
+        doc, term = doc[order], self.terms[term[order]]
+        return {r: term[np.searchsorted(doc, r) : np.searchsorted(doc, r, side="right")] for r in rows}
+
+    def scores(self, asked: list[np.ndarray]) -> np.ndarray:
+        """BM25 of each asked set of terms with each document, over all terms."""
+        out = np.zeros((len(asked), self.n))
+        if not len(self.terms) or not asked:
+            return out
+        owner, term = np.repeat(np.arange(len(asked)), [len(x) for x in asked]), np.concatenate(asked)
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        hit = self.terms[at] == term
+        owner, at = owner[hit], at[hit]
+        column = self.column[at]
+        if len(self.wide):
+            has = np.zeros((len(asked), len(self.wide)))
+            has[owner[column >= 0], column[column >= 0]] = 1
+            out += has @ self.dense
+        owner, at = owner[column < 0], at[column < 0]
+        size = self.first[at + 1] - self.first[at]
+        total = int(size.sum())
+        if total:
+            place = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(total)
+            out += np.bincount(np.repeat(owner * self.n, size) + self.doc[place], self.weight[place], minlength=out.size).reshape(out.shape)
+        return out
+
+    def best(self, seeds: list[tuple[int, int, np.ndarray]], free: np.ndarray, h: np.ndarray, tokens: np.ndarray) -> Iterator[tuple]:
+        """For each seed (hash, tokens wanted, terms): its best free documents, up to those tokens; (rows, scores, ties)."""
+        step = max(1, SCORES // max(1, self.n))
+        for start in range(0, len(seeds), step):
+            some = seeds[start : start + step]
+            for (own, most, _), score in zip(some, self.scores([x[2] for x in some]), strict=True):
+                found = np.flatnonzero((score > 0) & free)
+                value, keep = score[found], 32
+                while keep < len(found):  # all that score as the last one kept stay in
+                    bar = np.partition(value, len(value) - keep)[len(value) - keep]
+                    if tokens[found[value > bar]].sum() >= most:
+                        found = found[value >= bar]
+                        break
+                    keep *= 4
+                value, tie = score[found], h[found] - np.int64(own)
+                order = np.lexsort((found, tie, -value))
+                before = np.cumsum(tokens[found[order]]) - tokens[found[order]]
+                order = order[before < most]
+                yield found[order], value[order].astype(np.int64), tie[order]
 
 
 class Packer:
-    """Cuts a stream of documents into sequences; the open one goes on from shard to shard of a partition."""
-
-    def __init__(self, partition: int, window: int = WINDOW_TOKENS):
-        self.window, self.next, self.open, self.fill = window, partition << 40, [], 0
-
-    def _close(self, size: int) -> list[tuple]:
-        out, offset = [], 0
-        for doc, start, raw, total in self.open:
-            out.append((doc, start, len(raw) // 4, zlib.crc32(raw), total, self.next, offset))
-            offset += len(raw) // 4
-        assert offset == size
-        self.next, self.open, self.fill = self.next + 1, [], 0
+    """Cuts a stream of documents into sequences; all packers of a run take their numbers from one counter."""
+
+    def __init__(self, window: int, numbers):
+        self.window, self.numbers, self.open, self.fill = window, numbers, [], 0
+
+    def _close(self) -> list[tuple]:
+        out, offset, number = [], 0, next(self.numbers)
+        for doc, start, length in self.open:
+            out.append((doc, start, length, number, offset))
+            offset += length
+        self.open, self.fill = [], 0
         return out
 
-    def add(self, doc, raw: bytes) -> list[tuple]:
-        out, start, total = [], 0, len(raw) // 4
-        while start < total:
-            take = min(total - start, self.window - self.fill)
-            self.open.append((doc, start, raw[4 * start : 4 * (start + take)], total))
-            self.fill += take
-            start += take
+    def add(self, doc: int, start: int, end: int) -> list[tuple]:
+        out = []
+        while start < end:
+            take = min(end - start, self.window - self.fill)
+            self.open.append((doc, start, take))
+            self.fill, start = self.fill + take, start + take
             if self.fill == self.window:
-                out += self._close(self.window)
+                out += self._close()
         return out
 
     def finish(self) -> list[tuple]:
@@ -125,37 +167,195 @@ class Packer:
         left, size, out = self.open, self.fill, []
         self.open, self.fill = [], 0
         while size:
-            part = 1 << (size.bit_length() - 1)
-            need = part
+            part = need = 1 << (size.bit_length() - 1)
             while need:
-                doc, start, raw, total = left.pop(0)
-                take = min(need, len(raw) // 4)
-                self.open.append((doc, start, raw[: 4 * take], total))
-                if take < len(raw) // 4:
-                    left.insert(0, (doc, start + take, raw[4 * take :], total))
+                doc, start, length = left.pop(0)
+                take = min(need, length)
+                self.open.append((doc, start, take))
+                if take < length:
+                    left.insert(0, (doc, start + take, length - take))
                 need -= take
-            out += self._close(part)
+            out += self._close()
             size -= part
         return out
 
 
-def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 2, window: int = WINDOW_TOKENS, block: int = BLOCK_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def grown(tokens: np.ndarray, h: np.ndarray, search: Callable, window: int, chains: int = CHAINS, filled: int = 0) -> Iterator[tuple[int, int]]:
+    """(chain, document) in the order in which documents fill windows. `filled`: tokens that the first windows hold already.
+
+    `search([(seed, tokens wanted)], unused)` gives each seed's best unused documents, best first, up to those tokens.
+    """
+    unused, order, at = np.ones(len(tokens), dtype=bool), np.argsort(h, kind="stable"), 0
+    seeds, room, left = [-1] * chains, [window - filled] * chains, len(tokens)
+    while left:
+        active = min(chains, -(-left // CHAIN_DOCS))
+        for c in range(active):
+            if seeds[c] < 0:
+                while at < len(order) and not unused[order[at]]:
+                    at += 1
+                if at == len(order):
+                    continue
+                d = seeds[c] = int(order[at])
+                unused[d], left = False, left - 1
+                yield c, d
+                room[c] -= int(tokens[d])
+                if room[c] <= 0:
+                    room[c] = window - (-room[c]) % window
+        if not left:
+            return
+        asked = [(seeds[c], 2 * room[c]) for c in range(active)]
+        found = search(asked, unused)
+        for c, (seed, most) in enumerate(asked):
+            some, full = found.get(seed, ()), False
+            for d in some:
+                if not unused[d]:
+                    continue
+                unused[d], left = False, left - 1
+                yield c, d
+                room[c] -= int(tokens[d])
+                if room[c] <= 0:  # the window is full; what is left of d opens the next one and is its seed
+                    seeds[c], full = d, True
+                    room[c] = window - (-room[c]) % window
+                    break
+            if not full and sum(int(tokens[d]) for d in some) < most:
+                seeds[c] = -1  # there is no more than this list; where there is, the same seed asks again
+
+
+def reading_order(texts: list[str], tokens: list[int], window: int = WINDOW_TOKENS, filled: int = 0):
+    """Document indexes in the order in which one chain packs them, all in one shard."""
+    p, size, h = postings(texts), np.asarray(tokens, dtype=np.int64), np.arange(len(texts))
+    idf = np.where(p["df"] > 1, idf_of(p["df"], len(texts)), 0.0)
+    shard = Shard(idf=idf, mean=float(np.mean(p["lengths"])) if texts else 1.0, **p)
+
+    return (d for _, d in grown(size, h, _search_here([(0, shard)], h, size), window, 1, filled))
+
+
+def _search_here(shards: list[tuple[int, Shard]], h: np.ndarray, tokens: np.ndarray) -> Callable:
+    """The search over shards (first document, shard) that are in memory."""
+
+    def search(asked: list[tuple[int, int]], unused: np.ndarray) -> dict[int, list[int]]:
+        terms, out = {}, {}
+        for start, shard in shards:
+            mine = [s - start for s, _ in asked if start <= s < start + shard.n]
+            terms |= {r + start: x for r, x in shard.terms_of(mine).items()}
+        seeds = [(int(h[s]), most, terms[s]) for s, most in asked]
+        lists = [shard.best(seeds, unused[a : a + shard.n], h[a : a + shard.n], tokens[a : a + shard.n]) for a, shard in shards]
+        for (s, most), *parts in zip(asked, *lists, strict=True):
+            rows, score, tie = (np.concatenate(x) for x in zip(*((r + a, v, t) for (a, _), (r, v, t) in zip(shards, parts, strict=True)), strict=True))
+            rows = rows[np.lexsort((rows, tie, -score))]
+            out[s] = rows[np.cumsum(tokens[rows]) - tokens[rows] < most].tolist()
+        return out
+
+    return search
+
+
+def _shard(row: dict, mean: float) -> Shard:
+    ints = np.frombuffer(row["df"], np.int64)
+    n = int(ints.sum())
+    return Shard(np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["terms"], np.uint64), ints, np.frombuffer(row["idf"]), _unpacked(row["doc"], n), _unpacked(row["tf"], n), mean)
+
+
+def _indexed(held: DataFrame, total: int) -> DataFrame:
+    """The shards with each term's weight among all documents; terms of one document only go."""
+
+    def counted(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                t = np.frombuffer(row["terms"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), row["shard"])), pa.array(np.frombuffer(row["df"], np.int64))], ["t", "shard", "n"])
+
+    def joined(some: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        for row in some.to_pylist():
+            t, n = np.asarray(known.column("t")).astype(np.int64).view(np.uint64), np.asarray(known.column("n"))
+            order = np.argsort(t)
+            t, n = t[order], n[order]
+            terms, df = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["df"], np.int64)
+            size = int(df.sum())
+            at = np.searchsorted(t, terms)
+            keep = np.zeros(len(terms), dtype=bool)
+            keep[at < len(t)] = t[at[at < len(t)]] == terms[at < len(t)]
+            post = np.repeat(keep, df)
+            out.append((row["shard"], row["h"], row["tokens"], row["lengths"], terms[keep].tobytes(), df[keep].tobytes(), idf_of(n[at[keep]], total).tobytes(), _packed(_unpacked(row["doc"], size)[post]), _packed(_unpacked(row["tf"], size)[post])))
+        return pa.table([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), _INDEX, strict=True)], schema=_INDEX) if out else _INDEX.empty_table()
+
+    each = held.select("shard", "terms", "df").mapInArrow(counted, "t long, shard long, n long")
+    known = each.groupBy("t").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("shards")).where("n > 1").select("t", "n", F.explode("shards").alias("shard"))
+    return written(held.drop("row", "doc_id", "raw").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(joined, INDEX), "packing-index")
+
+
+def _search(index: DataFrame, base: dict[int, int], mean: float, hashes: np.ndarray) -> Callable:
+    """A search of every shard for each seed, with the shards' lists merged."""
+    spark, known = index.sparkSession, {}
+
+    def search(asked: list[tuple[int, int]], unused: np.ndarray) -> dict[int, list[int]]:
+        new = sorted({s for s, _ in asked} - known.keys())
+
+        def fetch(batches):
+            for b in batches:
+                for row in b.to_pylist():
+                    start, n = base[row["shard"]], len(row["lengths"]) // 8
+                    mine = [s - start for s in new if start <= s < start + n]
+                    if mine:
+                        got = _shard(row, mean).terms_of(mine)
+                        yield pa.RecordBatch.from_arrays([pa.array([r + start for r in got]), pa.array([x.tobytes() for x in got.values()])], ["seed", "terms"])
+
+        for s in known.keys() - {s for s, _ in asked}:
+            del known[s]
+        if new:
+            known.update({r["seed"]: np.frombuffer(r["terms"], np.uint64) for r in index.mapInArrow(fetch, "seed long, terms binary").collect()})
+        sent = spark.sparkContext.broadcast(([(s, int(hashes[s]), most, known[s]) for s, most in asked], np.packbits(unused)))
+
+        def ask(batches):
+            seeds, bits = sent.value
+            for b in batches:
+                for row in b.to_pylist():
+                    start, n = base[row["shard"]], len(row["lengths"]) // 8
+                    free = np.unpackbits(bits[start // 8 : (start + n + 7) // 8])[start % 8 : start % 8 + n].astype(bool)
+                    if not free.any():
+                        continue
+                    tokens = np.frombuffer(row["tokens"], np.int64)
+                    lists = _shard(row, mean).best([x[1:] for x in seeds], free, np.frombuffer(row["h"], np.int64), tokens)
+                    for (s, _, most, _), (rows, score, tie) in zip(seeds, lists, strict=True):
+                        if len(rows):
+                            yield batch_of(_FOUND, np.full(len(rows), s), score, tie, rows + start, tokens[rows], np.full(len(rows), most))
+
+        by = Window.partitionBy("seed").orderBy(F.desc("score"), "tie", "doc")
+        found = index.mapInArrow(ask, "seed long, score long, tie long, doc long, n long, most long")
+        found = found.withColumn("before", F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1))).withColumn("at", F.row_number().over(by))
+        got = found.where("coalesce(before, 0) < most").select("seed", "at", "doc").toArrow().sort_by([("seed", "ascending"), ("at", "ascending")])
+        sent.destroy()
+        out = defaultdict(list)
+        for s, d in zip(got.column("seed").to_pylist(), got.column("doc").to_pylist(), strict=True):
+            out[s].append(d)
+        return out
+
+    return search
+
+
+def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 2, window: int = WINDOW_TOKENS, block: int = BLOCK_BYTES, doc_id: str = "doc_id", text: str = "text", here: int = BLOCK_BYTES) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset); each id of each row lies in exactly one.
 
     A null text counts as empty (its one id is the end id); null ids and repeated rows are packed as they are; an
-    empty table gives no rows; texts longer than a window are cut. A partition's last sequences have powers of two.
+    empty table gives no rows; texts longer than a window are cut. The chains' unfilled windows are joined at the end,
+    and the last sequences of all have powers of two. A table of up to `here` bytes of ids is searched on the driver.
     """
+    spark = docs.sparkSession
 
     def run(batches):
-        encoder, packer = encoder_for(vocab), Packer(TaskContext.get().partitionId(), window)
+        encoder, number = encoder_for(vocab), count(TaskContext.get().partitionId() << 20)
         end = end_id.to_bytes(4, "little")
 
         def solve(held: list[pa.RecordBatch]):
-            ids = [x for b in held for x in b.column("doc_id").to_pylist()]
-            texts = [x for b in held for x in texts_of(b)]
-            raw = [x + end for x in encoder.encode(texts)]
-            out = [row for i in reading_order(texts, [len(x) // 4 for x in raw], window, packer.fill) for row in packer.add(ids[i], raw[i])]
-            return batch_of(_OUT, *zip(*out, strict=True)) if out else None
+            shard, rows, size, p = next(number), 0, [], postings([x for b in held for x in texts_of(b)])
+            for b in held:
+                raw = [x + end for x in encoder.encode(texts_of(b))]
+                size += [len(x) // 4 for x in raw]
+                none = [None] * len(raw)
+                yield batch_of(_HELD, [shard] * len(raw), range(rows, rows + len(raw)), b.column("doc_id"), raw, *[none] * 9)
+                rows += len(raw)
+            h = np.concatenate([np.asarray(b.column("h")) for b in held]).astype(np.int64)
+            yield batch_of(_HELD, [shard], [None], [None], [None], [rows], [int(p["lengths"].sum())], [h.tobytes()], [np.array(size, dtype=np.int64).tobytes()], [p["lengths"].tobytes()], [p["terms"].tobytes()], [p["df"].astype(np.int64).tobytes()], [_packed(p["doc"])], [_packed(p["tf"])])
 
         held, size = [], 0
         for batch in batches:
@@ -163,15 +363,62 @@ def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int
                 held.append(part)
                 size += part.get_total_buffer_size() if part.num_rows == batch.num_rows else sum(len(x or "") for x in part.column("text").to_pylist())
                 if size >= block:
-                    if (out := solve(held)) is not None:
-                        yield out
+                    yield from solve(held)
                     held, size = [], 0
-        if held and (out := solve(held)) is not None:
-            yield out
-        if rest := packer.finish():
-            yield batch_of(_OUT, *zip(*rest, strict=True))
+        if held:
+            yield from solve(held)
+
+    asked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("h"))
+    held = written(asked.mapInArrow(run, HELD), "packing-texts")
+    shards = sorted(held.where("n is not null").select("shard", "n", "words", "h", "tokens").collect())
+    if not shards:
+        return spark.createDataFrame([], PACKED)
+    starts = np.cumsum([0] + [r["n"] for r in shards])
+    names, total = np.array([r["shard"] for r in shards]), int(starts[-1])
+    h, tokens = (np.concatenate([np.frombuffer(r[c], np.int64) for r in shards]) for c in ("h", "tokens"))
+    mean, base = sum(r["words"] for r in shards) / total, {r["shard"]: int(s) for r, s in zip(shards, starts, strict=False)}
+    del shards
+    index = _indexed(held.where("n is not null"), total)
+
+    if 4 * int(tokens.sum()) <= here:
+        search = _search_here([(base[r["shard"]], _shard(r, mean)) for r in index.collect()], h, tokens)
+    else:
+        search = _search(index, base, mean, h)
+
+    path, rows, numbers = f"{shared_dir(spark)}/packing-pieces-{uuid.uuid4().hex}", [], count()
+
+    def flush():
+        doc, *others = map(np.array, zip(*rows, strict=True))
+        at = np.searchsorted(starts, doc, side="right") - 1
+        spark.createDataFrame(pa.table([(names[at] << 24) + doc - starts[at], *others], schema=_CUT)).write.mode("append").parquet(path)
+        rows.clear()
+
+    packers: defaultdict[int, Packer] = defaultdict(lambda: Packer(window, numbers))
+    for c, d in grown(tokens, h, search, window):
+        rows += packers[c].add(d, 0, int(tokens[d]))
+        if len(rows) >= 1 << 20:
+            flush()
+    last = Packer(window, numbers)
+    for c in sorted(packers):
+        for doc, start, length in packers[c].open:
+            rows += last.add(doc, start, start + length)
+    rows += last.finish()
+    if rows:
+        flush()
+
+    def pieces(batches):
+        for b in batches:
+            for part in sliced(b, "raw", 8 << 20):
+                out = []
+                for row in part.to_pylist():
+                    for p in row["cuts"]:
+                        raw = row["raw"][4 * p["start"] : 4 * (p["start"] + p["length"])]
+                        out.append((row["doc_id"], p["start"], p["length"], zlib.crc32(raw), len(row["raw"]) // 4, p["sequence_id"], p["offset"]))
+                yield batch_of(_OUT, *zip(*out, strict=True))
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PACKED)
+    cuts = spark.read.parquet(path).groupBy("key").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))
+    whole = held.where("n is null").select(F.expr("shiftleft(shard, 24) + row").alias("key"), "doc_id", "raw")
+    return whole.join(cuts, "key").select("doc_id", "raw", "cuts").mapInArrow(pieces, PACKED)
 
 
 def packing_padding(pieces: DataFrame, window: int = WINDOW_TOKENS) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilgraph.llm import tokens as tokenizing
 from veilgraph.llm.common import batch_of, shared_dir, sliced, table, texts_of, written
 from veilgraph.llm.tokens import encoder_for
 
@@ -29,7 +30,7 @@ WINDOW_TOKENS, BLOCK_BYTES, K1, B = 4096, 12 << 20, 1.2, 0.75
 #: Chains of windows that grow at the same time, at most, and unused documents for each of them, at least.
 CHAINS, CHAIN_DOCS = 4096, 8
 #: Scores count in units of 1 / UNIT, so that their sums are exact in any order. Scores held at once by a search.
-UNIT, SCORES = 1 << 20, 1 << 21
+UNIT, SCORES = 1 << 20, 1 << 18
 _HELD = pa.schema([("shard", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("raw", pa.binary()), ("n", pa.int64()), ("words", pa.int64()), *((c, pa.binary()) for c in ("h", "tokens", "lengths", "terms", "df", "doc", "tf"))])
 HELD = "shard long, row long, doc_id long, raw binary, n long, words long, h binary, tokens binary, lengths binary, terms binary, df binary, doc binary, tf binary"
 _INDEX = pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in ("h", "tokens", "lengths", "terms", "df", "idf", "doc", "tf"))])
@@ -307,6 +308,7 @@ def _search(index: DataFrame, base: dict[int, int], mean: float, hashes: np.ndar
         sent = spark.sparkContext.broadcast(([(s, int(hashes[s]), most, known[s]) for s, most in asked], np.packbits(unused)))
 
         def ask(batches):
+            tokenizing._HELD.clear()  # a worker that has encoded texts before gives that memory to the search
             seeds, bits = sent.value
             for b in batches:
                 for row in b.to_pylist():

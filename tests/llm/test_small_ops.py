@@ -84,6 +84,13 @@ def test_knn_prunes_far_cells(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_knn_with_an_id_in_more_rows_than_k(spark):
+    rows = [(0, [100.0, 0.0])] * 7 + [(i, [0.0, 1.0 + i % 5]) for i in range(1, 194)]
+    data = knn.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = knn.voronoi_knn(data, data.where("vec_id = 0").limit(1))
+    assert sorted(map(tuple, got.collect())) == [(0, r, r, 0) for r in range(1, 6)]
+
+
 def test_knn_empty_and_few(spark):
     kind = "vec_id long, embedding array<float>"
     none = knn.quantized(spark.createDataFrame([], kind))

@@ -54,7 +54,7 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
     order = np.argsort(x_ids, kind="stable")
     x, x_ids = x[order], x_ids[order]
     score = products(q, x)
-    low = np.iinfo(np.int64).min
+    low = -np.iinfo(np.int64).max  # not the least number: it is its own negative and would sort first
     score[q_ids[:, None] == x_ids[None, :]] = low
     best = np.argsort(-score, axis=1, kind="stable")[:, :k]
     rows = np.repeat(np.arange(len(q)), best.shape[1])
@@ -97,9 +97,10 @@ def voronoi_knn(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = P
     kind = "vec_id long, v array<long>, cell int, dist double"
     x, q = written(data.select("vec_id", "v").mapInArrow(dealt(True), kind), "knn-data"), written(queries.select("vec_id", "v").mapInArrow(dealt(False), kind), "knn-queries")
 
-    # summaries: bounded by pivots * (k + 1) rows, as each cell gives its k + 1 smallest distances
-    close = x.select("cell", "dist", F.row_number().over(Window.partitionBy("cell").orderBy("dist")).alias("rn")).where(F.col("rn") <= k + 1)
-    least = [(r["cell"], r["dist"]) for r in close.collect()]
+    # summaries: bounded by pivots * (k + 1) rows, as each cell gives the smallest distances of k + 1 ids
+    # (distinct ones: rows of the query's own id are no candidates, however many there are)
+    close = x.groupBy("cell", "vec_id").agg(F.min("dist").alias("dist")).select("cell", "vec_id", "dist", F.row_number().over(Window.partitionBy("cell").orderBy("dist")).alias("rn")).where(F.col("rn") <= k + 1)
+    least = [(r["cell"], r["vec_id"], r["dist"]) for r in close.collect()]
     radius = {r["cell"]: (r["u"], r["n"]) for r in q.groupBy("cell").agg(F.max("dist").alias("u"), F.count(F.lit(1)).alias("n")).collect()}
     apart = np.sqrt(np.maximum(2 * top - 2 * (p @ p.T + np.outer(lift, lift)), 0))
     slack = 1e-6 * (1 + np.sqrt(top)) + 1e-5 * np.sqrt(top)  # the distances are rounded; a wider bound is still right
@@ -107,7 +108,10 @@ def voronoi_knn(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = P
     need: dict[tuple[int, int], tuple[float, float]] = {}
     asked: dict[int, int] = {}
     for i, (u, n) in radius.items():
-        bounds = sorted(u + apart[i, j] + d for j, d in least)
+        nearer: dict[int, float] = {}
+        for j, v, d in least:
+            nearer[v] = min(nearer.get(v, np.inf), u + apart[i, j] + d)
+        bounds = sorted(nearer.values())
         theta = bounds[k] if len(bounds) > k else np.inf
         asked[int(group[i])] = asked.get(int(group[i]), 0) + n
         for j in range(len(p)):

@@ -3,6 +3,8 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyspark.sql.functions as F
 import pytest
 from tokenizers import Tokenizer
 
@@ -148,16 +150,43 @@ def test_packing_odd_rows_and_none(spark):
     assert packing.bm25_packing(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def order_of(texts, window):
+    return list(packing.reading_order(packing.shard_of(texts), np.full(len(texts), 3), window))
+
+
 def test_neighbours_share_rare_words():
-    texts = ["apple pear plum", "engine wheel brake", "apple plum cherry", "wheel brake oil", "other things"]
-    assert list(packing.reading_order(texts, [3] * 5, window=100)) == [0, 2, 1, 3, 4]
+    assert order_of(["apple pear plum", "engine wheel brake", "apple plum cherry", "wheel brake oil", "other things"], 100) == [0, 2, 1, 3, 4]
 
 
 def test_seed_asks_with_all_its_words():
     rare, common = [f"rare{k}" for k in range(10)], [f"word{k}" for k in range(60)]
     texts = [" ".join(rare + common)] + [f"{r} " + " ".join(f"own{k}x{j}" for j in range(40)) for k, r in enumerate(rare)]
     texts += [" ".join(common), " ".join(common + [f"more{j}" for j in range(400)])]
-    assert list(packing.reading_order(texts, [3] * len(texts), window=1000))[:2] == [0, 11]
+    assert order_of(texts, 1000)[:2] == [0, 11]
+
+
+def test_scores_are_bm25():
+    draw = random.Random(2)
+    texts = [" ".join(draw.choices([f"w{j}" for j in range(80)], [1 / (j + 1) for j in range(80)], k=draw.randint(0, 60))) for _ in range(150)]
+    shard, lists = packing.shard_of(texts), [x.split() for x in texts]
+    mean = sum(map(len, lists)) / len(lists)
+    for seed in range(0, 150, 30):
+        got = shard.scores(seed)
+        for d, have in enumerate(lists):
+            want = 0.0
+            for t in set(lists[seed]):
+                df, tf = sum(t in w for w in lists), have.count(t)
+                if df > 1 and tf:
+                    want += np.log1p((len(lists) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(have) / mean))
+            assert got[d] == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_statistics_cover_all_documents(spark):
+    texts = ["One two, two", "two three", None, "", "ÉTÉ été one"] * 30
+    df, n, mean = packing.statistics(spark.createDataFrame([(t,) for t in texts], "text string").repartition(7))
+    term = lambda w: packing.terms_of(pa.array([w]))[1][0]
+    assert n == 150 and mean == pytest.approx(30 * 8 / 150)
+    assert [df[term(w)] for w in ("one", "TWO", "three", "été")] == [60, 60, 30, 30] and df.sum() == 180
 
 
 def best_by_bm25(texts, seed):
@@ -174,19 +203,34 @@ def best_by_bm25(texts, seed):
     return int(np.argmax(score))
 
 
-def test_packing_looks_in_all_shards_whatever_the_layout(spark):
+def test_packing_does_not_depend_on_the_layout(spark):
     draw = random.Random(8)
     topics = [[f"t{k}w{j}" for j in range(30)] for k in range(12)]
-    texts = [" ".join(draw.choices(topics[i % 12], k=20) + draw.choices([f"all{j}" for j in range(50)], k=20)) for i in range(24)]
-    rows, got = list(enumerate(texts)), []
-    for parts, block, here in ((1, 1 << 20, 1 << 20), (4, 600, 1 << 20), (3, 500, 0)):
-        docs = spark.createDataFrame(rows, "doc_id long, text string").sort("doc_id").coalesce(1) if parts == 1 else spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
-        pieces = packing.bm25_packing(docs, window=4096, block=block, here=here).collect()
-        assert packed_right(rows, pieces, 4096) == 0
-        got.append(sorted((p.sequence_id, p.offset, p.doc_id, p.start, p.length, p.ids_crc32) for p in pieces))
-    assert got[0] == got[1] == got[2]
-    first, second = list(dict.fromkeys(p[2] for p in got[0]))[:2]
-    assert second == best_by_bm25(texts, first)
+    texts = [" ".join(draw.choices(topics[i % 12], k=20) + draw.choices([f"all{j}" for j in range(50)], k=20)) for i in range(60)]
+    rows = list(enumerate(texts))
+    for block in (1 << 20, 900):
+        got = []
+        for parts in (1, 4, 7):
+            docs = spark.createDataFrame(spark.sparkContext.parallelize(random.Random(parts).sample(rows, len(rows)), parts), "doc_id long, text string")
+            pieces = packing.bm25_packing(docs, window=4096, block=block).collect()
+            assert packed_right(rows, pieces, 4096) == 0
+            got.append(sorted((p.sequence_id, p.offset, p.doc_id, p.start, p.length, p.ids_crc32) for p in pieces))
+        assert got[0] == got[1] == got[2]
+        if block == 1 << 20:
+            first, second = list(dict.fromkeys(p[2] for p in got[0]))[:2]
+            assert second == best_by_bm25(texts, first)
+
+
+def test_copies_meet_under_one_key(spark):
+    draw = random.Random(4)
+    prose = lambda: " ".join(f"w{draw.randint(0, 3000)}" for _ in range(120))
+    texts = [prose() for _ in range(200)]
+    near = [t + " one more word" for t in texts]
+    df = np.zeros(1 << packing.TERM_BITS)
+    doc, term, _, _ = packing.terms_of(pa.array(texts + near))
+    df += np.bincount(term, minlength=len(df))
+    key = packing.keys_of(doc, term, df, packing.idf_of(df, 400), 400, 400)
+    assert (key[:200] == key[200:]).mean() > 0.9 and len(set(key[:200].tolist())) > 40
 
 
 # ---- operator 10
@@ -196,7 +240,8 @@ def test_crc_joined_and_cuts():
     rng = np.random.default_rng(1)
     for _ in range(50):
         a, b = rng.bytes(int(rng.integers(0, 5000))), rng.bytes(int(rng.integers(0, 5000)))
-        assert content_store.crc_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+        moved = content_store.crc_moved(np.array([zlib.crc32(a)]), np.array([len(b)]))
+        assert int(moved[0]) ^ zlib.crc32(b) == zlib.crc32(a + b)
     for n in (0, 1, 127, 128, 129, 5000, 60_000):
         for ids in (rng.integers(0, 50_000, n, dtype=np.uint32), np.zeros(n, dtype=np.uint32)):
             ends = content_store.cuts(n, content_store.marks(ids).tolist())
@@ -213,18 +258,51 @@ def test_store_round_trip(spark, sf_dir):
     assert sorted(map(tuple, content_store.op10_content_store(spark, sf_dir).collect())) == want
 
 
-def test_store_keeps_a_chunk_once_and_finds_damage(spark, tmp_path):
+def test_store_keeps_a_chunk_once_and_gives_the_ids_back(spark, tmp_path):
     rows = [(i, "word salad of many parts " * 300 if i % 2 else None, "k") for i in range(40)] + [(None, "x", "y"), (7, "again", "z"), (7, "again", "z")]
     path = f"{tmp_path}/store"
-    content_store.write_store(spark.createDataFrame(rows, DOCS).repartition(5), path)
+    root = content_store.write_store(spark.createDataFrame(rows, DOCS).repartition(5), path)
     chunks = spark.read.parquet(f"{path}/pieces").where("kind = 0")
     assert chunks.count() == chunks.select("key").distinct().count()
-    got = content_store.read_store(spark, path).collect()
+    got = content_store.read_store(spark, path, root).collect()
     assert len(got) == len(rows) and sum(r.n_tokens for r in got) == sum(len(plain_ids("byte_bpe_50k.json", t)) for _, t, _ in rows)
-    chunks.selectExpr("0 as kind", "key", "doc_id", "n", "concat(payload, X'0000') as payload", "root").write.partitionBy("kind").parquet(f"{tmp_path}/bad/pieces")
-    spark.read.parquet(f"{path}/recipes").write.parquet(f"{tmp_path}/bad/recipes")
-    with pytest.raises(Exception, match="damaged"):
-        content_store.read_store(spark, f"{tmp_path}/bad").collect()
+    ids = sorted((r.doc_id or -1, bytes(r.ids)) for r in content_store.rebuilt(spark, path).collect())
+    assert ids == sorted((d or -1, plain_ids("byte_bpe_50k.json", t).tobytes()) for d, t, _ in rows)
+
+
+@pytest.fixture(scope="module")
+def store(spark, tmp_path_factory):
+    path = f"{tmp_path_factory.mktemp('kept')}/store"
+    rows = [(i, f"text {i} " + "of many parts " * (i * 40), "k") for i in range(12)]
+    return path, content_store.write_store(spark.createDataFrame(rows, DOCS).repartition(3), path)
+
+
+@pytest.mark.parametrize("harm", ["chunk", "lost chunk", "recipe", "lost recipe", "crc", "manifest", "other root"])
+def test_store_finds_damage(spark, store, tmp_path, harm):
+    path, root = store
+    bad = f"{tmp_path}/bad"
+    all_parts = ["kind", "key", "doc_id", "n", "payload", "root", "chunks"]
+    pieces, recipes, manifest = (spark.read.parquet(f"{path}/{x}") for x in ("pieces", "recipes", "manifest"))
+    pieces = pieces.where("kind = 0").select(*all_parts)
+    if harm == "chunk":
+        pieces = pieces.withColumn("payload", F.expr("concat(payload, X'0000')"))
+    elif harm == "lost chunk":
+        pieces = pieces.orderBy("key").offset(1)
+    elif harm == "recipe":
+        recipes = recipes.withColumn("root", F.when(F.col("start") == 0, F.expr("cast('x' as binary)")).otherwise(F.col("root")))
+    elif harm == "lost recipe":
+        recipes = recipes.where("doc_id <> 5")
+    elif harm == "crc":
+        recipes = recipes.withColumn("chunks", F.expr("concat(substr(chunks, 1, length(chunks) - 1), X'07')"))
+    elif harm == "manifest":
+        manifest = manifest.withColumn("n_docs", F.col("n_docs") + 1)
+    else:
+        root = b"x" * 16
+    pieces.write.partitionBy("kind").parquet(f"{bad}/pieces")
+    recipes.write.parquet(f"{bad}/recipes")
+    manifest.write.parquet(f"{bad}/manifest")
+    with pytest.raises(Exception, match="damaged|missing|not those|not the one"):
+        content_store.read_store(spark, bad, root).collect()
 
 
 def test_empty_store(spark, tmp_path):

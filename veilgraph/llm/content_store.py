@@ -2,8 +2,9 @@
 
 Layout under one folder, all Parquet (readable by any Spark reader):
   pieces/kind=0   (key: 16-byte BLAKE2b of the payload, n: ids, payload: little-endian ids) - each unique chunk once
-  recipes         (doc_id, start, n_tokens, digests: 16 bytes a chunk, root) in ascending doc_id order
-  manifest        (part, n_docs, n_tokens, root): a Merkle root over the documents' roots of each recipe range
+  recipes         (doc_id, start, n_tokens, digests: 16 bytes a chunk, chunks: their lengths, then their CRCs, root)
+                  in ascending doc_id order
+  manifest        (part, n_docs, n_tokens, root): a Merkle root over the documents that start in each stretch of ids
 A rolling hash over the ids cuts the streams, so equal passages give equal chunks wherever they stand.
 """
 
@@ -19,13 +20,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.llm.common import arrow_map, batch_of, per_task, running_start, shared_dir, table, texts_of
+from veilgraph.llm.common import arrow_map, batch_of, per_task, running_start, shared_dir, table
 from veilgraph.llm.tokens import encoder_for
 
 WINDOW, LEAST, MEAN_BITS, MOST = 8, 128, 9, 4096
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, WINDOW + 1, dtype=np.uint64)).astype(np.uint64)
-_PIECE = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("payload", pa.binary()), ("root", pa.binary())])
-_KIND = "kind int, key binary, doc_id long, n long, payload binary, root binary"
+#: Ids whose documents' roots make one entry of the manifest.
+PART = 1 << 22
+_PIECE = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("payload", pa.binary()), ("root", pa.binary()), ("chunks", pa.binary())])
+_KIND = "kind int, key binary, doc_id long, n long, payload binary, root binary, chunks binary"
+_MANIFEST = pa.schema([("part", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())])
+_GROUP = pa.schema([("g", pa.int64()), ("root", pa.binary())])
+_IDS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 _CHECKED = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("crc", pa.int64())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -72,35 +78,38 @@ def cuts(n: int, may: list[int]) -> list[int]:
     return ends + [n] if last < n or not ends else ends
 
 
-_SHIFT: list[list[int]] = []
+_SHIFT: list[np.ndarray] = []
 
 
-def _times(matrix: list[int], v: int) -> int:
-    out = k = 0
-    while v:
-        if v & 1:
-            out ^= matrix[k]
-        v >>= 1
-        k += 1
-    return out
-
-
-def crc_joined(a: int, b: int, b_bytes: int) -> int:
-    """CRC-32 of two byte strings' concatenation from their own CRCs: a is moved past b's zero bytes by matrices over GF(2)."""
-    if not _SHIFT:
-        one = [0xEDB88320] + [1 << k for k in range(31)]
-        for _ in range(3):  # one bit -> one byte
-            one = [_times(one, x) for x in one]
-        _SHIFT.append(one)
-    k = 0
-    while b_bytes:
-        if len(_SHIFT) <= k:
-            _SHIFT.append([_times(_SHIFT[-1], x) for x in _SHIFT[-1]])
-        if b_bytes & 1:
-            a = _times(_SHIFT[k], a)
-        b_bytes >>= 1
+def _shifts(k: int) -> np.ndarray:
+    """Four tables of 256 numbers that move a CRC-32 past 2**k zero bytes, a byte of the CRC each."""
+    while len(_SHIFT) <= k:
+        if _SHIFT:
+            column = _moved(_moved(np.uint32(1) << np.arange(32, dtype=np.uint32), len(_SHIFT) - 1), len(_SHIFT) - 1)
+        else:
+            column = np.uint32(1) << np.arange(32, dtype=np.uint32)
+            for _ in range(8):
+                column = (column >> np.uint32(1)) ^ np.where(column & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+        tables = np.zeros((4, 256), dtype=np.uint32)
+        for bit in range(32):
+            tables[bit // 8] ^= np.where(np.arange(256) >> (bit % 8) & 1, column[bit], 0).astype(np.uint32)
+        _SHIFT.append(tables)
+    return _SHIFT[k]
+
+
+def _moved(crc: np.ndarray, k: int) -> np.ndarray:
+    t = _shifts(k)
+    return t[0][crc & 255] ^ t[1][crc >> 8 & 255] ^ t[2][crc >> 16 & 255] ^ t[3][crc >> 24]
+
+
+def crc_moved(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """CRC-32 values moved past so many zero bytes. That of A + B is that of A moved past B's bytes, xor that of B."""
+    crc, k = crc.astype(np.uint32), 0
+    while (zeros >> k).any():
+        some = np.flatnonzero(zeros >> k & 1)
+        crc[some] = _moved(crc[some], k)
         k += 1
-    return a ^ b
+    return crc
 
 
 def write_store(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", end_id: int = 2, doc_id: str = "doc_id", text: str = "text", width: str = "<u2") -> bytes:
@@ -118,30 +127,50 @@ def write_store(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", en
         sent: set[bytes] = set()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows: list[tuple] = []
-            end = end_id.to_bytes(4, "little")
-            raws = [x + end for x in encoder.encode(texts_of(batch))]
+            ids, size = encoder.encode(batch.column("text"))
+            ids = np.insert(ids, np.cumsum(size), end_id).astype("<u4")
+            size = size + 1
             # one pass of the rolling hash over all streams; marks whose window starts in another document don't count
-            ids = np.frombuffer(b"".join(raws), dtype="<u4")
-            size = np.array([len(x) // 4 for x in raws])
             base = np.cumsum(size) - size
             may = marks(ids)
             split = np.searchsorted(may, np.column_stack((base + WINDOW, base + size + 1))).tolist()
-            flat, wide, may = ids.astype(width).tobytes(), np.dtype(width).itemsize, may.tolist()
-            for doc, at, n, (lo, hi) in zip(batch.column("doc_id").to_pylist(), base.tolist(), size.tolist(), split, strict=True):
-                names, first = [], 0
-                for stop in cuts(n, [x - at for x in may[lo:hi]]):
+            flat, wide, may, four = memoryview(ids.astype(width).tobytes()), np.dtype(width).itemsize, may.tolist(), memoryview(ids.tobytes())
+            new_keys, new_sizes, payloads = [], [], []
+            names, sizes, crcs, roots, docs = [], [], [], [], batch.column("doc_id")
+            for at, n, (lo, hi) in zip(base.tolist(), size.tolist(), split, strict=True):
+                first, mine, ends = 0, [], cuts(n, [x - at for x in may[lo:hi]])
+                for stop in ends:
                     payload = flat[(at + first) * wide : (at + stop) * wide]
                     name = digest(payload)
-                    names.append(name)
+                    mine.append(name)
+                    crcs.append(zlib.crc32(four[(at + first) * 4 : (at + stop) * 4]))
                     if name not in sent:
                         sent.add(name)
-                        rows.append((0, name, None, stop - first, payload, None))
+                        new_keys.append(name)
+                        new_sizes.append(stop - first)
+                        payloads.append(bytes(payload))
                     first = stop
-                rows.append((1, digest(str(doc).encode()), doc, n, b"".join(names), merkle(names)))
+                names.append(b"".join(mine))
+                roots.append(merkle(mine))
+                sizes.append(np.diff(ends, prepend=0))
             if len(sent) > 200_000:
                 sent.clear()
-            return batch_of(_PIECE, *zip(*rows, strict=True))
+            many = [len(x) // 16 for x in names]
+            lens, sums = np.concatenate(sizes).astype("<u4"), np.array(crcs, dtype="<u4")
+            stop = np.cumsum(many) * 4
+            lens, sums = lens.tobytes(), sums.tobytes()
+            extra = [lens[b - 4 * m : b] + sums[b - 4 * m : b] for b, m in zip(stop.tolist(), many, strict=True)]
+            k, d = len(new_keys), len(names)
+            return batch_of(
+                _PIECE,
+                np.repeat(np.array([0, 1], dtype=np.int32), [k, d]),
+                new_keys + [digest(str(x).encode()) for x in docs.to_pylist()],
+                pa.concat_arrays([pa.nulls(k, pa.int64()), docs]),
+                np.concatenate((np.array(new_sizes, dtype=np.int64), size)),
+                payloads + names,
+                [None] * k + roots,
+                [None] * k + extra,
+            )
 
         return step
 
@@ -158,34 +187,44 @@ def write_store(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", en
                 yield batch.filter(pa.array(keep))
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = arrow_map(picked, task, _KIND)
+    pieces = arrow_map(picked, task, _KIND, limit=4 << 20)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces.repartition(parts, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(once, _KIND).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/pieces")
 
-    recipes = spark.read.schema(_KIND).parquet(f"{path}/pieces").where("kind = 1").select("doc_id", "n", "payload", "root")
+    recipes = spark.read.schema(_KIND).parquet(f"{path}/pieces").where("kind = 1").select("doc_id", "n", "payload", "root", "chunks")
     started = running_start(recipes, ["doc_id", "root"], "n", "start")
-    started.select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("payload").alias("digests"), "root").repartitionByRange(parts, "start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
+    started.select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("payload").alias("digests"), "chunks", "root").repartitionByRange(parts, "start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
+    _roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    return _root(spark.read.parquet(f"{path}/manifest"))
+
+
+def _roots(recipes: DataFrame) -> DataFrame:
+    """(part, n_docs, n_tokens, root): the Merkle root over the documents that start in each stretch of PART ids."""
+
+    def one(some: pa.Table) -> pa.Table:
+        some = some.sort_by("start")
+        n = sum(some.column("n_tokens").to_pylist())
+        return pa.table([[some.column("part")[0].as_py()], [some.num_rows], [n], [merkle(some.column("root").to_pylist())]], schema=_MANIFEST)
+
+    rows = recipes.select(F.expr(f"start div {PART}").alias("part"), "start", "n_tokens", "root")
+    return rows.groupBy("part").applyInArrow(one, "part long, n_docs long, n_tokens long, root binary")
 
-    def roots(batches):
-        names: list[bytes] = []
-        total = 0
-        for batch in batches:
-            names += batch.column("root").to_pylist()
-            total += sum(batch.column("n_tokens").to_pylist())
-            if len(names) > 1 << 16:  # whole subtrees fold into one leaf: memory stays bounded
-                names = [merkle(names)]
-        if names:
-            yield pa.RecordBatch.from_pydict({"first": [names[0]], "n_tokens": [total], "root": [merkle(names)]}, schema=pa.schema([("first", pa.binary()), ("n_tokens", pa.int64()), ("root", pa.binary())]))
 
-    read = spark.read.parquet(f"{path}/recipes").select("start", "root", "n_tokens")
-    read.repartitionByRange(parts, "start").sortWithinPartitions("start").mapInArrow(roots, "first binary, n_tokens long, root binary").withColumn("part", F.spark_partition_id()).select("part", "n_tokens", "root").write.parquet(f"{path}/manifest")
-    return merkle([bytes(r["root"]) for r in spark.read.parquet(f"{path}/manifest").orderBy("part").collect()])
+def _root(manifest: DataFrame) -> bytes:
+    """One root over all parts: those of 4,096 parts each are joined on the executors."""
 
+    def one(some: pa.Table) -> pa.Table:
+        some = some.sort_by("part")
+        leaves = [digest(b"%d %d %d %s" % r) for r in zip(*(some.column(c).to_pylist() for c in ("part", "n_docs", "n_tokens", "root")), strict=True)]
+        return pa.table([[some.column("part")[0].as_py() >> 12], [merkle(leaves)]], schema=_GROUP)
 
-def read_store(spark: SparkSession, path: str, width: str = "<u2") -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files alone. Every chunk is hashed again and every document's
-    Merkle root and length compared; a difference raises. Chunks stay where they are: what is joined is their checked
-    digest, length and CRC, and a document's CRC follows from its chunks'."""
+    groups = manifest.withColumn("g", F.expr("part div 4096")).groupBy("g").applyInArrow(lambda t: one(t.drop(["g"])), "g long, root binary")
+    return merkle([bytes(r["root"]) for r in sorted(groups.collect(), key=lambda r: r["g"])])
+
+
+def verify_store(spark: SparkSession, path: str, root: bytes | None = None, width: str = "<u2") -> None:
+    """Raises ValueError unless the store is whole: every chunk hashes to its name, every recipe lists chunks that are
+    there with the length and CRC that it states, and the recipes give the manifest's roots and (if given) `root`."""
 
     def checked(batches):
         for batch in batches:
@@ -195,29 +234,75 @@ def read_store(spark: SparkSession, path: str, width: str = "<u2") -> DataFrame:
                 if digest(payload) != key or len(ids) != n:
                     raise ValueError(f"chunk {key.hex()} is damaged")
                 crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
-            yield batch_of(_CHECKED, batch.column("key").to_pylist(), batch.column("n"), crcs)
+            yield batch_of(_CHECKED, batch.column("key"), batch.column("n"), crcs)
+
+    def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        # each distinct chunk once a batch: one that very many documents share never meets as many rows
+        names, sizes, crcs = set(), [], []
+        for digests, chunks in zip(batch.column("digests").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
+            both = np.frombuffer(chunks, dtype="<u4").reshape(2, -1)
+            names.update(zip((digests[i : i + 16] for i in range(0, len(digests), 16)), both[0].tolist(), both[1].tolist(), strict=True))
+        names, sizes, crcs = zip(*names, strict=True) if names else ((), (), ())
+        return batch_of(_CHECKED, list(names), list(sizes), list(crcs))
+
+    same = ["key", "n", "crc"]
+    there = spark.read.schema(_KIND).parquet(f"{path}/pieces").where("kind = 0").select("key", "n", "payload").mapInArrow(checked, "key binary, n long, crc long")
+    recipes = spark.read.parquet(f"{path}/recipes")
+    named = arrow_map(recipes.select("digests", "chunks"), listed, "key binary, n long, crc long", column="digests").distinct()
+    if lost := named.join(there, same, "left_anti").limit(1).collect():
+        raise ValueError(f"chunk {bytes(lost[0]['key']).hex()} is missing, or not as a recipe states it")
+    kept, found = spark.read.parquet(f"{path}/manifest"), _roots(recipes)
+    cells = lambda df, c: df.select("part", F.struct("n_docs", "n_tokens", "root").alias(c))
+    other = cells(kept, "a").join(cells(found, "b"), "part", "full").where(~F.col("a").eqNullSafe(F.col("b"))).limit(1).collect()
+    if other:
+        raise ValueError(f"the recipes of part {other[0]['part']} are not those of the manifest")
+    if root is not None and _root(kept) != root:
+        raise ValueError("the manifest is not the one that was written")
+
+
+def read_store(spark: SparkSession, path: str, root: bytes | None = None, width: str = "<u2") -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) from the files alone, after verify_store() has found them whole.
+
+    Chunks stay where they are: a document's CRC follows from the lengths and CRCs of its chunks, which have been
+    held against the payloads. Every document's own Merkle root and length are compared; a difference raises.
+    """
+    verify_store(spark, path, root, width)
 
     def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for doc, start, n, digests, root, chunks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "digests", "root", "chunks")), strict=True):
-            chunks = sorted(chunks, key=lambda c: c["pos"])
-            crc = 0
-            for c in chunks:
-                crc = crc_joined(crc, c["crc"], 4 * c["n"])
-            if merkle([digests[i : i + 16] for i in range(0, len(digests), 16)]) != root or sum(c["n"] for c in chunks) != n or len(chunks) * 16 != len(digests):
+        many, sizes, crcs = [], [], []
+        for doc, n, digests, own, chunks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "digests", "root", "chunks")), strict=True):
+            both = np.frombuffer(chunks, dtype="<u4").reshape(2, -1)
+            if merkle([digests[i : i + 16] for i in range(0, len(digests), 16)]) != own or int(both[0].sum()) != n or len(both[0]) * 16 != len(digests):
                 raise ValueError(f"document {doc} cannot be rebuilt")
-            out.append((doc, start, n, crc))
-        return batch_of(_READ, *zip(*out, strict=True))
+            many.append(len(both[0]))
+            sizes.append(both[0])
+            crcs.append(both[1])
+        size, crc = np.concatenate(sizes).astype(np.int64) * 4, np.concatenate(crcs)
+        first = np.cumsum(many) - many
+        done = np.cumsum(size)
+        after = np.repeat(done[first + many - 1], many) - done  # bytes of the document behind each chunk
+        whole = np.bitwise_xor.reduceat(crc_moved(crc, after), first)
+        return batch_of(_READ, batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), whole.astype(np.int64))
 
-    chunks = spark.read.schema(_KIND).parquet(f"{path}/pieces").where("kind = 0").select("key", "n", "payload").mapInArrow(checked, "key binary, n long, crc long")
-    recipes = spark.read.parquet(f"{path}/recipes")
+    return arrow_map(spark.read.parquet(f"{path}/recipes"), joined, "doc_id long, start long, n_tokens long, ids_crc32 long", column="digests", limit=1 << 20)
+
+
+def rebuilt(spark: SparkSession, path: str, width: str = "<u2") -> DataFrame:
+    """(doc_id, start, n_tokens, ids): every document's ids as little-endian unsigned 32-bit bytes, put together from
+    its chunks. A document's chunks meet in one row, as long as the document."""
+
+    def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = [b"".join(np.frombuffer(c["payload"], dtype=width).astype("<u4").tobytes() for c in sorted(x, key=lambda c: c["pos"])) for x in batch.column("chunks").to_pylist()]
+        return batch_of(_IDS, batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), ids)
+
+    chunks = spark.read.schema(_KIND).parquet(f"{path}/pieces").where("kind = 0").select("key", "payload")
     at = F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("digests") / 16 - 1).cast("int")), lambda k: F.substring("digests", k * 16 + 1, F.lit(16))))
-    parts = recipes.select("doc_id", "start", "n_tokens", "digests", "root", at.alias("pos", "key")).select("doc_id", "start", "n_tokens", "pos", "key", F.when(F.col("pos") == 0, F.col("digests")).alias("digests"), F.when(F.col("pos") == 0, F.col("root")).alias("root"))
-    whole = parts.join(chunks, "key", "left").groupBy("doc_id", "start", "n_tokens").agg(F.max("digests").alias("digests"), F.max("root").alias("root"), F.collect_list(F.struct("pos", F.coalesce("n", F.lit(-1)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"))).alias("chunks"))
-    return arrow_map(whole, joined, "doc_id long, start long, n_tokens long, ids_crc32 long", column="digests", limit=1 << 20)
+    parts = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", at.alias("pos", "key"))
+    whole = parts.join(chunks, "key").groupBy("doc_id", "start", "n_tokens").agg(F.collect_list(F.struct("pos", "payload")).alias("chunks"))
+    return whole.mapInArrow(lambda batches: map(joined, batches), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op10_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
-    write_store(table(spark, sf_dir, "documents"), path)
-    return read_store(spark, path)
+    root = write_store(table(spark, sf_dir, "documents"), path)
+    return read_store(spark, path, root)

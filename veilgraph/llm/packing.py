@@ -1,156 +1,219 @@
 """Operator 7, packing: a sharded BM25 index hands each seed document its unused neighbours, which fill its window.
 
-Statistics (number of documents, document frequencies, mean length) are those of all documents. A shard holds the
-postings of a run of about BLOCK_BYTES of text; each seed asks every shard with all its words, and the shards' top lists
-are merged. Windows grow in rounds: some thousand chains of windows ask at once, the driver hands out documents chain
-by chain, and a seed that others left short asks again. No choice depends on file layout or partitioning: scores are
-whole numbers, and ties go by a hash of id and text, counted from the seed's own.
+1. Statistics of all documents: how many there are, their mean length, and in how many each (hashed) term occurs.
+2. Routing: a document's key is a common term and any term drawn from its own by weight (rare terms that other documents
+   share weigh most), with the same draws for all documents, so documents with much in common meet. All documents are laid out by (key, hash of id and text) and cut into ranges and shards of
+   about BLOCK_BYTES of text. A key of any size is cut the same way, so no shard grows with it.
+3. A task indexes its shard under the statistics of all documents. The first unused document is a seed; its BM25
+   score with every document of the shard, over all its terms, gives the unused neighbours that fill the window. What
+   is left of the last one opens the next window and is its seed.
+No choice depends on file layout or partitioning. The work grows in proportion to the input: a seed sees its own shard
+only, so a neighbour under another key is not found; README.md gives the measured share of best neighbours found.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
-from collections import defaultdict
-from collections.abc import Callable, Iterator
-from hashlib import blake2b
-from itertools import count
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilgraph.llm import tokens as tokenizing
-from veilgraph.llm.common import batch_of, shared_dir, sliced, table, texts_of, written
-from veilgraph.llm.tokens import encoder_for
+from veilgraph.llm.common import arrow_map, batch_of, per_task, running_start, sliced, table, written
+from veilgraph.llm.tokens import chunks, encoder_for, laid_out, scrambled, stems, words
 
 WINDOW_TOKENS, BLOCK_BYTES, K1, B = 4096, 12 << 20, 1.2, 0.75
-#: Chains of windows that grow at the same time, at most, and unused documents for each of them, at least.
-CHAINS, CHAIN_DOCS = 4096, 8
-#: Scores count in units of 1 / UNIT, so that their sums are exact in any order. Scores held at once by a search.
-UNIT, SCORES = 1 << 20, 1 << 18
-_HELD = pa.schema([("shard", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("raw", pa.binary()), ("n", pa.int64()), ("words", pa.int64()), *((c, pa.binary()) for c in ("h", "tokens", "lengths", "terms", "df", "doc", "tf"))])
-HELD = "shard long, row long, doc_id long, raw binary, n long, words long, h binary, tokens binary, lengths binary, terms binary, df binary, doc binary, tf binary"
-_INDEX = pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in ("h", "tokens", "lengths", "terms", "df", "idf", "doc", "tf"))])
-INDEX = "shard long, h binary, tokens binary, lengths binary, terms binary, df binary, idf binary, doc binary, tf binary"
-_FOUND = pa.schema([("seed", pa.int64()), ("score", pa.int64()), ("tie", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("most", pa.int64())])
-_CUT = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+#: Terms are hashed to so many bits; what goes to all tasks is one number for each, whatever the input's size.
+TERM_BITS, PART_BITS = 22, 16
+#: A document's first draw is among the terms that more than this share of all documents have.
+COMMON = 1 / 16
+#: Ranges of the layout, at most: their first places go to all tasks. A range holds one or several shards.
+RANGES = 1 << 16
+_COUNT = pa.schema([("part", pa.int32()), ("counts", pa.binary()), ("docs", pa.int64()), ("words", pa.int64())])
+_PLACE = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64())])
+_DEALT = pa.schema([("range", pa.int32()), ("key", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("terms", pa.binary()), ("tf", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def postings(texts: list[str]) -> dict[str, np.ndarray]:
-    """Of lower-cased words: term hashes in order, how many documents have each, (document, frequency) by term; words a document."""
-    names: defaultdict[str, int] = defaultdict(count().__next__)
-    words = [np.array(list(map(names.__getitem__, x.lower().split())), dtype=np.int64) for x in texts]
-    lengths = np.array([len(x) for x in words], dtype=np.int64)
-    key = np.array([int.from_bytes(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for x in names], dtype=np.uint64)
-    order = np.argsort(key)
-    place = np.empty(len(key), np.int64)
-    place[order] = np.arange(len(key))
-    n = max(1, len(texts))
-    flat = place[np.concatenate(words)] if len(key) else np.zeros(0, np.int64)
-    pair, tf = np.unique(flat * n + np.repeat(np.arange(len(texts)), lengths), return_counts=True)
-    term, doc = np.divmod(pair, n)
-    return {"lengths": lengths, "terms": key[order], "df": np.bincount(term, minlength=len(key)), "doc": doc, "tf": tf}
+def terms_of(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """(document, term, frequency) of each distinct term of each text, in order, and the words of each text.
 
+    A word is a stretch without white space, less a last mark after a letter, with A-Z (and their Latin-1 kin)
+    lower-cased; a term is its hash, over its first 24 bytes and its length.
+    """
+    data, offsets = laid_out(column)
+    n = len(offsets) - 1
+    if not len(data):
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, np.zeros(n, dtype=np.int64)
+    _, _, start, stop = chunks(data, offsets)
+    stop = stems(data, start, stop)
+    low = np.concatenate((data, np.zeros(32, dtype=np.uint8)))
+    low[:-32] += ((data >= 65) & (data <= 90)).astype(np.uint8) * 32
+    wide = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    low[wide] += 32
+    h = scrambled((stop - start).astype(np.uint64) + words(low, start, stop, 0))
+    for k in (1, 2):
+        h = scrambled(h * np.uint64(0x9E3779B97F4A7C15) + words(low, start, stop, k))
+    doc = np.searchsorted(offsets, start, side="right") - 1
+    both = np.sort(doc << TERM_BITS | (h >> np.uint64(64 - TERM_BITS)).astype(np.int64))
+    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
+    tf = np.diff(np.concatenate((first, [len(both)])))
+    return both[first] >> TERM_BITS, both[first] & ((1 << TERM_BITS) - 1), tf, np.bincount(doc, minlength=n)
 
-def _packed(x: np.ndarray) -> bytes:
-    """Small whole numbers in as few bytes as hold them all."""
-    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
 
+def idf_of(df: np.ndarray, total: int) -> np.ndarray:
+    """0 for terms of one document only."""
+    return np.where(df > 1, np.log1p((total - df + 0.5) / (df + 0.5)), 0.0)
 
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, dtype=f"u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
+def statistics(texts: DataFrame) -> tuple[np.ndarray, int, float]:
+    """(documents with each term, documents, mean words) over all rows of (text)."""
 
-def idf_of(df: np.ndarray, total: int) -> np.ndarray:
-    return np.log1p((total - df + 0.5) / (df + 0.5))
+    def run(batches):
+        counts, docs, total = np.zeros(1 << TERM_BITS, dtype=np.uint32), 0, 0
+        for batch in batches:
+            for part in sliced(batch, "text", 4 << 20):
+                _, term, _, length = terms_of(part.column("text"))
+                counts += np.bincount(term, minlength=1 << TERM_BITS).astype(np.uint32)
+                docs, total = docs + len(length), total + int(length.sum())
+        if docs:
+            for k, part in enumerate(np.split(counts, len(counts) >> PART_BITS)):
+                yield batch_of(_COUNT, [k], [zlib.compress(part.astype("<u4").tobytes(), 1)], [docs if k == 0 else 0], [total if k == 0 else 0])
+
+    def summed(part: pa.Table) -> pa.Table:
+        out = np.zeros(1 << PART_BITS, dtype=np.uint64)
+        for raw in part.column("counts"):
+            data = zlib.decompress(raw.as_py())
+            out += np.frombuffer(data, dtype="<u4" if len(data) == 4 << PART_BITS else "<u8")
+        return pa.table([part.column("part")[:1], [zlib.compress(out.tobytes(), 1)], [sum(part.column("docs").to_pylist())], [sum(part.column("words").to_pylist())]], schema=_COUNT)
+
+    kind = "part int, counts binary, docs long, words long"
+    # a part's counts meet in two steps, some tasks' at a time
+    some = texts.mapInArrow(run, kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("part", "salt").applyInArrow(lambda t: summed(t.drop(["salt"])), kind)
+    df = np.zeros(1 << TERM_BITS, dtype=np.float64)
+    docs = total = 0
+    for r in some.groupBy("part").applyInArrow(summed, kind).collect():
+        df[r["part"] << PART_BITS : (r["part"] + 1) << PART_BITS] = np.frombuffer(zlib.decompress(r["counts"]), dtype="<u8")
+        docs, total = docs + r["docs"], total + r["words"]
+    return df, docs, total / max(1, docs)
+
+
+def keys_of(doc: np.ndarray, term: np.ndarray, df: np.ndarray, idf: np.ndarray, total: int, n: int) -> np.ndarray:
+    """Each document's key: a draw from its terms that a COMMON share of all documents has, then a draw from all of them.
+
+    Chances are in proportion to idf and the draws are the same for all documents, so the chance that two documents
+    draw the same term is their idf-weighted Jaccard similarity over the terms in question.
+    """
+    key = np.zeros(n, dtype=np.int64)
+    for salt, some in ((1, (df[term] > total * COMMON) & (idf[term] > 0)), (2, idf[term] > 0)):
+        won = np.zeros(n, dtype=np.int64)
+        d, t = doc[some], term[some]
+        if len(d):
+            first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+            size = np.diff(np.concatenate((first, [len(d)])))
+            bits = scrambled((t.astype(np.uint64) + np.uint64(salt << 40)) * np.uint64(0x9E3779B97F4A7C15))
+            race = -np.log(((bits >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / idf[t]
+            low = np.repeat(np.minimum.reduceat(race, first), size)
+            at = np.flatnonzero(race == low)
+            won[d[at[::-1]]] = t[at[::-1]] + 1
+        key = key << 31 | won
+    return key
 
 
 class Shard:
-    """Postings of some documents under the statistics of all; terms of one document only are left out."""
-
-    def __init__(self, lengths, terms, df, idf, doc, tf, mean: float):
-        self.n, self.terms, self.doc = len(lengths), terms, doc
-        self.first = np.concatenate(([0], np.cumsum(df))).astype(np.int64)
-        norm = K1 * (1 - B + B * lengths / max(1.0, mean))
-        self.weight = np.rint(np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[doc]) * UNIT)
-        # terms of many documents are added by a matrix product, the others posting by posting
-        self.wide = np.flatnonzero(df * 10 > self.n) if self.n > 100 else np.zeros(0, np.int64)
-        self.column = np.full(len(terms), -1)
-        self.column[self.wide] = np.arange(len(self.wide))
-        self.dense = np.zeros((len(self.wide), self.n))
-        for k, t in enumerate(self.wide.tolist()):
+    """Postings of some documents, weighted under the statistics of all."""
+
+    def __init__(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float):
+        self.n = n = len(length)
+        self.cut = np.searchsorted(doc, np.arange(n + 1))  # a document's terms
+        names, at = np.unique(term, return_inverse=True)
+        df = np.bincount(at, minlength=len(names))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(1.0, mean)))
+        useful = (df > 1) & (idf[names] > 0)  # others score with the seed alone
+        self.at = np.where(useful[at], at, -1)
+        order = np.argsort(at, kind="stable")
+        self.doc, self.weight = doc[order].astype(np.int32), weight[order].astype(np.float32)
+        self.first = np.concatenate(([0], np.cumsum(df)))
+        # terms of many documents as dense rows, the others posting by posting
+        wide = np.flatnonzero(useful & (df * 8 > n))
+        self.row = np.full(len(names), -1)
+        self.row[wide] = np.arange(len(wide))
+        self.dense = np.zeros((len(wide), n), dtype=np.float32)
+        for k, t in enumerate(wide.tolist()):
             span = slice(self.first[t], self.first[t + 1])
-            self.dense[k, doc[span]] = self.weight[span]
-
-    def terms_of(self, rows: list[int]) -> dict[int, np.ndarray]:
-        wanted = np.zeros(self.n, dtype=bool)
-        wanted[rows] = True
-        at = np.flatnonzero(wanted[self.doc])
-        doc, term = self.doc[at], np.searchsorted(self.first, at, side="right") - 1
-        order = np.argsort(doc, kind="stable")
-        doc, term = doc[order], self.terms[term[order]]
-        return {r: term[np.searchsorted(doc, r) : np.searchsorted(doc, r, side="right")] for r in rows}
-
-    def scores(self, asked: list[np.ndarray]) -> np.ndarray:
-        """BM25 of each asked set of terms with each document, over all terms."""
-        out = np.zeros((len(asked), self.n))
-        if not len(self.terms) or not asked:
-            return out
-        owner, term = np.repeat(np.arange(len(asked)), [len(x) for x in asked]), np.concatenate(asked)
-        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
-        hit = self.terms[at] == term
-        owner, at = owner[hit], at[hit]
-        column = self.column[at]
-        if len(self.wide):
-            has = np.zeros((len(asked), len(self.wide)))
-            has[owner[column >= 0], column[column >= 0]] = 1
-            out += has @ self.dense
-        owner, at = owner[column < 0], at[column < 0]
-        size = self.first[at + 1] - self.first[at]
-        total = int(size.sum())
-        if total:
-            place = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(total)
-            out += np.bincount(np.repeat(owner * self.n, size) + self.doc[place], self.weight[place], minlength=out.size).reshape(out.shape)
+            self.dense[k, self.doc[span]] = self.weight[span]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of the seed's terms, all of them, with each document."""
+        at = self.at[self.cut[seed] : self.cut[seed + 1]]
+        at = at[at >= 0]
+        row = self.row[at]
+        out = self.dense[row[row >= 0]].sum(0) if (row >= 0).any() else np.zeros(self.n, dtype=np.float32)
+        at = at[row < 0]
+        if len(at):
+            size = self.first[at + 1] - self.first[at]
+            place = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            out = out + np.bincount(self.doc[place], self.weight[place], minlength=self.n)
         return out
 
-    def best(self, seeds: list[tuple[int, int, np.ndarray]], free: np.ndarray, h: np.ndarray, tokens: np.ndarray) -> Iterator[tuple]:
-        """For each seed (hash, tokens wanted, terms): its best free documents, up to those tokens; (rows, scores, ties)."""
-        step = max(1, SCORES // max(1, self.n))
-        for start in range(0, len(seeds), step):
-            some = seeds[start : start + step]
-            for (own, most, _), score in zip(some, self.scores([x[2] for x in some]), strict=True):
-                found = np.flatnonzero((score > 0) & free)
-                value, keep = score[found], 32
-                while keep < len(found):  # all that score as the last one kept stay in
-                    bar = np.partition(value, len(value) - keep)[len(value) - keep]
-                    if tokens[found[value > bar]].sum() >= most:
-                        found = found[value >= bar]
-                        break
-                    keep *= 4
-                value, tie = score[found], h[found] - np.int64(own)
-                order = np.lexsort((found, tie, -value))
-                before = np.cumsum(tokens[found[order]]) - tokens[found[order]]
-                order = order[before < most]
-                yield found[order], value[order].astype(np.int64), tie[order]
+
+def neighbours(score: np.ndarray, unused: np.ndarray) -> Iterator[int]:
+    """Unused documents of positive score, best first, ties in the shard's order."""
+    found = np.flatnonzero((score > 0) & unused)
+    value, keep, given = score[found], 32, 0
+    while given < len(found):
+        if keep < len(found):
+            bar = np.partition(value, len(found) - keep)[len(found) - keep]
+            some = np.flatnonzero(value >= bar)
+        else:
+            some = np.arange(len(found))
+        some = some[np.lexsort((some, -value[some]))]
+        yield from found[some[given:]].tolist()
+        given, keep = len(some), keep * 8
+
+
+def reading_order(shard: Shard, tokens: np.ndarray, window: int = WINDOW_TOKENS, filled: int = 0) -> Iterator[int]:
+    """The shard's documents in the order in which they fill windows. `filled`: tokens that the first one holds already."""
+    unused, room, seed, first = np.ones(shard.n, dtype=bool), window - filled, -1, 0
+    while True:
+        if seed < 0:
+            while first < shard.n and not unused[first]:
+                first += 1
+            if first == shard.n:
+                return
+            seed = first
+            unused[seed] = False
+            yield seed
+            room -= int(tokens[seed])
+            if room <= 0:
+                room = window - (-room) % window
+        last = -1
+        for d in neighbours(shard.scores(seed), unused):
+            unused[d] = False
+            yield d
+            room -= int(tokens[d])
+            if room <= 0:  # the window is full; what is left of d opens the next one and is its seed
+                room, last = window - (-room) % window, d
+                break
+        seed = last
 
 
 class Packer:
-    """Cuts a stream of documents into sequences; all packers of a run take their numbers from one counter."""
+    """Cuts a stream of documents into sequences."""
 
-    def __init__(self, window: int, numbers):
-        self.window, self.numbers, self.open, self.fill = window, numbers, [], 0
+    def __init__(self, window: int, first: int = 0):
+        self.window, self.number, self.open, self.fill = window, first, [], 0
 
     def _close(self) -> list[tuple]:
-        out, offset, number = [], 0, next(self.numbers)
+        out, offset = [], 0
         for doc, start, length in self.open:
-            out.append((doc, start, length, number, offset))
+            out.append((doc, start, length, self.number, offset))
             offset += length
-        self.open, self.fill = [], 0
+        self.open, self.fill, self.number = [], 0, self.number + 1
         return out
 
     def add(self, doc: int, start: int, end: int) -> list[tuple]:
@@ -181,246 +244,134 @@ class Packer:
         return out
 
 
-def grown(tokens: np.ndarray, h: np.ndarray, search: Callable, window: int, chains: int = CHAINS, filled: int = 0) -> Iterator[tuple[int, int]]:
-    """(chain, document) in the order in which documents fill windows. `filled`: tokens that the first windows hold already.
+def layout(places: DataFrame, block: int) -> list[tuple[int, int]]:
+    """(key, h) at which each range begins, in order, of rows (key, h, doc_id, size).
 
-    `search([(seed, tokens wanted)], unused)` gives each seed's best unused documents, best first, up to those tokens.
+    A range takes `block` bytes, or several times that in a table of over RANGES blocks. Range-partitioned running sums, so no key is too large; at most RANGES ranges.
     """
-    unused, order, at = np.ones(len(tokens), dtype=bool), np.argsort(h, kind="stable"), 0
-    seeds, room, left = [-1] * chains, [window - filled] * chains, len(tokens)
-    while left:
-        active = min(chains, -(-left // CHAIN_DOCS))
-        for c in range(active):
-            if seeds[c] < 0:
-                while at < len(order) and not unused[order[at]]:
-                    at += 1
-                if at == len(order):
-                    continue
-                d = seeds[c] = int(order[at])
-                unused[d], left = False, left - 1
-                yield c, d
-                room[c] -= int(tokens[d])
-                if room[c] <= 0:
-                    room[c] = window - (-room[c]) % window
-        if not left:
-            return
-        asked = [(seeds[c], 2 * room[c]) for c in range(active)]
-        found = search(asked, unused)
-        for c, (seed, most) in enumerate(asked):
-            some, full = found.get(seed, ()), False
-            for d in some:
-                if not unused[d]:
-                    continue
-                unused[d], left = False, left - 1
-                yield c, d
-                room[c] -= int(tokens[d])
-                if room[c] <= 0:  # the window is full; what is left of d opens the next one and is its seed
-                    seeds[c], full = d, True
-                    room[c] = window - (-room[c]) % window
-                    break
-            if not full and sum(int(tokens[d]) for d in some) < most:
-                seeds[c] = -1  # there is no more than this list; where there is, the same seed asks again
-
-
-def reading_order(texts: list[str], tokens: list[int], window: int = WINDOW_TOKENS, filled: int = 0):
-    """Document indexes in the order in which one chain packs them, all in one shard."""
-    p, size, h = postings(texts), np.asarray(tokens, dtype=np.int64), np.arange(len(texts))
-    idf = np.where(p["df"] > 1, idf_of(p["df"], len(texts)), 0.0)
-    shard = Shard(idf=idf, mean=float(np.mean(p["lengths"])) if texts else 1.0, **p)
-
-    return (d for _, d in grown(size, h, _search_here([(0, shard)], h, size), window, 1, filled))
-
-
-def _search_here(shards: list[tuple[int, Shard]], h: np.ndarray, tokens: np.ndarray) -> Callable:
-    """The search over shards (first document, shard) that are in memory."""
-
-    def search(asked: list[tuple[int, int]], unused: np.ndarray) -> dict[int, list[int]]:
-        terms, out = {}, {}
-        for start, shard in shards:
-            mine = [s - start for s, _ in asked if start <= s < start + shard.n]
-            terms |= {r + start: x for r, x in shard.terms_of(mine).items()}
-        seeds = [(int(h[s]), most, terms[s]) for s, most in asked]
-        lists = [shard.best(seeds, unused[a : a + shard.n], h[a : a + shard.n], tokens[a : a + shard.n]) for a, shard in shards]
-        for (s, most), *parts in zip(asked, *lists, strict=True):
-            rows, score, tie = (np.concatenate(x) for x in zip(*((r + a, v, t) for (a, _), (r, v, t) in zip(shards, parts, strict=True)), strict=True))
-            rows = rows[np.lexsort((rows, tie, -score))]
-            out[s] = rows[np.cumsum(tokens[rows]) - tokens[rows] < most].tolist()
-        return out
-
-    return search
+    total = places.agg(F.sum("size")).first()[0] or 0
+    shards = max(1, -(-total // (block * RANGES)))
+    placed = running_start(places, ["key", "h", "doc_id"], "size", "before").select("key", "h", F.expr(f"before div {block * shards}").alias("range"))
+    firsts = placed.groupBy("range").agg(F.min(F.struct("key", "h")).alias("first")).orderBy("range").collect()
+    return [(r["first"]["key"], r["first"]["h"]) for r in firsts]
 
 
-def _shard(row: dict, mean: float) -> Shard:
-    ints = np.frombuffer(row["df"], np.int64)
-    n = int(ints.sum())
-    return Shard(np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["terms"], np.uint64), ints, np.frombuffer(row["idf"]), _unpacked(row["doc"], n), _unpacked(row["tf"], n), mean)
+def range_of(firsts: np.ndarray, key: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The last range that begins at or before each (key, h). `firsts` is a sorted array of (key, h) pairs."""
+    asked = np.empty(len(key), dtype=firsts.dtype)
+    asked["key"], asked["h"] = key, h
+    return np.maximum(np.searchsorted(firsts, asked, side="right") - 1, 0)
 
 
-def _indexed(held: DataFrame, total: int) -> DataFrame:
-    """The shards with each term's weight among all documents; terms of one document only go."""
-
-    def counted(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                t = np.frombuffer(row["terms"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), row["shard"])), pa.array(np.frombuffer(row["df"], np.int64))], ["t", "shard", "n"])
-
-    def joined(some: pa.Table, known: pa.Table) -> pa.Table:
-        out = []
-        for row in some.to_pylist():
-            t, n = np.asarray(known.column("t")).astype(np.int64).view(np.uint64), np.asarray(known.column("n"))
-            order = np.argsort(t)
-            t, n = t[order], n[order]
-            terms, df = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["df"], np.int64)
-            size = int(df.sum())
-            at = np.searchsorted(t, terms)
-            keep = np.zeros(len(terms), dtype=bool)
-            keep[at < len(t)] = t[at[at < len(t)]] == terms[at < len(t)]
-            post = np.repeat(keep, df)
-            out.append((row["shard"], row["h"], row["tokens"], row["lengths"], terms[keep].tobytes(), df[keep].tobytes(), idf_of(n[at[keep]], total).tobytes(), _packed(_unpacked(row["doc"], size)[post]), _packed(_unpacked(row["tf"], size)[post])))
-        return pa.table([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), _INDEX, strict=True)], schema=_INDEX) if out else _INDEX.empty_table()
-
-    each = held.select("shard", "terms", "df").mapInArrow(counted, "t long, shard long, n long")
-    known = each.groupBy("t").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("shards")).where("n > 1").select("t", "n", F.explode("shards").alias("shard"))
-    return written(held.drop("row", "doc_id", "raw").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(joined, INDEX), "packing-index")
-
-
-def _search(index: DataFrame, base: dict[int, int], mean: float, hashes: np.ndarray) -> Callable:
-    """A search of every shard for each seed, with the shards' lists merged."""
-    spark, known = index.sparkSession, {}
-
-    def search(asked: list[tuple[int, int]], unused: np.ndarray) -> dict[int, list[int]]:
-        new = sorted({s for s, _ in asked} - known.keys())
-
-        def fetch(batches):
-            for b in batches:
-                for row in b.to_pylist():
-                    start, n = base[row["shard"]], len(row["lengths"]) // 8
-                    mine = [s - start for s in new if start <= s < start + n]
-                    if mine:
-                        got = _shard(row, mean).terms_of(mine)
-                        yield pa.RecordBatch.from_arrays([pa.array([r + start for r in got]), pa.array([x.tobytes() for x in got.values()])], ["seed", "terms"])
-
-        for s in known.keys() - {s for s, _ in asked}:
-            del known[s]
-        if new:
-            known.update({r["seed"]: np.frombuffer(r["terms"], np.uint64) for r in index.mapInArrow(fetch, "seed long, terms binary").collect()})
-        sent = spark.sparkContext.broadcast(([(s, int(hashes[s]), most, known[s]) for s, most in asked], np.packbits(unused)))
-
-        def ask(batches):
-            tokenizing._HELD.clear()  # a worker that has encoded texts before gives that memory to the search
-            seeds, bits = sent.value
-            for b in batches:
-                for row in b.to_pylist():
-                    start, n = base[row["shard"]], len(row["lengths"]) // 8
-                    free = np.unpackbits(bits[start // 8 : (start + n + 7) // 8])[start % 8 : start % 8 + n].astype(bool)
-                    if not free.any():
-                        continue
-                    tokens = np.frombuffer(row["tokens"], np.int64)
-                    lists = _shard(row, mean).best([x[1:] for x in seeds], free, np.frombuffer(row["h"], np.int64), tokens)
-                    for (s, _, most, _), (rows, score, tie) in zip(seeds, lists, strict=True):
-                        if len(rows):
-                            yield batch_of(_FOUND, np.full(len(rows), s), score, tie, rows + start, tokens[rows], np.full(len(rows), most))
-
-        by = Window.partitionBy("seed").orderBy(F.desc("score"), "tie", "doc")
-        found = index.mapInArrow(ask, "seed long, score long, tie long, doc long, n long, most long")
-        found = found.withColumn("before", F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1))).withColumn("at", F.row_number().over(by))
-        got = found.where("coalesce(before, 0) < most").select("seed", "at", "doc").toArrow().sort_by([("seed", "ascending"), ("at", "ascending")])
-        sent.destroy()
-        out = defaultdict(list)
-        for s, d in zip(got.column("seed").to_pylist(), got.column("doc").to_pylist(), strict=True):
-            out[s].append(d)
-        return out
-
-    return search
-
-
-def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 2, window: int = WINDOW_TOKENS, block: int = BLOCK_BYTES, doc_id: str = "doc_id", text: str = "text", here: int = BLOCK_BYTES) -> DataFrame:
+def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 2, window: int = WINDOW_TOKENS, block: int = BLOCK_BYTES, doc_id: str = "doc_id", text: str = "text", width: str = "<u2") -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset); each id of each row lies in exactly one.
 
     A null text counts as empty (its one id is the end id); null ids and repeated rows are packed as they are; an
-    empty table gives no rows; texts longer than a window are cut. The chains' unfilled windows are joined at the end,
-    and the last sequences of all have powers of two. A table of up to `here` bytes of ids is searched on the driver.
+    empty table gives no rows; texts longer than a window are cut; a text without words has no neighbours. What a
+    shard leaves at its end goes into sequences of powers of two. The documents are read three times and shuffled once
+    (their ids and terms, by range). `width` is the type in which ids are shuffled, '<u2' for vocabularies up to 65,536.
     """
     spark = docs.sparkSession
+    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("h"))
+    df, total, mean = statistics(docs.select(F.col(text).alias("text")))
+    sent = spark.sparkContext.broadcast((df.astype(np.float32), idf_of(df, total).astype(np.float32)))
+
+    def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc, term, _, _ = terms_of(batch.column("text"))
+        size = np.diff(laid_out(batch.column("text"))[1]) + 1
+        return batch_of(_PLACE, keys_of(doc, term, *sent.value, total, batch.num_rows), batch.column("h"), batch.column("doc_id"), size)
+
+    places = written(arrow_map(picked, placed, "key long, h long, doc_id long, size long", limit=4 << 20), "packing-places")
+    begins = layout(places, block)
+    if not begins:
+        return spark.createDataFrame([], PACKED)
+    firsts = spark.sparkContext.broadcast(np.array(begins, dtype=[("key", np.int64), ("h", np.int64)]))
+
+    @per_task
+    def task():
+        encoder = encoder_for(vocab)
+        small = np.dtype(width)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            column = batch.column("text")
+            doc, term, tf, length = terms_of(column)
+            key, h = keys_of(doc, term, *sent.value, total, batch.num_rows), np.asarray(batch.column("h"))
+            ids, sizes = encoder.encode(column)
+            raw, at = ids.astype(small).tobytes(), np.concatenate(([0], np.cumsum(sizes))).tolist()
+            wide = small.itemsize
+            cut = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
+            names, counts = term.astype("<u4").tobytes(), np.minimum(tf, 65535).astype("<u2").tobytes()
+            pairs = list(zip(cut, cut[1:], strict=False))
+            return batch_of(
+                _DEALT,
+                range_of(firsts.value, key, h).astype(np.int32),
+                key,
+                h,
+                batch.column("doc_id"),
+                np.diff(laid_out(column)[1]) + 1,
+                length,
+                [raw[a * wide : b * wide] for a, b in zip(at, at[1:], strict=False)],
+                [names[4 * a : 4 * b] for a, b in pairs],
+                [counts[2 * a : 2 * b] for a, b in pairs],
+            )
+
+        return step
+
+    def solve(rows: dict[str, list], first: int) -> tuple[list[tuple], int]:
+        """Pieces of one shard: (row, start, length, sequence, offset)."""
+        cut = [len(x) // 4 for x in rows["terms"]]
+        term, tf = np.frombuffer(b"".join(rows["terms"]), dtype="<u4"), np.frombuffer(b"".join(rows["tf"]), dtype="<u2")
+        tokens = np.array([len(x) // np.dtype(width).itemsize + 1 for x in rows["ids"]])
+        shard = Shard(np.repeat(np.arange(len(cut)), cut), term, tf, np.array(rows["length"]), sent.value[1], mean)
+        packer, out = Packer(window, first), []
+        for d in reading_order(shard, tokens, window):
+            out += packer.add(d, 0, int(tokens[d]))
+        out += packer.finish()
+        return out, packer.number
+
+    def pack(batches):
+        small, names = np.dtype(width), ("doc_id", "length", "ids", "terms", "tf")
+        now, number, size, rows = None, 0, 0, {c: [] for c in names}
+
+        def flush():
+            nonlocal number, rows, size
+            out, number = solve(rows, number)
+            ids = {}
+            done: list[tuple] = []
+            for d, start, length, sequence, offset in out:
+                if d not in ids:
+                    ids[d] = np.append(np.frombuffer(rows["ids"][d], dtype=small), end_id).astype("<u4").tobytes()
+                raw = ids[d]
+                done.append((rows["doc_id"][d], start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), len(raw) // 4, sequence, offset))
+                if 4 * (start + length) == len(raw):
+                    del ids[d]
+            rows, size = {c: [] for c in names}, 0
+            return batch_of(_OUT, *zip(*done, strict=True))
 
-    def run(batches):
-        encoder, number = encoder_for(vocab), count(TaskContext.get().partitionId() << 20)
-        end = end_id.to_bytes(4, "little")
-
-        def solve(held: list[pa.RecordBatch]):
-            shard, rows, size, p = next(number), 0, [], postings([x for b in held for x in texts_of(b)])
-            for b in held:
-                raw = [x + end for x in encoder.encode(texts_of(b))]
-                size += [len(x) // 4 for x in raw]
-                none = [None] * len(raw)
-                yield batch_of(_HELD, [shard] * len(raw), range(rows, rows + len(raw)), b.column("doc_id"), raw, *[none] * 9)
-                rows += len(raw)
-            h = np.concatenate([np.asarray(b.column("h")) for b in held]).astype(np.int64)
-            yield batch_of(_HELD, [shard], [None], [None], [None], [rows], [int(p["lengths"].sum())], [h.tobytes()], [np.array(size, dtype=np.int64).tobytes()], [p["lengths"].tobytes()], [p["terms"].tobytes()], [p["df"].astype(np.int64).tobytes()], [_packed(p["doc"])], [_packed(p["tf"])])
-
-        held, size = [], 0
         for batch in batches:
-            for part in sliced(batch, "text", block // 4):
-                held.append(part)
-                size += part.get_total_buffer_size() if part.num_rows == batch.num_rows else sum(len(x or "") for x in part.column("text").to_pylist())
-                if size >= block:
-                    yield from solve(held)
-                    held, size = [], 0
-        if held:
-            yield from solve(held)
-
-    asked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("h"))
-    held = written(asked.mapInArrow(run, HELD), "packing-texts")
-    shards = sorted(held.where("n is not null").select("shard", "n", "words", "h", "tokens").collect())
-    if not shards:
-        return spark.createDataFrame([], PACKED)
-    starts = np.cumsum([0] + [r["n"] for r in shards])
-    names, total = np.array([r["shard"] for r in shards]), int(starts[-1])
-    h, tokens = (np.concatenate([np.frombuffer(r[c], np.int64) for r in shards]) for c in ("h", "tokens"))
-    mean, base = sum(r["words"] for r in shards) / total, {r["shard"]: int(s) for r, s in zip(shards, starts, strict=False)}
-    del shards
-    index = _indexed(held.where("n is not null"), total)
-
-    if 4 * int(tokens.sum()) <= here:
-        search = _search_here([(base[r["shard"]], _shard(r, mean)) for r in index.collect()], h, tokens)
-    else:
-        search = _search(index, base, mean, h)
-
-    path, rows, numbers = f"{shared_dir(spark)}/packing-pieces-{uuid.uuid4().hex}", [], count()
-
-    def flush():
-        doc, *others = map(np.array, zip(*rows, strict=True))
-        at = np.searchsorted(starts, doc, side="right") - 1
-        spark.createDataFrame(pa.table([(names[at] << 24) + doc - starts[at], *others], schema=_CUT)).write.mode("append").parquet(path)
-        rows.clear()
-
-    packers: defaultdict[int, Packer] = defaultdict(lambda: Packer(window, numbers))
-    for c, d in grown(tokens, h, search, window):
-        rows += packers[c].add(d, 0, int(tokens[d]))
-        if len(rows) >= 1 << 20:
-            flush()
-    last = Packer(window, numbers)
-    for c in sorted(packers):
-        for doc, start, length in packers[c].open:
-            rows += last.add(doc, start, start + length)
-    rows += last.finish()
-    if rows:
-        flush()
-
-    def pieces(batches):
-        for b in batches:
-            for part in sliced(b, "raw", 8 << 20):
-                out = []
-                for row in part.to_pylist():
-                    for p in row["cuts"]:
-                        raw = row["raw"][4 * p["start"] : 4 * (p["start"] + p["length"])]
-                        out.append((row["doc_id"], p["start"], p["length"], zlib.crc32(raw), len(row["raw"]) // 4, p["sequence_id"], p["offset"]))
-                yield batch_of(_OUT, *zip(*out, strict=True))
-
-    cuts = spark.read.parquet(path).groupBy("key").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))
-    whole = held.where("n is null").select(F.expr("shiftleft(shard, 24) + row").alias("key"), "doc_id", "raw")
-    return whole.join(cuts, "key").select("doc_id", "raw", "cuts").mapInArrow(pieces, PACKED)
+            where = batch.column("range").to_pylist()
+            sizes = batch.column("size").to_pylist()
+            columns = {c: batch.column(c).to_pylist() for c in names}
+            for k, r in enumerate(where):
+                if rows["ids"] and (r != now or size >= block):
+                    yield flush()
+                if r != now:
+                    now, number = r, r << 32
+                for c, x in columns.items():
+                    rows[c].append(x[k])
+                size += sizes[k]
+        if rows["ids"]:
+            yield flush()
+
+    dealt = arrow_map(picked, task, "range int, key long, h long, doc_id long, size long, length long, ids binary, terms binary, tf binary", limit=4 << 20)
+    return dealt.repartitionById(len(begins), "range").sortWithinPartitions("key", "h", "doc_id").mapInArrow(pack, PACKED)
+
+
+def shard_of(texts: list[str]) -> Shard:
+    """A shard of its own: these texts are all documents."""
+    doc, term, tf, length = terms_of(pa.array(texts, pa.large_string()))
+    df = np.bincount(term, minlength=1 << TERM_BITS)
+    return Shard(doc, term, tf, length, idf_of(df, len(texts)), float(length.mean()) if len(texts) else 1.0)
 
 
 def packing_padding(pieces: DataFrame, window: int = WINDOW_TOKENS) -> DataFrame:

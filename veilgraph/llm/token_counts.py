@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.llm.common import arrow_map, batch_of, bytes_of, per_task, table, texts_of
-from veilgraph.llm.tokens import encoder_for
+from veilgraph.llm.common import arrow_map, batch_of, per_task, table
+from veilgraph.llm.tokens import encoder_for, laid_out
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -25,8 +26,8 @@ def token_counts(docs: DataFrame, vocab: str = "byte_bpe_50k.json", doc_id: str
         encoder = encoder_for(vocab, lengths_only=True)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = texts_of(batch)
-            return batch_of(_OUT, batch.column("doc_id"), [len(x) for x in bytes_of(batch.column("text"))], encoder.encode(texts))
+            text = batch.column("text")
+            return batch_of(_OUT, batch.column("doc_id"), np.diff(laid_out(text)[1]), encoder.encode(text)[1])
 
         return step
 

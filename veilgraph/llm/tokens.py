@@ -1,31 +1,32 @@
-"""Tokenizing with a public vocabulary file: segments at safe boundaries, each distinct one encoded once."""
+"""Tokenizing with a public vocabulary file: texts are cut into segments that no token spans, each distinct one is encoded once."""
 
 from __future__ import annotations
 
-import gc
 import os
 import re
-from array import array
-from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: White space as the vocabularies' own patterns take it; single spaces lead the next word.
-_WS = r"\x09-\x0d \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_SEGMENT = re.compile(
-    rf" ?[{_LETTERS}]+(?=[{_WS}.,;:!?]|\Z)"  # a word, where what follows cannot be joined to it
-    rf"|[.,;:!?]+(?=[{_WS}]|\Z)"
-    rf"| ?[^{_WS}]+"
-    rf"|[{_WS}]+(?![^{_WS}])"
-    rf"|[{_WS}]+"
-)
+#: White space beyond ASCII, as the vocabularies' own patterns take it.
+_OTHER = "\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+_WS = r"\x09-\x0d " + _OTHER
 _SAFE = re.compile(rf"(?<=[^{_WS}]) (?=[^{_WS}])")
-_LATIN = re.compile(rf"[{_LETTERS}]+").fullmatch
-PART_CHARS = 1 << 20
-#: White space other than the space and the line end, in ASCII and beyond; \x1c-\x1f are none for the vocabularies but split() takes them so.
-_OTHER_LATIN = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
-_OTHER = _OTHER_LATIN + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_WORD = re.compile(rf" ?[{_LETTERS}]+").fullmatch
+#: Characters of a long text that are worked on together; distinct segments that are remembered, at most.
+PART_CHARS, KEEP = 1 << 20, 400_000
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[*range(9, 14), 32]] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[list(b".,;:!?")] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+_GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Segments of up to three words of eight bytes are told apart by these; longer ones by their bytes.
+_WORDS, _LONG = 3, 24
 
 
 def vocabulary(name: str) -> str:
@@ -47,139 +48,281 @@ def safe_parts(text: str, limit: int = PART_CHARS):
     yield text[start:]
 
 
+def laid_out(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string column: text i is bytes[offsets[i]:offsets[i + 1]]; null as empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64, count=len(column) + 1, offset=8 * column.offset) if offsets else np.zeros(1, dtype=np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8) if data and data.size else np.zeros(0, dtype=np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray):
+    """(space, bound, start, stop): which bytes are white space, which start a text, and the stretches without white space."""
+    n = len(data)
+    space = _SPACE[data]
+    bound = np.zeros(n + 1, dtype=bool)
+    bound[offsets] = True
+    solid = ~space
+    first, last = solid.copy(), solid
+    first[1:] &= space[:-1] | bound[1:n]
+    last = solid.copy()
+    last[:-1] &= space[1:] | bound[1:n]
+    return space, bound, np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def stems(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Where each stretch ends without a last . , ; : ! or ? that follows a letter."""
+    before, size = data[stop - 2], stop - start
+    wide = (size > 2) & (data[stop - 3] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+    return stop - (_MARK[data[stop - 1]] & (size > 1) & (_LETTER[before] | wide))
+
+
+def words(data: np.ndarray, start: np.ndarray, stop: np.ndarray, at: int) -> np.ndarray:
+    """Bytes 8 * at to 8 * at + 7 of each stretch as one number, zero beyond its end. `data` ends in 32 spare bytes."""
+    eight = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    return eight[np.minimum(start + 8 * at, len(eight) - 1)] & _BYTES[np.clip(stop - start - 8 * at, 0, 8)]
+
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX
+    return x ^ (x >> np.uint64(27))
+
+
 class SegmentEncoder:
     """Exact ids of whole texts, for byte-level BPE vocabularies that never merge across the segments cut here.
 
-    Texts whose white space is single spaces and line ends split at these; others by the pattern above. Segments not
-    met before go to the library together, joined by a separator with an id of its own. About `keep` are remembered:
-    beyond that, those of the current batch.
+    A segment is a stretch without white space, with the one space before it, or white space that belongs to none; a
+    last mark after a letter is one of its own. All segments of a batch are told apart by their bytes in one pass of
+    array operations; those not met before go to the library. About `keep` are remembered, as flat arrays: beyond
+    that, those that more than one batch has used. Texts with special strings or other white space go to it whole.
     """
 
-    def __init__(self, vocab: str, lengths_only: bool = False, keep: int = 700_000, longest: int = 64):
+    def __init__(self, vocab: str, lengths_only: bool = False, keep: int = KEEP):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tok = tok = Tokenizer.from_file(vocab if os.path.isabs(vocab) else vocabulary(vocab))
         tok.no_truncation()
         tok.no_padding()
-        self._specials = [t.content for t in tok.get_added_tokens_decoder().values()]
-        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._specials, key=len, reverse=True))) + ")") if self._specials else None
-        self._lengths, self._keep, self._longest = lengths_only, keep, longest
-        self._bare: dict = {}  # by segment
-        self._led: dict = {}  # by word, for a space and the word
-        line = tok.encode("\n", add_special_tokens=False).ids
-        self._drops_space = not line
-        self._break = self._value(line)
-        sep, self._not_in = (" 0 ", "0") if self._drops_space else ("\n", "\n")
-        self._marks = {c: self._value(tok.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
+        self._model = tok.model
+        self._specials = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
+        self._lengths, self._keep = lengths_only, keep
+        self._drops_space = not tok.encode("\n", add_special_tokens=False).ids
+        self._sep, self._not_in = (" 0 ", "0") if self._drops_space else ("\n", "\n")
         # may stand beside a separator: no white space but one leading space, no separator, no start of a special string
-        starts = "".join({re.escape(x[0]) for x in self._specials})
-        self._plain = re.compile(rf" ?[^{_WS}\x1c-\x1f{self._not_in}{starts}]{{1,200}}")
-        self._sep, self._sep_id = sep, tok.encode(sep, add_special_tokens=False).ids[0]
-
-    def _value(self, ids):
-        return len(ids) if self._lengths else array("I", ids).tobytes()
-
-    def _encoded(self, segments: list[str]):
-        """Values of segments, in order."""
-        plain_form = self._plain.fullmatch
-        odd = [k for k, s in enumerate(segments) if plain_form(s) is None]
-        out = dict(zip(odd, (self._value(e.ids) for e in self._tok.encode_batch_fast([segments[k] for k in odd], add_special_tokens=False)), strict=True))
-        odd_at = set(odd)
-        plain = [k for k in range(len(segments)) if k not in odd_at]
+        starts = "".join({re.escape(x.decode()[0]) for x in self._specials})
+        self._plain = re.compile(rf" ?[^{_WS}\x1c-\x1f{self._not_in}{starts}]{{1,200}}").fullmatch
+        self._sep_id = tok.encode(self._sep, add_special_tokens=False).ids[0]
+        self._alphabet = _byte_alphabet()
+        self._forget()
+
+    def _forget(self) -> None:
+        self._hash, self._key = np.zeros(0, dtype=np.uint64), np.zeros((_WORDS + 1, 0), dtype=np.uint64)
+        self._start, self._size, self._used = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self._ids = np.zeros(0, dtype=np.uint32)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of each) of segments."""
+        sizes, parts = np.zeros(len(segments), dtype=np.int64), [None] * len(segments)
+        letters = [k for k, s in enumerate(segments) if _WORD(s)]
+        if letters:  # one pre-token each: the library's model alone, over the vocabulary's byte alphabet
+            flat = "\n".join([segments[k] for k in letters])
+            flat = (flat.replace(" ", "").lower() if self._drops_space else flat).encode().decode("latin-1").translate(self._alphabet)
+            whole = self._model.tokenize
+            for k, s in zip(letters, flat.split(self._alphabet[10]), strict=True):
+                parts[k] = [t.id for t in whole(s)]
+        rest = [k for k, p in enumerate(parts) if p is None]
+        plain = [k for k in rest if self._plain(segments[k])]
         for at in range(0, len(plain), 5000):
             some = plain[at : at + 5000]
-            ids = np.array(self._tok.encode_batch_fast([self._sep.join([segments[k] for k in some]) + self._sep], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self._tok.encode_batch_fast([self._sep.join([segments[k] for k in some]) + self._sep], add_special_tokens=False)[0].ids, dtype=np.uint32)
             ends = np.flatnonzero(ids == self._sep_id)
             if len(ends) != len(some):
                 raise ValueError("a separator joined with a segment")
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            if self._lengths:
-                out.update(zip(some, (ends - starts).tolist(), strict=True))
+            for k, a, b in zip(some, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
+                parts[k] = ids[a:b].tolist()
+        odd = [k for k in rest if parts[k] is None]
+        for k, e in zip(odd, self._tok.encode_batch_fast([segments[k] for k in odd], add_special_tokens=False), strict=True):
+            parts[k] = e.ids
+        sizes[:] = [len(p) for p in parts]
+        return np.array([x for p in parts for x in p], dtype=np.uint32), sizes
+
+    def _segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, stop) of all segments of the texts, in order."""
+        space, bound, start, stop = chunks(data, offsets)
+        end = stems(data, start, stop)
+        marked = np.flatnonzero(end < stop)
+        if self._drops_space:
+            begin, others = start, [(stop[marked] - 1, stop[marked])]
+        else:
+            led = (start > 0) & ~bound[start]
+            led &= data[np.maximum(start - 1, 0)] == 32
+            begin, others = start - led, [(stop[marked] - 1, stop[marked])]
+            # runs of white space: the last character stands alone before a stretch, or leads it if it is a space
+            first, last = space.copy(), space.copy()
+            first[1:] &= ~space[:-1] | bound[1 : len(data)]
+            last[:-1] &= ~space[1:] | bound[1 : len(data)]
+            a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+            plain = (b - a == 1) & (data[a] == 32) & ~bound[b] if len(a) else np.zeros(0, dtype=bool)
+            a, b = a[~plain], b[~plain]
+            before = ~bound[b]  # a stretch of the same text follows
+            body = b - before
+            some = body > a
+            others.append((a[some], body[some]))
+            alone = before & (data[b - 1] != 32)
+            others.append((b[alone] - 1, b[alone]))
+        first, last = (np.concatenate(x) for x in zip((begin, end), *others, strict=True))
+        order = np.argsort(first, kind="stable")
+        return first[order], last[order]
+
+    def _values(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Index of each segment in the table, which holds them all afterwards."""
+        size = (stop - start).astype(np.uint64)
+        key = np.stack([*(words(data, start, stop, k) for k in range(_WORDS)), size])
+        h = scrambled(key[0] + _GOLD)
+        for k in range(1, _WORDS + 1):
+            h = scrambled(h + key[k])
+        long = np.flatnonzero(size > _LONG)
+        raw = data.tobytes() if len(long) else b""
+        for k, a, b in zip(long.tolist(), start[long].tolist(), stop[long].tolist(), strict=True):
+            h[k] ^= np.uint64(hash(raw[a:b]) & ((1 << 64) - 1))
+        coded = pa.array(h).dictionary_encode()
+        code, distinct = np.asarray(coded.indices).astype(np.int64), np.asarray(coded.dictionary)
+        one = np.empty(len(distinct), dtype=np.int64)
+        one[code[::-1]] = np.arange(len(code))[::-1]  # the first segment of each
+        if not all((key[k] == key[k][one][code]).all() for k in range(_WORDS + 1)) or any(raw[start[k] : stop[k]] != raw[start[one[code[k]]] : stop[one[code[k]]]] for k in long):
+            raise _Collision
+        at = np.searchsorted(self._hash, distinct)
+        here = np.zeros(len(distinct), dtype=bool)
+        inside = np.flatnonzero(at < len(self._hash))
+        here[inside] = self._hash[at[inside]] == distinct[inside]
+        # what is remembered is compared by its bytes too; long segments are never remembered
+        for k in range(_WORDS + 1):
+            if (self._key[k][at[here]] != key[k][one[here]]).any():
+                raise _Collision
+        new = np.flatnonzero(~here)
+        index = np.where(here, at, 0)
+        self._used[at[here]] += 1
+        if len(new):
+            buf = data.tobytes()
+            ids, sizes = self._encoded([buf[a:b].decode() for a, b in zip(start[one[new]].tolist(), stop[one[new]].tolist(), strict=True)])
+            old = len(self._hash)
+            index[new] = old + np.arange(len(new))
+            self._start = np.concatenate((self._start, len(self._ids) + np.cumsum(sizes) - sizes))
+            self._size = np.concatenate((self._size, sizes))
+            self._ids = np.concatenate((self._ids, ids))
+            self._hash = np.concatenate((self._hash, distinct[new]))
+            self._key = np.concatenate((self._key, key[:, one[new]]), axis=1)
+            self._used = np.concatenate((self._used, np.ones(len(new), dtype=np.int64)))
+        return index[code]
+
+    def _settle(self) -> None:
+        """Sorts the table for the next batch; drops what is too much, and long segments."""
+        keep = self._key[_WORDS] <= _LONG
+        if keep.sum() > self._keep:
+            keep &= self._used > 1
+            if keep.sum() > self._keep // 2:
+                keep &= self._used >= np.partition(self._used[keep], -(self._keep // 2))[-(self._keep // 2)] + 1
+            self._used = np.minimum(self._used, 2)
+        rows = np.flatnonzero(keep)
+        rows = rows[np.argsort(self._hash[rows], kind="stable")]
+        size = self._size[rows]
+        if len(rows) < len(keep):
+            self._ids = self._ids[_spread(self._start[rows], size)]
+            self._start = np.cumsum(size) - size
+        else:
+            self._start = self._start[rows]
+        self._hash, self._key, self._size, self._used = self._hash[rows], self._key[:, rows], size, self._used[rows]
+
+    def _fast(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, or none for lengths only; number of ids of each text)."""
+        if not len(data):
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets) - 1, dtype=np.int64)
+        room = np.concatenate((data, np.zeros(8 * _WORDS + 8, dtype=np.uint8)))
+        start, stop = self._segments(data, offsets)
+        index = self._values(room, start, stop)
+        size = self._size[index]
+        done = np.concatenate(([0], np.cumsum(size)))
+        cut = done[np.searchsorted(start, offsets)]
+        ids = np.zeros(0, dtype=np.uint32) if self._lengths else self._ids[_spread(self._start[index], size)]
+        self._settle()
+        return ids, np.diff(cut)
+
+    def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts that may hold a special string, or that hold white space beyond ASCII."""
+        room = np.concatenate((data, np.zeros(2, dtype=np.uint8)))
+        at = []
+        for s in self._specials:
+            some = np.flatnonzero(data == s[0])
+            at.append(some[room[some + 1] == s[1]] if len(s) > 1 else some)
+        for lead in (0xC2, 0xE1, 0xE2, 0xE3):
+            some = np.flatnonzero(data == lead)
+            one, two = room[some + 1], room[some + 2]
+            if lead == 0xC2:
+                hit = (one == 0x85) | (one == 0xA0)
+            elif lead == 0xE2:
+                hit = (one == 0x80) & ((two <= 0x8A) | (two == 0xA8) | (two == 0xA9) | (two == 0xAF)) | (one == 0x81) & (two == 0x9F)
             else:
-                raw = ids.tobytes()
-                out.update(zip(some, (raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
-        return [out[k] for k in range(len(segments))]
-
-    def _regular(self, text: str) -> bool:
-        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            return False
-        return not any(c in text for c in (_OTHER_LATIN if text.isascii() else _OTHER)) and not any(s in text for s in self._specials)
-
-    def _segments(self, text: str) -> list[str]:
-        """The library takes special strings out first; what is between them is then text of its own."""
-        if self._cut is None or not any(s in text for s in self._specials):
-            return _SEGMENT.findall(text)
-        cut = self._cut.split(text)
-        return [x for k, part in enumerate(cut) for x in ([part] if k % 2 else _SEGMENT.findall(part))]
-
-    def _fill(self, table: dict, wanted: list[list[str]], lead: str) -> dict:
-        """The table with all wanted segments in it; it is replaced where it has grown too large.
-
-        A word's last . , ; : ! or ? is a token of its own after a letter, so the word's value follows from its stem's.
-        """
-        new: set[str] = set()
-        for some in wanted:
-            new.update(filterfalse(table.__contains__, some))
-        if len(table) + len(new) > self._keep:
-            now = set().union(*wanted)
-            table = {k: table[k] for k in now if k in table and len(k) <= self._longest}
-            new = now.difference(table)
-        ended = [w for w in new if w[-1:] in self._marks and _LATIN(w[:-1])]
-        fresh = new.difference(ended)
-        fresh.update(filterfalse(table.__contains__, [w[:-1] for w in ended]))
-        fresh = list(fresh)
-        table.update(zip(fresh, self._encoded([lead + x for x in fresh]), strict=True))
-        marks = self._marks
-        table.update([(w, table[w[:-1]] + marks[w[-1]]) for w in ended])
-        return table
-
-    def encode(self, texts: list[str]) -> list:
-        """For each text its ids as little-endian unsigned 32-bit bytes, or their number."""
-        collecting = gc.isenabled()
-        gc.disable()  # many short-lived lists, no cycles
-        try:
-            return self._encode(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode(self, texts: list[str]) -> list:
-        plan, bare, led = [], [], []
-        for text in texts:
-            parts = []
-            for part in safe_parts(text):
-                if self._regular(part):
-                    # words after a single space, in order; first words of lines and what has no space before it, apart
-                    lines = part.split("\n")
-                    words = [line.split(" ") for line in lines]
-                    heads = [x[0] for x in words]
-                    led += words
-                    bare.append(heads)
-                    parts.append((heads, words))
-                else:
-                    bare.append(self._segments(part))
-                    parts.append((bare[-1], None))
-            plan.append(parts)
-        self._bare = self._fill(self._bare, bare, "")
-        tails = [w[1:] for w in led]
-        self._led = self._fill(self._led, tails, " ")
-        first, rest, at = self._bare.__getitem__, self._led.__getitem__, iter(tails)
-        join, out = b"".join, []
-        for parts in plan:
-            values = []
-            for heads, words in parts:
-                if self._lengths:
-                    n = sum(map(first, heads))
-                    if words is not None:
-                        n += sum(sum(map(rest, next(at))) for _ in words) + self._break * (len(heads) - 1)
-                    values.append(n)
-                elif words is None:
-                    values.append(join(map(first, heads)))
-                else:
-                    values.append(self._break.join([first(h) + join(map(rest, next(at))) for h in heads]))
-            out.append(sum(values) if self._lengths else join(values))
-        return out
+                hit = (one == 0x9A) & (two == 0x80) if lead == 0xE1 else (one == 0x80) & (two == 0x80)
+            at.append(some[hit])
+        return np.unique(np.searchsorted(offsets, np.concatenate(at), side="right") - 1)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of ids of each text); null as empty. With lengths only, the ids are empty."""
+        data, offsets = laid_out(column)
+        owner = None
+        if len(data) and int(np.diff(offsets).max()) > 4 * PART_CHARS:  # long texts go in parts
+            texts = [data[a:b].tobytes().decode() for a, b in zip(offsets, offsets[1:], strict=False)]
+            parts = [list(safe_parts(x)) for x in texts]
+            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            pieces = [self.encode(pa.array([x], pa.large_string())) for p in parts for x in p] if len(owner) > len(parts) else None
+            if pieces:
+                sizes = np.bincount(owner, weights=[s[0] for _, s in pieces], minlength=len(parts)).astype(np.int64)
+                return np.concatenate([i for i, _ in pieces]), sizes
+        odd = self._odd(data, offsets)
+        if not len(odd):
+            try:
+                return self._fast(data, offsets)
+            except _Collision:
+                self._forget()
+                odd = np.arange(len(offsets) - 1)
+        texts = [data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in odd]
+        parts = [list(safe_parts(x)) for x in texts]
+        each = iter(self._library([x for p in parts for x in p]))
+        slow = {int(k): np.concatenate([next(each) for _ in p]) for k, p in zip(odd, parts, strict=True)}
+        rest = np.setdiff1d(np.arange(len(offsets) - 1), odd)
+        ids, sizes = self.encode(pa.array([data[offsets[k] : offsets[k + 1]].tobytes() for k in rest], pa.large_binary())) if len(rest) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        all_sizes = np.zeros(len(offsets) - 1, dtype=np.int64)
+        all_sizes[rest] = sizes
+        for k, x in slow.items():
+            all_sizes[k] = len(x)
+        if self._lengths:
+            return ids, all_sizes
+        cut = np.split(ids, np.cumsum(sizes)[:-1]) if len(rest) else []
+        found = dict(zip(rest.tolist(), cut, strict=True)) | slow
+        return np.concatenate([found[k] for k in range(len(all_sizes))]), all_sizes
+
+
+class _Collision(Exception):
+    """Two different segments have one hash."""
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... size[0] times, then the same for the next."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte: itself if it is printable, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = (b for b in range(256) if b not in set(shown))
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
 _HELD: dict[tuple[str, bool], SegmentEncoder] = {}

@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilgraph.llm.common import arrow_map, batch_of, per_task, running_start, sliced, table, written
-from veilgraph.llm.tokens import chunks, encoder_for, laid_out, scrambled, stems, words
+from veilgraph.llm.tokens import chunks, encoder_for, laid_out, lowered, scrambled, stems, words
 
 WINDOW_TOKENS, BLOCK_BYTES, K1, B = 4096, 12 << 20, 1.2, 0.75
+#: Bytes of text that one round of array operations works on.
+SLICE_BYTES = 1 << 20
 #: Terms are hashed to so many bits; what goes to all tasks is one number for each, whatever the input's size.
 TERM_BITS, PART_BITS = 22, 16
 #: A document's first draw is among the terms that more than this share of all documents have.
@@ -51,18 +53,16 @@ def terms_of(column: pa.Array) -> tuple[np.ndarray, ...]:
         return none, none, none, np.zeros(n, dtype=np.int64)
     _, _, start, stop = chunks(data, offsets)
     stop = stems(data, start, stop)
-    low = np.concatenate((data, np.zeros(32, dtype=np.uint8)))
-    low[:-32] += ((data >= 65) & (data <= 90)).astype(np.uint8) * 32
-    wide = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
-    low[wide] += 32
+    low = np.concatenate((lowered(data), np.zeros(32, dtype=np.uint8)))
     h = scrambled((stop - start).astype(np.uint64) + words(low, start, stop, 0))
     for k in (1, 2):
         h = scrambled(h * np.uint64(0x9E3779B97F4A7C15) + words(low, start, stop, k))
-    doc = np.searchsorted(offsets, start, side="right") - 1
+    length = np.diff(np.searchsorted(start, offsets))
+    doc = np.repeat(np.arange(n), length)
     both = np.sort(doc << TERM_BITS | (h >> np.uint64(64 - TERM_BITS)).astype(np.int64))
     first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
     tf = np.diff(np.concatenate((first, [len(both)])))
-    return both[first] >> TERM_BITS, both[first] & ((1 << TERM_BITS) - 1), tf, np.bincount(doc, minlength=n)
+    return both[first] >> TERM_BITS, both[first] & ((1 << TERM_BITS) - 1), tf, length
 
 
 def idf_of(df: np.ndarray, total: int) -> np.ndarray:
@@ -76,9 +76,9 @@ def statistics(texts: DataFrame) -> tuple[np.ndarray, int, float]:
     def run(batches):
         counts, docs, total = np.zeros(1 << TERM_BITS, dtype=np.uint32), 0, 0
         for batch in batches:
-            for part in sliced(batch, "text", 4 << 20):
+            for part in sliced(batch, "text", SLICE_BYTES):
                 _, term, _, length = terms_of(part.column("text"))
-                counts += np.bincount(term, minlength=1 << TERM_BITS).astype(np.uint32)
+                np.add.at(counts, term, np.uint32(1))
                 docs, total = docs + len(length), total + int(length.sum())
         if docs:
             for k, part in enumerate(np.split(counts, len(counts) >> PART_BITS)):
@@ -147,8 +147,17 @@ class Shard:
             span = slice(self.first[t], self.first[t + 1])
             self.dense[k, self.doc[span]] = self.weight[span]
 
+    def narrow(self, keep: np.ndarray) -> np.ndarray:
+        """Leaves the postings of the documents that `keep` marks; returns which of those in view they were. All can still be seeds."""
+        some = keep[self.doc]
+        place = np.cumsum(keep) - 1
+        self.first = np.concatenate(([0], np.cumsum(some)))[self.first]
+        self.doc, self.weight = place[self.doc[some]].astype(np.int32), self.weight[some]
+        self.dense, self.n = np.ascontiguousarray(self.dense[:, keep]), int(keep.sum())
+        return np.flatnonzero(keep)
+
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of the seed's terms, all of them, with each document."""
+        """BM25 of the seed's terms, all of them, with each document in view."""
         at = self.at[self.cut[seed] : self.cut[seed + 1]]
         at = at[at >= 0]
         row = self.row[at]
@@ -161,10 +170,10 @@ class Shard:
         return out
 
 
-def neighbours(score: np.ndarray, unused: np.ndarray) -> Iterator[int]:
-    """Unused documents of positive score, best first, ties in the shard's order."""
-    found = np.flatnonzero((score > 0) & unused)
-    value, keep, given = score[found], 32, 0
+def neighbours(score: np.ndarray) -> Iterator[int]:
+    """Indexes of positive scores, best first, ties in order."""
+    found = np.flatnonzero(score > 0)
+    value, keep, given = score[found], 16, 0
     while given < len(found):
         if keep < len(found):
             bar = np.partition(value, len(found) - keep)[len(found) - keep]
@@ -177,23 +186,31 @@ def neighbours(score: np.ndarray, unused: np.ndarray) -> Iterator[int]:
 
 
 def reading_order(shard: Shard, tokens: np.ndarray, window: int = WINDOW_TOKENS, filled: int = 0) -> Iterator[int]:
-    """The shard's documents in the order in which they fill windows. `filled`: tokens that the first one holds already."""
-    unused, room, seed, first = np.ones(shard.n, dtype=bool), window - filled, -1, 0
+    """The shard's documents in the order in which they fill windows. `filled`: tokens that the first one holds already.
+
+    The shard is used up: documents that have been given go out of view once they are a quarter of those in view.
+    """
+    n = shard.n
+    unused, view, given = np.ones(n, dtype=bool), np.arange(n), 0
+    room, seed, first = window - filled, -1, 0
     while True:
         if seed < 0:
-            while first < shard.n and not unused[first]:
+            while first < n and not unused[first]:
                 first += 1
-            if first == shard.n:
+            if first == n:
                 return
             seed = first
-            unused[seed] = False
+            unused[seed], given = False, given + 1
             yield seed
             room -= int(tokens[seed])
             if room <= 0:
                 room = window - (-room) % window
+        if 4 * given >= len(view):
+            view, given = view[shard.narrow(unused[view])], 0
         last = -1
-        for d in neighbours(shard.scores(seed), unused):
-            unused[d] = False
+        for k in neighbours(np.where(unused[view], shard.scores(seed), 0)):
+            d = int(view[k])
+            unused[d], given = False, given + 1
             yield d
             room -= int(tokens[d])
             if room <= 0:  # the window is full; what is left of d opens the next one and is its seed
@@ -281,7 +298,7 @@ def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int
         size = np.diff(laid_out(batch.column("text"))[1]) + 1
         return batch_of(_PLACE, keys_of(doc, term, *sent.value, total, batch.num_rows), batch.column("h"), batch.column("doc_id"), size)
 
-    places = written(arrow_map(picked, placed, "key long, h long, doc_id long, size long", limit=4 << 20), "packing-places")
+    places = written(arrow_map(picked, placed, "key long, h long, doc_id long, size long", limit=SLICE_BYTES), "packing-places")
     begins = layout(places, block)
     if not begins:
         return spark.createDataFrame([], PACKED)
@@ -363,7 +380,7 @@ def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int
         if rows["ids"]:
             yield flush()
 
-    dealt = arrow_map(picked, task, "range int, key long, h long, doc_id long, size long, length long, ids binary, terms binary, tf binary", limit=4 << 20)
+    dealt = arrow_map(picked, task, "range int, key long, h long, doc_id long, size long, length long, ids binary, terms binary, tf binary", limit=2 * SLICE_BYTES)
     return dealt.repartitionById(len(begins), "range").sortWithinPartitions("key", "h", "doc_id").mapInArrow(pack, PACKED)
 
 

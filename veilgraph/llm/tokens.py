@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: White space beyond ASCII, as the vocabularies' own patterns take it.
 _OTHER = "\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 _WS = r"\x09-\x0d " + _OTHER
 _SAFE = re.compile(rf"(?<=[^{_WS}]) (?=[^{_WS}])")
-_WORD = re.compile(rf" ?[{_LETTERS}]+").fullmatch
 #: Characters of a long text that are worked on together; distinct segments that are remembered, at most.
 PART_CHARS, KEEP = 1 << 20, 400_000
 _SPACE = np.zeros(256, dtype=bool)
@@ -23,6 +23,8 @@ _MARK = np.zeros(256, dtype=bool)
 _MARK[list(b".,;:!?")] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Segments of up to three words of eight bytes are told apart by these; longer ones by their bytes.
@@ -80,6 +82,15 @@ def stems(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return stop - (_MARK[data[stop - 1]] & (size > 1) & (_LETTER[before] | wide))
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with the letters A-Z and their accented Latin-1 kin in lower case."""
+    out = _LOWER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3) + 1
+    after = data[lead]
+    out[lead[(after >= 0x80) & (after <= 0x9E) & (after != 0x97)]] += 32
+    return out
+
+
 def words(data: np.ndarray, start: np.ndarray, stop: np.ndarray, at: int) -> np.ndarray:
     """Bytes 8 * at to 8 * at + 7 of each stretch as one number, zero beyond its end. `data` ends in 32 spare bytes."""
     eight = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
@@ -117,41 +128,72 @@ class SegmentEncoder:
         self._plain = re.compile(rf" ?[^{_WS}\x1c-\x1f{self._not_in}{starts}]{{1,200}}").fullmatch
         self._sep_id = tok.encode(self._sep, add_special_tokens=False).ids[0]
         self._alphabet = _byte_alphabet()
+        self._codes = np.array([ord(self._alphabet[b]) for b in range(256)], dtype="<u2")
         self._forget()
 
     def _forget(self) -> None:
-        self._hash, self._key = np.zeros(0, dtype=np.uint64), np.zeros((_WORDS + 1, 0), dtype=np.uint64)
-        self._start, self._size, self._used = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self._hash = [np.zeros(0, dtype=np.uint64) for _ in range(2)]  # sorted; the second holds what is newer
+        self._key = [np.zeros((_WORDS + 1, 0), dtype=np.uint64) for _ in range(2)]
+        self._start, self._size, self._used = ([np.zeros(0, dtype=np.int64) for _ in range(2)] for _ in range(3))
         self._ids = np.zeros(0, dtype=np.uint32)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encoded(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids end to end, number of each) of segments."""
-        sizes, parts = np.zeros(len(segments), dtype=np.int64), [None] * len(segments)
-        letters = [k for k, s in enumerate(segments) if _WORD(s)]
-        if letters:  # one pre-token each: the library's model alone, over the vocabulary's byte alphabet
-            flat = "\n".join([segments[k] for k in letters])
-            flat = (flat.replace(" ", "").lower() if self._drops_space else flat).encode().decode("latin-1").translate(self._alphabet)
-            whole = self._model.tokenize
-            for k, s in zip(letters, flat.split(self._alphabet[10]), strict=True):
-                parts[k] = [t.id for t in whole(s)]
-        rest = [k for k, p in enumerate(parts) if p is None]
-        plain = [k for k in rest if self._plain(segments[k])]
-        for at in range(0, len(plain), 5000):
-            some = plain[at : at + 5000]
-            ids = np.array(self._tok.encode_batch_fast([self._sep.join([segments[k] for k in some]) + self._sep], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            ends = np.flatnonzero(ids == self._sep_id)
-            if len(ends) != len(some):
-                raise ValueError("a separator joined with a segment")
-            for k, a, b in zip(some, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
-                parts[k] = ids[a:b].tolist()
-        odd = [k for k in rest if parts[k] is None]
-        for k, e in zip(odd, self._tok.encode_batch_fast([segments[k] for k in odd], add_special_tokens=False), strict=True):
-            parts[k] = e.ids
-        sizes[:] = [len(p) for p in parts]
-        return np.array([x for p in parts for x in p], dtype=np.uint32), sizes
+    def _encoded(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of each) of the segments data[start:stop]."""
+        size = stop - start
+        flat = data[_spread(start, size)]
+        done = np.cumsum(size)
+        # segments of letters alone, maybe after a space: one pre-token each
+        wide = np.zeros(len(flat) + 1, dtype=bool)
+        wide[:-1] = flat == 0xC3
+        strange = ~_LETTER[flat] & ~wide[:-1]
+        after = np.zeros(len(flat), dtype=bool)
+        after[1:] = wide[:-2]
+        strange[after & (flat != 0x97) & (flat != 0xB7)] = False
+        led = flat[done - size] == 32
+        count = np.add.reduceat(strange.astype(np.int64), done - size) - led
+        letters = (count == 0) & (size > led)
+        own = np.flatnonzero(letters)
+        parts: list[list[int]] = [[]] * len(size)
+        if len(own):  # the library's model alone, over the vocabulary's byte alphabet
+            begin = (done - size)[own] + (led[own] if self._drops_space else 0)
+            long = done[own] - begin + 1
+            text = np.full(int(long.sum()), 10, dtype=np.uint8)
+            within = np.ones(len(text), dtype=bool)
+            within[np.cumsum(long) - 1] = False
+            text[within] = flat[_spread(begin, long - 1)]
+            if self._drops_space:
+                text = lowered(text)
+            names = self._codes[text].tobytes().decode("utf-16-le").split(self._alphabet[10])
+            whole, collecting = self._model.tokenize, gc.isenabled()
+            gc.disable()  # many short-lived objects, no cycles
+            try:
+                for k, name in zip(own.tolist(), names[:-1], strict=True):
+                    parts[k] = [t.id for t in whole(name)]
+            finally:
+                if collecting:
+                    gc.enable()
+        rest = np.flatnonzero(~letters).tolist()
+        if rest:
+            raw = data.tobytes()
+            segments = [raw[start[k] : stop[k]].decode() for k in rest]
+            plain = [j for j, x in enumerate(segments) if self._plain(x)]
+            for at in range(0, len(plain), 5000):
+                some = plain[at : at + 5000]
+                ids = np.array(self._tok.encode_batch_fast([self._sep.join([segments[j] for j in some]) + self._sep], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                ends = np.flatnonzero(ids == self._sep_id)
+                if len(ends) != len(some):
+                    raise ValueError("a separator joined with a segment")
+                ids = ids.tolist()
+                for j, a, b in zip(some, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
+                    parts[rest[j]] = ids[a:b]
+            odd = sorted(set(range(len(segments))).difference(plain))
+            for j, e in zip(odd, self._tok.encode_batch_fast([segments[j] for j in odd], add_special_tokens=False), strict=True):
+                parts[rest[j]] = e.ids
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        return np.fromiter(chain.from_iterable(parts), dtype=np.uint32, count=int(sizes.sum())), sizes
 
     def _segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, stop) of all segments of the texts, in order."""
@@ -181,8 +223,8 @@ class SegmentEncoder:
         order = np.argsort(first, kind="stable")
         return first[order], last[order]
 
-    def _values(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Index of each segment in the table, which holds them all afterwards."""
+    def _values(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first place in the list of ids, number of ids) of each segment."""
         size = (stop - start).astype(np.uint64)
         key = np.stack([*(words(data, start, stop, k) for k in range(_WORDS)), size])
         h = scrambled(key[0] + _GOLD)
@@ -198,59 +240,64 @@ class SegmentEncoder:
         one[code[::-1]] = np.arange(len(code))[::-1]  # the first segment of each
         if not all((key[k] == key[k][one][code]).all() for k in range(_WORDS + 1)) or any(raw[start[k] : stop[k]] != raw[start[one[code[k]]] : stop[one[code[k]]]] for k in long):
             raise _Collision
-        at = np.searchsorted(self._hash, distinct)
-        here = np.zeros(len(distinct), dtype=bool)
-        inside = np.flatnonzero(at < len(self._hash))
-        here[inside] = self._hash[at[inside]] == distinct[inside]
         # what is remembered is compared by its bytes too; long segments are never remembered
-        for k in range(_WORDS + 1):
-            if (self._key[k][at[here]] != key[k][one[here]]).any():
-                raise _Collision
-        new = np.flatnonzero(~here)
-        index = np.where(here, at, 0)
-        self._used[at[here]] += 1
-        if len(new):
-            buf = data.tobytes()
-            ids, sizes = self._encoded([buf[a:b].decode() for a, b in zip(start[one[new]].tolist(), stop[one[new]].tolist(), strict=True)])
-            old = len(self._hash)
-            index[new] = old + np.arange(len(new))
-            self._start = np.concatenate((self._start, len(self._ids) + np.cumsum(sizes) - sizes))
-            self._size = np.concatenate((self._size, sizes))
+        begin, many, new = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), np.ones(len(distinct), dtype=bool)
+        for side in range(2):
+            at = np.searchsorted(self._hash[side], distinct)
+            at[at == len(self._hash[side])] = 0
+            here = np.flatnonzero(self._hash[side][at] == distinct) if len(self._hash[side]) else np.zeros(0, np.int64)
+            at = at[here]
+            for k in range(_WORDS + 1):
+                if (self._key[side][k][at] != key[k][one[here]]).any():
+                    raise _Collision
+            self._used[side][at] += 1
+            begin[here], many[here], new[here] = self._start[side][at], self._size[side][at], False
+        if new.any():
+            new = np.flatnonzero(new)
+            ids, sizes = self._encoded(data, start[one[new]], stop[one[new]])
+            begin[new], many[new] = len(self._ids) + np.cumsum(sizes) - sizes, sizes
             self._ids = np.concatenate((self._ids, ids))
-            self._hash = np.concatenate((self._hash, distinct[new]))
-            self._key = np.concatenate((self._key, key[:, one[new]]), axis=1)
-            self._used = np.concatenate((self._used, np.ones(len(new), dtype=np.int64)))
-        return index[code]
+            new = new[key[_WORDS][one[new]] <= _LONG]
+            self._merge(1, distinct[new], key[:, one[new]], begin[new], many[new], np.ones(len(new), dtype=np.int64))
+        return begin[code], many[code]
+
+    def _merge(self, side: int, h, key, start, size, used) -> None:
+        h, key = np.concatenate((self._hash[side], h)), np.concatenate((self._key[side], key), axis=1)
+        start, size, used = (np.concatenate(x) for x in zip((self._start[side], self._size[side], self._used[side]), (start, size, used), strict=True))
+        order = np.argsort(h, kind="stable")
+        self._hash[side], self._key[side], self._start[side], self._size[side], self._used[side] = h[order], key[:, order], start[order], size[order], used[order]
 
     def _settle(self) -> None:
-        """Sorts the table for the next batch; drops what is too much, and long segments."""
-        keep = self._key[_WORDS] <= _LONG
-        if keep.sum() > self._keep:
-            keep &= self._used > 1
-            if keep.sum() > self._keep // 2:
-                keep &= self._used >= np.partition(self._used[keep], -(self._keep // 2))[-(self._keep // 2)] + 1
-            self._used = np.minimum(self._used, 2)
-        rows = np.flatnonzero(keep)
-        rows = rows[np.argsort(self._hash[rows], kind="stable")]
-        size = self._size[rows]
-        if len(rows) < len(keep):
-            self._ids = self._ids[_spread(self._start[rows], size)]
-            self._start = np.cumsum(size) - size
-        else:
-            self._start = self._start[rows]
-        self._hash, self._key, self._size, self._used = self._hash[rows], self._key[:, rows], size, self._used[rows]
+        """Joins what is newer to the rest when there is enough of it; drops what is too much."""
+        if len(self._hash[1]) < self._keep // 8:
+            return
+        self._merge(0, self._hash[1], self._key[1], self._start[1], self._size[1], self._used[1])
+        for x in (self._hash, self._start, self._size, self._used):
+            x[1] = x[1][:0]
+        self._key[1] = self._key[1][:, :0]
+        used, size = self._used[0], self._size[0]
+        rows = np.arange(len(used))
+        if len(used) > self._keep:
+            rows = np.flatnonzero(used > 1)
+            if len(rows) > self._keep // 2:
+                rows = np.sort(rows[np.argsort(-used[rows], kind="stable")[: self._keep // 2]])
+        # the ids of what has gone, and of long segments, go
+        self._ids = self._ids[_spread(self._start[0][rows], size[rows])]
+        self._hash[0], self._key[0], self._size[0] = self._hash[0][rows], self._key[0][:, rows], size[rows]
+        self._start[0], self._used[0] = np.cumsum(size[rows]) - size[rows], np.minimum(used[rows], 2 if len(rows) < len(used) else used.max(initial=1))
 
     def _fast(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, or none for lengths only; number of ids of each text)."""
         if not len(data):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets) - 1, dtype=np.int64)
-        room = np.concatenate((data, np.zeros(8 * _WORDS + 8, dtype=np.uint8)))
+        # in lower case where that is the vocabulary's own first step; beside a combining mark case may matter to it
+        low = self._drops_space and not (data & 0xFE == 0xCC).any()
+        room = np.concatenate((lowered(data) if low else data, np.zeros(8 * _WORDS + 8, dtype=np.uint8)))
         start, stop = self._segments(data, offsets)
-        index = self._values(room, start, stop)
-        size = self._size[index]
+        begin, size = self._values(room, start, stop)
         done = np.concatenate(([0], np.cumsum(size)))
         cut = done[np.searchsorted(start, offsets)]
-        ids = np.zeros(0, dtype=np.uint32) if self._lengths else self._ids[_spread(self._start[index], size)]
+        ids = np.zeros(0, dtype=np.uint32) if self._lengths else self._ids[_spread(begin, size)]
         self._settle()
         return ids, np.diff(cut)
 

@@ -101,6 +101,29 @@ def test_knn_empty_and_few(spark):
     assert [tuple(r) for r in knn.voronoi_knn(two, two.where("vec_id = 0")).collect()] == [(0, 1, 1, 256 * 128 + 512 * 128)]
 
 
+def test_knn_with_many_blocks_repeated_ids_and_other_columns(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i % 350), rng.normal(size=6).tolist(), "x") for i in range(700)]
+    data = knn.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string"))
+    got = sorted(map(tuple, knn.voronoi_knn(data, data.where("vec_id % 50 = 0").dropDuplicates(["vec_id"]), pivots=9, reducers=4, block=40, query_block=3).collect()))
+    v = [(i, np.floor(256 * np.array(x)).astype(np.int64)) for i, x, _ in rows]
+    asked = {r.vec_id: np.array(r.v) for r in data.where("vec_id % 50 = 0").dropDuplicates(["vec_id"]).collect()}
+    want = []
+    for q, x in asked.items():
+        best = sorted((-int(x @ y), i) for i, y in v if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert [g[:2] + g[3:] for g in got] == sorted((q, n, s) for q, n, _, s in want)
+
+
+def test_knn_joins_groups_that_need_the_same_rows_only():
+    counts = np.full((4, 10), 100)
+    everything, own = np.tile([0.0, 10.0], (4, 4, 1)), np.tile([9.0, -1.0], (4, 4, 1))
+    own[np.arange(4), np.arange(4)] = [0.0, 10.0]
+    first = np.array([0, 1, 2, 2])
+    assert set(knn.joined_groups(everything, first, counts, 1.0)) == {0}
+    assert knn.joined_groups(own, first, counts, 1.0).tolist() == [0, 1, 2, 2]
+
+
 def test_knn_query_equals_its_sql(spark, sf_dir):
     for t in ("embeddings",):
         duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
@@ -184,7 +207,7 @@ def test_scores_are_bm25():
 def test_statistics_cover_all_documents(spark):
     texts = ["One two, two", "two three", None, "", "ÉTÉ été one"] * 30
     df, n, mean = packing.statistics(spark.createDataFrame([(t,) for t in texts], "text string").repartition(7))
-    term = lambda w: packing.terms_of(pa.array([w]))[1][0]
+    term = lambda w: packing.terms_of(packing.split_of(pa.array([w])))[1][0]
     assert n == 150 and mean == pytest.approx(30 * 8 / 150)
     assert [df[term(w)] for w in ("one", "TWO", "three", "été")] == [60, 60, 30, 30] and df.sum() == 180
 
@@ -227,7 +250,7 @@ def test_copies_meet_under_one_key(spark):
     texts = [prose() for _ in range(200)]
     near = [t + " one more word" for t in texts]
     df = np.zeros(1 << packing.TERM_BITS)
-    doc, term, _, _ = packing.terms_of(pa.array(texts + near))
+    doc, term, _, _ = packing.terms_of(packing.split_of(pa.array(texts + near)))
     df += np.bincount(term, minlength=len(df))
     key = packing.keys_of(doc, term, df, packing.idf_of(df, 400), 400, 400)
     assert (key[:200] == key[200:]).mean() > 0.9 and len(set(key[:200].tolist())) > 40

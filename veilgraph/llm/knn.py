@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 
 from veilgraph.llm.common import batch_of, table, written
 
-PIVOTS, REDUCERS, DATA_BLOCK, QUERY_BLOCK = 32, 8, 8192, 1024
+#: Pivots: the root of the number of rows, between these; groups of queries before they are joined, at most.
+PIVOTS, REDUCERS = (32, 512), 16
+#: Rows and queries that meet in one task, at most; queries whose scores it holds at once.
+DATA_BLOCK, QUERY_BLOCK, TILE = 8192, 16_384, 512
+#: Steps in which a cell's distances are counted. Groups are joined if the joint one needs at most WIDER times the rows of the larger.
+STEPS, WIDER = 64, 1.25
 _DEALT = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.int64())), ("cell", pa.int32()), ("dist", pa.float64())])
 _HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -63,17 +68,51 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
     return rows[keep], order[cols[keep]], got[keep]
 
 
-def voronoi_knn(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS, reducers: int = REDUCERS, block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def joined_groups(need: np.ndarray, group: np.ndarray, counts: np.ndarray, step: float) -> np.ndarray:
+    """The group of each query cell, after groups that need nearly the same rows have been joined.
+
+    need[i, j] is the (lowest, highest) distance from pivot j at which a row of cell j can matter to query cell i;
+    counts[j, s] are the rows of cell j at distances in step s. A row is sent once to each group that needs it.
+    """
+    group = group.copy()
+
+    def rows(cells: np.ndarray) -> int:
+        low, high = need[cells, :, 0].min(0), need[cells, :, 1].max(0)
+        at = np.arange(counts.shape[1])
+        return int(counts[((at + 1) * step >= low[:, None]) & (at * step <= high[:, None])].sum())
+
+    size = {g: rows(np.flatnonzero(group == g)) for g in set(group.tolist()) if g >= 0}
+    while len(size) > 1:
+        tried = []
+        for a in size:
+            for b in size:
+                if a < b:
+                    n = rows(np.flatnonzero((group == a) | (group == b)))
+                    if n <= WIDER * max(size[a], size[b]):
+                        tried.append((n - size[a] - size[b], a, b, n))
+        if not tried:
+            break
+        _, a, b, n = min(tried)
+        group[group == b] = a
+        size[a] = n
+        del size[b]
+    return group
+
+
+def voronoi_knn(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int | None = None, reducers: int = REDUCERS, block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k data rows of highest inner product, ties to the smaller id.
 
     Both frames are (vec_id, v array<long>); vectors of unequal length are compared as if filled with zeros; rows
-    that carry the query's own id are not candidates. Fewer candidates than k: all of them; no rows in, no rows out.
-    Hot cells are cut into blocks of `block` rows and `query_block` queries, so no task holds a whole cell.
+    that carry the query's own id are not candidates, whatever they hold; an id that stands in several rows can take
+    several ranks; other columns are not read. Fewer candidates than k: all of them; no rows in, no rows out. Scores
+    are exact while they stay within 64 bits. Hot cells are cut into blocks of `block` rows and `query_block` queries,
+    so no task holds a whole cell; groups of queries whose bounds exclude little share their rows.
     """
     spark = data.sparkSession
-    sizes = data.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("top")).first()
+    sizes = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("top")).first()
     dim = max(sizes["dim"] or 0, queries.agg(F.max(F.size("v"))).first()[0] or 0, 1)
     top = sizes["top"] or 0.0
+    pivots = pivots or min(PIVOTS[1], max(PIVOTS[0], int((sizes["n"] or 0) ** 0.5)))
     chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     if not chosen:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -105,26 +144,30 @@ def voronoi_knn(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = P
     apart = np.sqrt(np.maximum(2 * top - 2 * (p @ p.T + np.outer(lift, lift)), 0))
     slack = 1e-6 * (1 + np.sqrt(top)) + 1e-5 * np.sqrt(top)  # the distances are rounded; a wider bound is still right
     group = apart[:, : max(1, min(reducers, len(p)))].argmin(1)
-    need: dict[tuple[int, int], tuple[float, float]] = {}
-    asked: dict[int, int] = {}
-    for i, (u, n) in radius.items():
+    if not radius:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    near, far = np.full((len(p), len(p)), np.inf), np.full((len(p), len(p)), -np.inf)
+    for i, (u, _) in radius.items():
         nearer: dict[int, float] = {}
         for j, v, d in least:
             nearer[v] = min(nearer.get(v, np.inf), u + apart[i, j] + d)
         bounds = sorted(nearer.values())
         theta = bounds[k] if len(bounds) > k else np.inf
-        asked[int(group[i])] = asked.get(int(group[i]), 0) + n
-        for j in range(len(p)):
-            lo, hi = apart[i, j] - u - theta - slack, apart[i, j] + u + theta + slack
-            was = need.get((j, int(group[i])), (np.inf, -np.inf))
-            need[j, int(group[i])] = (float(min(lo, was[0])), float(max(hi, was[1])))
-    if not need:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        near[i], far[i] = apart[i] - u - theta - slack, apart[i] + u + theta + slack
+    group = np.where(np.isin(np.arange(len(p)), list(radius)), group, -1)
+    step = float(x.agg(F.max("dist")).first()[0]) / STEPS or 1.0
+    counts = np.zeros((len(p), STEPS + 1), dtype=np.int64)
+    for r in x.groupBy("cell", F.floor(F.col("dist") / step).cast("int").alias("s")).count().collect():
+        counts[r["cell"], min(r["s"], STEPS)] = r["count"]
+    group = joined_groups(np.stack((near, far), axis=-1), group, counts, step)
+    asked = {g: sum(radius[i][1] for i in radius if group[i] == g) for g in set(group.tolist()) if g >= 0}
+    need = {(j, g): (float(near[group == g, j].min()), float(far[group == g, j].max())) for g in asked for j in range(len(p))}
+    # bounded by pivots * groups rows
     wanted = F.broadcast(spark.createDataFrame([(j, g, lo, hi) for (j, g), (lo, hi) in need.items()], "cell int, g int, lo double, hi double"))
     sent = x.join(wanted, "cell").where("dist >= lo and dist <= hi")
     filled = {r["g"]: r["count"] for r in sent.groupBy("g").count().collect()}
     cuts = F.broadcast(spark.createDataFrame([(g, -(-filled.get(g, 1) // block), -(-n // query_block)) for g, n in asked.items()], "g int, nb long, nq long"))
-    homes = F.broadcast(spark.createDataFrame([(j, int(g)) for j, g in enumerate(group)], "cell int, g int"))
+    homes = F.broadcast(spark.createDataFrame([(j, int(g)) for j, g in enumerate(group) if g >= 0], "cell int, g int"))
     left = sent.join(cuts, "g").select("vec_id", "v", "g", F.pmod(F.xxhash64("vec_id"), F.col("nb")).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("qb"))
     right = q.join(homes, "cell").join(cuts, "g").select("vec_id", "v", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("b"), F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("nq")).alias("qb"))
 
@@ -132,8 +175,11 @@ def voronoi_knn(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = P
         ids, qids = np.asarray(some.column("vec_id")), np.asarray(asks.column("vec_id"))
         if len(ids) == 0 or len(qids) == 0:
             return _HIT.empty_table()
-        r, c, s = nearest(matrix(asks.column("v"), dim), qids, matrix(some.column("v"), dim), ids, k)
-        return pa.table([qids[r], ids[c], s], schema=_HIT)
+        x, q, out = matrix(some.column("v"), dim), matrix(asks.column("v"), dim), []
+        for at in range(0, len(q), TILE):
+            r, c, s = nearest(q[at : at + TILE], qids[at : at + TILE], x, ids, k)
+            out.append((qids[r + at], ids[c], s))
+        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=_HIT)
 
     hits = left.groupBy("g", "b", "qb").cogroup(right.groupBy("g", "b", "qb")).applyInArrow(solve, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

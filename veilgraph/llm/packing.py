@@ -2,8 +2,9 @@
 
 1. Statistics of all documents: how many there are, their mean length, and in how many each (hashed) term occurs.
 2. Routing: a document's key is a common term and any term drawn from its own by weight (rare terms that other documents
-   share weigh most), with the same draws for all documents, so documents with much in common meet. All documents are laid out by (key, hash of id and text) and cut into ranges and shards of
-   about BLOCK_BYTES of text. A key of any size is cut the same way, so no shard grows with it.
+   share weigh most), with the same draws for all documents, so documents with much in common meet. All documents are
+   laid out by (key, hash of id and text) and cut into ranges and shards of about BLOCK_BYTES of text. A key of any size
+   is cut the same way, so no shard grows with it.
 3. A task indexes its shard under the statistics of all documents. The first unused document is a seed; its BM25
    score with every document of the shard, over all its terms, gives the unused neighbours that fill the window. What
    is left of the last one opens the next window and is its seed.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilgraph.llm.common import arrow_map, batch_of, per_task, running_start, sliced, table, written
-from veilgraph.llm.tokens import chunks, encoder_for, laid_out, lowered, scrambled, stems, words
+from veilgraph.llm.tokens import Split, encoder_for, laid_out, scrambled
 
 WINDOW_TOKENS, BLOCK_BYTES, K1, B = 4096, 12 << 20, 1.2, 0.75
 #: Bytes of text that one round of array operations works on.
@@ -31,6 +32,8 @@ SLICE_BYTES = 1 << 20
 TERM_BITS, PART_BITS = 22, 16
 #: A document's first draw is among the terms that more than this share of all documents have.
 COMMON = 1 / 16
+#: The places at which ranges begin are found on every LAYOUT-th document by hash; every document is then laid out.
+LAYOUT = 16
 #: Ranges of the layout, at most: their first places go to all tasks. A range holds one or several shards.
 RANGES = 1 << 16
 _COUNT = pa.schema([("part", pa.int32()), ("counts", pa.binary()), ("docs", pa.int64()), ("words", pa.int64())])
@@ -40,31 +43,24 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.i
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def terms_of(column: pa.Array) -> tuple[np.ndarray, ...]:
+def terms_of(texts: Split) -> tuple[np.ndarray, ...]:
     """(document, term, frequency) of each distinct term of each text, in order, and the words of each text.
 
     A word is a stretch without white space, less a last mark after a letter, with A-Z (and their Latin-1 kin)
-    lower-cased; a term is its hash, over its first 24 bytes and its length.
+    lower-cased; a term is its hash, over its first bytes and its length.
     """
-    data, offsets = laid_out(column)
-    n = len(offsets) - 1
-    if not len(data):
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none, np.zeros(n, dtype=np.int64)
-    _, _, start, stop = chunks(data, offsets)
-    stop = stems(data, start, stop)
-    low = np.concatenate((lowered(data), np.zeros(32, dtype=np.uint8)))
-    h = scrambled((stop - start).astype(np.uint64) + words(low, start, stop, 0))
-    for k in (1, 2):
-        h = scrambled(h * np.uint64(0x9E3779B97F4A7C15) + words(low, start, stop, k))
-    length = np.diff(np.searchsorted(start, offsets))
-    doc = np.repeat(np.arange(n), length)
-    both = np.sort(doc << TERM_BITS | (h >> np.uint64(64 - TERM_BITS)).astype(np.int64))
+    length = np.diff(texts.cut)
+    _, h = texts.words()
+    both = np.sort(np.repeat(np.arange(len(length)) << TERM_BITS, length) | (h >> np.uint64(64 - TERM_BITS)).astype(np.int64))
     first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
     tf = np.diff(np.concatenate((first, [len(both)])))
     return both[first] >> TERM_BITS, both[first] & ((1 << TERM_BITS) - 1), tf, length
 
 
+def split_of(column: pa.Array) -> Split:
+    return Split(*laid_out(column), lower=True)
+
+
 def idf_of(df: np.ndarray, total: int) -> np.ndarray:
     """0 for terms of one document only."""
     return np.where(df > 1, np.log1p((total - df + 0.5) / (df + 0.5)), 0.0)
@@ -77,7 +73,7 @@ def statistics(texts: DataFrame) -> tuple[np.ndarray, int, float]:
         counts, docs, total = np.zeros(1 << TERM_BITS, dtype=np.uint32), 0, 0
         for batch in batches:
             for part in sliced(batch, "text", SLICE_BYTES):
-                _, term, _, length = terms_of(part.column("text"))
+                _, term, _, length = terms_of(split_of(part.column("text")))
                 np.add.at(counts, term, np.uint32(1))
                 docs, total = docs + len(length), total + int(length.sum())
         if docs:
@@ -130,16 +126,18 @@ class Shard:
     def __init__(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float):
         self.n = n = len(length)
         self.cut = np.searchsorted(doc, np.arange(n + 1))  # a document's terms
-        names, at = np.unique(term, return_inverse=True)
-        df = np.bincount(at, minlength=len(names))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(1.0, mean)))
+        order = np.argsort(term, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(term[order].astype(np.int64)) != 0))) if len(term) else np.zeros(0, np.int64)
+        df = np.diff(np.concatenate((first, [len(term)])))
+        names = term[order[first]]
         useful = (df > 1) & (idf[names] > 0)  # others score with the seed alone
-        self.at = np.where(useful[at], at, -1)
-        order = np.argsort(at, kind="stable")
-        self.doc, self.weight = doc[order].astype(np.int32), weight[order].astype(np.float32)
-        self.first = np.concatenate(([0], np.cumsum(df)))
+        self.at = np.empty(len(term), dtype=np.int64)
+        self.at[order] = np.repeat(np.where(useful, np.arange(len(names)), -1), df)
+        weight = idf[term] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / max(1.0, mean))).astype(np.float32)[doc])
+        self.doc, self.weight = doc[order], weight[order].astype(np.float32)
+        self.first = np.concatenate((first, [len(term)]))
         # terms of many documents as dense rows, the others posting by posting
-        wide = np.flatnonzero(useful & (df * 8 > n))
+        wide = np.flatnonzero(useful & (df * 16 > n))
         self.row = np.full(len(names), -1)
         self.row[wide] = np.arange(len(wide))
         self.dense = np.zeros((len(wide), n), dtype=np.float32)
@@ -152,7 +150,7 @@ class Shard:
         some = keep[self.doc]
         place = np.cumsum(keep) - 1
         self.first = np.concatenate(([0], np.cumsum(some)))[self.first]
-        self.doc, self.weight = place[self.doc[some]].astype(np.int32), self.weight[some]
+        self.doc, self.weight = place[self.doc[some]], self.weight[some]
         self.dense, self.n = np.ascontiguousarray(self.dense[:, keep]), int(keep.sum())
         return np.flatnonzero(keep)
 
@@ -286,22 +284,23 @@ def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int
     A null text counts as empty (its one id is the end id); null ids and repeated rows are packed as they are; an
     empty table gives no rows; texts longer than a window are cut; a text without words has no neighbours. What a
     shard leaves at its end goes into sequences of powers of two. The documents are read three times and shuffled once
-    (their ids and terms, by range). `width` is the type in which ids are shuffled, '<u2' for vocabularies up to 65,536.
+    (their ids and terms, by range). A range of over twice `block` bytes makes several shards. `width` is the type in which ids are shuffled, '<u2' for vocabularies up to 65,536.
     """
     spark = docs.sparkSession
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("h"))
     df, total, mean = statistics(docs.select(F.col(text).alias("text")))
+    if not total:
+        return spark.createDataFrame([], PACKED)
     sent = spark.sparkContext.broadcast((df.astype(np.float32), idf_of(df, total).astype(np.float32)))
 
     def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, term, _, _ = terms_of(batch.column("text"))
-        size = np.diff(laid_out(batch.column("text"))[1]) + 1
+        texts = split_of(batch.column("text"))
+        doc, term, _, _ = terms_of(texts)
+        size = (np.diff(texts.offsets) + 1) * LAYOUT
         return batch_of(_PLACE, keys_of(doc, term, *sent.value, total, batch.num_rows), batch.column("h"), batch.column("doc_id"), size)
 
-    places = written(arrow_map(picked, placed, "key long, h long, doc_id long, size long", limit=SLICE_BYTES), "packing-places")
-    begins = layout(places, block)
-    if not begins:
-        return spark.createDataFrame([], PACKED)
+    places = written(arrow_map(picked.where(F.pmod("h", F.lit(LAYOUT)) == 0), placed, "key long, h long, doc_id long, size long", limit=SLICE_BYTES), "packing-places")
+    begins = layout(places, block) or [(0, 0)]
     firsts = spark.sparkContext.broadcast(np.array(begins, dtype=[("key", np.int64), ("h", np.int64)]))
 
     @per_task
@@ -310,10 +309,10 @@ def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int
         small = np.dtype(width)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            column = batch.column("text")
-            doc, term, tf, length = terms_of(column)
+            texts = split_of(batch.column("text"))
+            doc, term, tf, length = terms_of(texts)
             key, h = keys_of(doc, term, *sent.value, total, batch.num_rows), np.asarray(batch.column("h"))
-            ids, sizes = encoder.encode(column)
+            ids, sizes = encoder.encode(batch.column("text"), texts)
             raw, at = ids.astype(small).tobytes(), np.concatenate(([0], np.cumsum(sizes))).tolist()
             wide = small.itemsize
             cut = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
@@ -325,7 +324,7 @@ def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int
                 key,
                 h,
                 batch.column("doc_id"),
-                np.diff(laid_out(column)[1]) + 1,
+                np.diff(texts.offsets) + 1,
                 length,
                 [raw[a * wide : b * wide] for a, b in zip(at, at[1:], strict=False)],
                 [names[4 * a : 4 * b] for a, b in pairs],
@@ -370,7 +369,7 @@ def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int
             sizes = batch.column("size").to_pylist()
             columns = {c: batch.column(c).to_pylist() for c in names}
             for k, r in enumerate(where):
-                if rows["ids"] and (r != now or size >= block):
+                if rows["ids"] and (r != now or size >= 2 * block):
                     yield flush()
                 if r != now:
                     now, number = r, r << 32
@@ -386,7 +385,7 @@ def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int
 
 def shard_of(texts: list[str]) -> Shard:
     """A shard of its own: these texts are all documents."""
-    doc, term, tf, length = terms_of(pa.array(texts, pa.large_string()))
+    doc, term, tf, length = terms_of(split_of(pa.array(texts, pa.large_string())))
     df = np.bincount(term, minlength=1 << TERM_BITS)
     return Shard(doc, term, tf, length, idf_of(df, len(texts)), float(length.mean()) if len(texts) else 1.0)
 

@@ -16,7 +16,7 @@ _OTHER = "\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 _WS = r"\x09-\x0d " + _OTHER
 _SAFE = re.compile(rf"(?<=[^{_WS}]) (?=[^{_WS}])")
 #: Characters of a long text that are worked on together; distinct segments that are remembered, at most.
-PART_CHARS, KEEP = 1 << 20, 400_000
+PART_CHARS, KEEP = 1 << 20, 600_000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[*range(9, 14), 32]] = True
 _MARK = np.zeros(256, dtype=bool)
@@ -26,9 +26,10 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
-_GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: Segments of up to three words of eight bytes are told apart by these; longer ones by their bytes.
-_WORDS, _LONG = 3, 24
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xF1357AEA2E62A9C5], dtype=np.uint64)
+#: Segments of up to 23 bytes are told apart by three numbers of eight bytes, the last with the size; longer ones by their bytes.
+_WORDS, _LONG = 3, 23
 
 
 def vocabulary(name: str) -> str:
@@ -91,10 +92,43 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, start: np.ndarray, stop: np.ndarray, at: int) -> np.ndarray:
-    """Bytes 8 * at to 8 * at + 7 of each stretch as one number, zero beyond its end. `data` ends in 32 spare bytes."""
-    eight = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
-    return eight[np.minimum(start + 8 * at, len(eight) - 1)] & _BYTES[np.clip(stop - start - 8 * at, 0, 8)]
+class Split:
+    """The stretches without white space of some texts: data[start:end] each, less a last mark, which ends at stop.
+
+    `data` is in lower case if asked for, and ends in some spare bytes.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+        self.offsets, self.size = offsets, len(data)
+        self.space, self.bound, self.start, self.stop = chunks(data, offsets) if len(data) else (np.zeros(0, bool), np.ones(1, bool), *np.zeros((2, 0), np.int64))
+        self.end = stems(data, self.start, self.stop)
+        self.data = np.concatenate((lowered(data) if lower and len(data) else data, np.zeros(8 * _WORDS + 8, dtype=np.uint8)))
+        self.cut = np.searchsorted(self.start, offsets)  # a text's stretches
+        self.named = None
+
+    def names(self, start: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """(numbers that tell stretches apart, their hash): the first 24 bytes, the last of which gives way to the size."""
+        eight = np.ndarray(shape=(len(self.data) - 7,), dtype="<u8", buffer=self.data, strides=(1,))
+        size = end - start
+        key = [eight[start] & _BYTES[np.minimum(size, 8)]]
+        for k in range(1, _WORDS):
+            word = np.zeros(len(start), dtype=np.uint64)
+            some = np.flatnonzero(size > 8 * k)
+            word[some] = eight[start[some] + 8 * k] & _BYTES[np.minimum(size[some] - 8 * k, 8)]
+            key.append(word)
+        key[-1] = key[-1] & _BYTES[7] | size.astype(np.uint64) << np.uint64(56)
+        h = key[0] * _FACTORS[0]
+        for k in range(1, _WORDS):  # (a plain sum would let the top bytes of two numbers cancel)
+            h ^= h >> np.uint64(32)
+            h += key[k]
+            h *= _FACTORS[k]
+        return key, scrambled(h)
+
+    def words(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """names() of the stretches themselves, found once."""
+        if self.named is None:
+            self.named = self.names(self.start, self.end)
+        return self.named
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -106,7 +140,7 @@ class SegmentEncoder:
     """Exact ids of whole texts, for byte-level BPE vocabularies that never merge across the segments cut here.
 
     A segment is a stretch without white space, with the one space before it, or white space that belongs to none; a
-    last mark after a letter is one of its own. All segments of a batch are told apart by their bytes in one pass of
+    last mark after a letter is a token of its own. All segments of a batch are told apart by their bytes in one pass of
     array operations; those not met before go to the library. About `keep` are remembered, as flat arrays: beyond
     that, those that more than one batch has used. Texts with special strings or other white space go to it whole.
     """
@@ -128,12 +162,15 @@ class SegmentEncoder:
         self._plain = re.compile(rf" ?[^{_WS}\x1c-\x1f{self._not_in}{starts}]{{1,200}}").fullmatch
         self._sep_id = tok.encode(self._sep, add_special_tokens=False).ids[0]
         self._alphabet = _byte_alphabet()
+        self._marks = np.zeros(256, dtype=np.uint32)
+        for c in ".,;:!?":
+            (self._marks[ord(c)],) = tok.encode(c, add_special_tokens=False).ids
         self._codes = np.array([ord(self._alphabet[b]) for b in range(256)], dtype="<u2")
         self._forget()
 
     def _forget(self) -> None:
         self._hash = [np.zeros(0, dtype=np.uint64) for _ in range(2)]  # sorted; the second holds what is newer
-        self._key = [np.zeros((_WORDS + 1, 0), dtype=np.uint64) for _ in range(2)]
+        self._key = [np.zeros((_WORDS, 0), dtype=np.uint64) for _ in range(2)]
         self._start, self._size, self._used = ([np.zeros(0, dtype=np.int64) for _ in range(2)] for _ in range(3))
         self._ids = np.zeros(0, dtype=np.uint32)
 
@@ -195,50 +232,46 @@ class SegmentEncoder:
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         return np.fromiter(chain.from_iterable(parts), dtype=np.uint32, count=int(sizes.sum())), sizes
 
-    def _segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, stop) of all segments of the texts, in order."""
-        space, bound, start, stop = chunks(data, offsets)
-        end = stems(data, start, stop)
-        marked = np.flatnonzero(end < stop)
-        if self._drops_space:
-            begin, others = start, [(stop[marked] - 1, stop[marked])]
-        else:
-            led = (start > 0) & ~bound[start]
-            led &= data[np.maximum(start - 1, 0)] == 32
-            begin, others = start - led, [(stop[marked] - 1, stop[marked])]
-            # runs of white space: the last character stands alone before a stretch, or leads it if it is a space
-            first, last = space.copy(), space.copy()
-            first[1:] &= ~space[:-1] | bound[1 : len(data)]
-            last[:-1] &= ~space[1:] | bound[1 : len(data)]
-            a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-            plain = (b - a == 1) & (data[a] == 32) & ~bound[b] if len(a) else np.zeros(0, dtype=bool)
-            a, b = a[~plain], b[~plain]
-            before = ~bound[b]  # a stretch of the same text follows
-            body = b - before
-            some = body > a
-            others.append((a[some], body[some]))
-            alone = before & (data[b - 1] != 32)
-            others.append((b[alone] - 1, b[alone]))
-        first, last = (np.concatenate(x) for x in zip((begin, end), *others, strict=True))
-        order = np.argsort(first, kind="stable")
-        return first[order], last[order]
-
-    def _values(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _white(self, x: Split) -> tuple[np.ndarray, np.ndarray]:
+        """(start, stop) of the white space that leads no stretch, in order: the last character of a run stands alone
+        before a stretch, or leads it if it is a space."""
+        n, space, bound = x.size, x.space, x.bound
+        first, last = space.copy(), space.copy()
+        first[1:] &= ~space[:-1] | bound[1:n]
+        last[:-1] &= ~space[1:] | bound[1:n]
+        first &= last & (x.data[:n] == 32)  # a space of its own before a stretch: the plain case
+        first[: n - 1] &= ~bound[1:n]
+        if n:
+            first[n - 1] = False
+        a = np.flatnonzero(space & ~first)
+        if not len(a):
+            return a, a
+        # runs of what is left
+        new = np.concatenate(([True], (np.diff(a) > 1) | bound[a[1:]]))
+        a, b = a[new], np.concatenate((a[np.flatnonzero(new)[1:] - 1], a[-1:])) + 1
+        before = ~bound[b]  # a stretch of the same text follows
+        body = b - before
+        some, alone = body > a, before & (x.data[b - 1] != 32)
+        begin, end = np.concatenate((a[some], b[alone] - 1)), np.concatenate((body[some], b[alone]))
+        order = np.argsort(begin, kind="stable")
+        return begin[order], end[order]
+
+    def _values(self, x: Split, start: np.ndarray, stop: np.ndarray, named=None) -> tuple[np.ndarray, np.ndarray]:
         """(first place in the list of ids, number of ids) of each segment."""
-        size = (stop - start).astype(np.uint64)
-        key = np.stack([*(words(data, start, stop, k) for k in range(_WORDS)), size])
-        h = scrambled(key[0] + _GOLD)
-        for k in range(1, _WORDS + 1):
-            h = scrambled(h + key[k])
-        long = np.flatnonzero(size > _LONG)
+        if not len(start):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        data, (key, h) = x.data, named or x.names(start, stop)
+        long = np.flatnonzero(stop - start > _LONG)
         raw = data.tobytes() if len(long) else b""
+        if len(long):
+            h = h.copy()
         for k, a, b in zip(long.tolist(), start[long].tolist(), stop[long].tolist(), strict=True):
             h[k] ^= np.uint64(hash(raw[a:b]) & ((1 << 64) - 1))
         coded = pa.array(h).dictionary_encode()
-        code, distinct = np.asarray(coded.indices).astype(np.int64), np.asarray(coded.dictionary)
+        code, distinct = np.asarray(coded.indices).astype(np.intp), np.asarray(coded.dictionary)
         one = np.empty(len(distinct), dtype=np.int64)
         one[code[::-1]] = np.arange(len(code))[::-1]  # the first segment of each
-        if not all((key[k] == key[k][one][code]).all() for k in range(_WORDS + 1)) or any(raw[start[k] : stop[k]] != raw[start[one[code[k]]] : stop[one[code[k]]]] for k in long):
+        if not all((w == w[one][code]).all() for w in key) or any(raw[start[k] : stop[k]] != raw[start[one[code[k]]] : stop[one[code[k]]]] for k in long):
             raise _Collision
         # what is remembered is compared by its bytes too; long segments are never remembered
         begin, many, new = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), np.ones(len(distinct), dtype=bool)
@@ -247,7 +280,7 @@ class SegmentEncoder:
             at[at == len(self._hash[side])] = 0
             here = np.flatnonzero(self._hash[side][at] == distinct) if len(self._hash[side]) else np.zeros(0, np.int64)
             at = at[here]
-            for k in range(_WORDS + 1):
+            for k in range(_WORDS):
                 if (self._key[side][k][at] != key[k][one[here]]).any():
                     raise _Collision
             self._used[side][at] += 1
@@ -257,8 +290,8 @@ class SegmentEncoder:
             ids, sizes = self._encoded(data, start[one[new]], stop[one[new]])
             begin[new], many[new] = len(self._ids) + np.cumsum(sizes) - sizes, sizes
             self._ids = np.concatenate((self._ids, ids))
-            new = new[key[_WORDS][one[new]] <= _LONG]
-            self._merge(1, distinct[new], key[:, one[new]], begin[new], many[new], np.ones(len(new), dtype=np.int64))
+            new = new[(stop - start)[one[new]] <= _LONG]
+            self._merge(1, distinct[new], np.stack([w[one[new]] for w in key]), begin[new], many[new], np.ones(len(new), dtype=np.int64))
         return begin[code], many[code]
 
     def _merge(self, side: int, h, key, start, size, used) -> None:
@@ -286,20 +319,41 @@ class SegmentEncoder:
         self._hash[0], self._key[0], self._size[0] = self._hash[0][rows], self._key[0][:, rows], size[rows]
         self._start[0], self._used[0] = np.cumsum(size[rows]) - size[rows], np.minimum(used[rows], 2 if len(rows) < len(used) else used.max(initial=1))
 
-    def _fast(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _fast(self, data: np.ndarray, offsets: np.ndarray, split: Split | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, or none for lengths only; number of ids of each text)."""
-        if not len(data):
-            return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets) - 1, dtype=np.int64)
         # in lower case where that is the vocabulary's own first step; beside a combining mark case may matter to it
         low = self._drops_space and not (data & 0xFE == 0xCC).any()
-        room = np.concatenate((lowered(data) if low else data, np.zeros(8 * _WORDS + 8, dtype=np.uint8)))
-        start, stop = self._segments(data, offsets)
-        begin, size = self._values(room, start, stop)
-        done = np.concatenate(([0], np.cumsum(size)))
-        cut = done[np.searchsorted(start, offsets)]
-        ids = np.zeros(0, dtype=np.uint32) if self._lengths else self._ids[_spread(begin, size)]
+        x = split if split is not None and low else Split(data, offsets, low)
+        if self._drops_space:
+            begin, size = self._values(x, x.start, x.end, x.words())
+        else:
+            led = (x.start > 0) & ~x.bound[x.start]
+            led &= x.data[np.maximum(x.start - 1, 0)] == 32
+            begin, size = self._values(x, x.start - led, x.end)
+        marked = x.end < x.stop
+        each = size + marked  # of a stretch and its mark
+        sizes = np.diff(np.concatenate(([0], np.cumsum(each)))[x.cut])
+        white = np.zeros(0, dtype=np.int64)
+        if not self._drops_space:
+            white, white_end = self._white(x)
+            white_begin, white_size = self._values(x, white, white_end)
+            sizes += np.bincount(np.searchsorted(offsets, white, side="right") - 1, weights=white_size, minlength=len(sizes)).astype(np.int64)
+        if self._lengths:
+            self._settle()
+            return np.zeros(0, dtype=np.uint32), sizes
+        out = np.empty(int(sizes.sum()), dtype=np.uint32)
+        place = np.cumsum(each) - each
+        if len(white):  # white space goes before the stretch that follows it
+            after = np.searchsorted(x.start, white)
+            done = np.concatenate(([0], np.cumsum(np.bincount(after, weights=white_size, minlength=len(each) + 1).astype(np.int64))))
+            at = np.concatenate((place, [int(each.sum())]))[after] + np.cumsum(white_size) - white_size
+            out[_spread(at, white_size)] = self._ids[_spread(white_begin, white_size)]
+            place = place + done[1:-1]
+        out[_spread(place, size)] = self._ids[_spread(begin, size)]
+        some = np.flatnonzero(marked)
+        out[place[some] + size[some]] = self._marks[x.data[x.stop[some] - 1]]
         self._settle()
-        return ids, np.diff(cut)
+        return out, sizes
 
     def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Texts that may hold a special string, or that hold white space beyond ASCII."""
@@ -320,8 +374,10 @@ class SegmentEncoder:
             at.append(some[hit])
         return np.unique(np.searchsorted(offsets, np.concatenate(at), side="right") - 1)
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts end to end, number of ids of each text); null as empty. With lengths only, the ids are empty."""
+    def encode(self, column: pa.Array, split: Split | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of ids of each text); null as empty. With lengths only, the ids are empty.
+
+        `split` may be the column's Split in lower case, if it has been made already."""
         data, offsets = laid_out(column)
         owner = None
         if len(data) and int(np.diff(offsets).max()) > 4 * PART_CHARS:  # long texts go in parts
@@ -335,7 +391,7 @@ class SegmentEncoder:
         odd = self._odd(data, offsets)
         if not len(odd):
             try:
-                return self._fast(data, offsets)
+                return self._fast(data, offsets, split)
             except _Collision:
                 self._forget()
                 odd = np.arange(len(offsets) - 1)

@@ -74,3 +74,25 @@ def test_every_window_has_one_minimizer():
 def test_query_on_whole_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, sd.op3_suffix_dedup(spark, sf_dir).collect())) == brute(rows)
+
+
+def test_longest_previous_factors_equal_brute_force():
+    draw = random.Random(5)
+    for length in (8, 20, 100):
+        for _ in range(6):
+            segments = ["".join(draw.choice("ab") for _ in range(length + draw.randint(0, 30))).encode() for _ in range(8)]
+            segments += [segments[0], segments[1][:-1] + b"c" * 5, b"a" * (length + 9)]
+            windows = np.array([len(s) - length + 1 for s in segments])
+            position = np.array(draw.sample(range(0, 100_000, 500), len(segments)))
+            got = sd.longest_previous(segments, windows, position, length)
+            every = [(p + o, s[o : o + length]) for s, p, n in zip(segments, position.tolist(), windows.tolist(), strict=True) for o in range(n)]
+            common = lambda x, y: next((i for i, (c, d) in enumerate(zip(x, y, strict=True)) if c != d), length)
+            assert got.tolist() == [max((common(w, v) for q, v in every if q < p), default=0) for p, w in every]
+
+
+def test_hot_minimizers_that_differ_are_dealt_by_all_their_bytes(spark):
+    draw = random.Random(9)
+    rows = [(i, "".join(draw.choice("xyz") for _ in range(40)) + "the same two dozen bytes and more of them" + "".join(draw.choice("uvw") for _ in range(40))) for i in range(60)]
+    rows += [(100 + i, rows[i][1][5:]) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert digest(sd.suffix_dedup(df, bucket=4, hot=3)) == brute(rows)

@@ -3,8 +3,9 @@
 Each window of LENGTH bytes belongs to its minimizer, the smallest hashed K-gram in it (leftmost on ties). Equal
 windows have equal minimizers, so windows can be settled group by group of minimizers: a minimizer met once owns only
 unique windows and drops out by its hash alone; the text around the others (a segment: its run of windows) is dealt
-into buckets by minimizer. In a bucket, suffixes are ordered by prefix doubling and ties by position; a window's
-longest previous factor reaches LENGTH exactly if its previous smaller position in that order has an equal prefix.
+into buckets by minimizer. In a bucket, suffixes are ordered by prefix doubling; the previous and next smaller
+positions in that order give each window's longest previous factor, and a window whose factor reaches LENGTH is covered.
+Whole copies of texts, and within a bucket of segments, are folded first: the earliest stands for all of them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from veilgraph.llm.common import arrow_map, batch_of, bytes_of, sliced, table, w
 from veilgraph.llm.near_dedup import mixed
 
 LENGTH, K = 100, 24
-#: Segments a bucket is meant to hold; a minimizer with more than HOT goes by window hashes instead; met more often than OFTEN in a batch, it is known to repeat.
+#: Segments a bucket is meant to hold; a minimizer with more than HOT is settled in parts first; met more often than OFTEN in a batch, it is known to repeat.
 BUCKET, HOT, OFTEN = 12_000, 100_000, 8
 #: Bytes of text whose anchors are computed at once: some ten arrays of eight bytes each.
 CHUNK = 1 << 20
@@ -29,7 +30,7 @@ _POS = np.uint64((1 << 30) - 1)
 _ANCHOR = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("run", pa.int64())])
 _SEGMENT = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int64()), ("seg", pa.binary())])
 _RUN = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
-_WINDOW = pa.schema([("w", pa.binary()), ("doc_id", pa.int64()), ("s", pa.int64())])
+_PARTLY = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("h", pa.int64()), ("seg", pa.binary())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
 _SEGMENTS = "h long, doc_id long, a long, seg binary"
 
@@ -100,33 +101,78 @@ def anchors_of(data: list[bytes], length: int = LENGTH, k: int = K):
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else anchors([], length, k)
 
 
-def earlier(segments: list[bytes], windows: np.ndarray, position: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each segment, the offsets of its windows (windows[i] of them, first at position rank position[i] + offset)
-    whose longest previous factor reaches `length`. Positions order all windows; equal ones are never each other's earlier."""
-    size = np.array([len(s) for s in segments], dtype=np.int64)
-    base = np.concatenate(([0], np.cumsum(size)[:-1]))
-    buf = np.frombuffer(b"".join(segments) + bytes(length + 8), dtype=np.uint8)
+def suffix_order(buf: np.ndarray, at: np.ndarray, position: np.ndarray, length: int) -> np.ndarray:
+    """Order of the suffixes of buf that start at `at`, by their first `length` bytes (prefix doubling), then by position."""
     n = len(buf) - 8
-    rank = np.unique(np.ndarray(shape=(n,), dtype="<u8", buffer=buf, strides=(1,)), return_inverse=True)[1]
+    rank = np.unique(np.ndarray(shape=(n,), dtype="<u8", buffer=buf, strides=(1,)).byteswap(), return_inverse=True)[1]
     have = 8
     while have < length:
         step = min(have, length - have)
         key = rank[: len(rank) - step] * np.int64(len(rank) + 1) + rank[step:]
         rank = np.unique(key, return_inverse=True)[1]
         have += step
+    return np.lexsort((position, rank[at]))
+
+
+def common_prefix(buf: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Equal bytes at the places x[i] and y[i] of buf, at most `most`."""
+    eight = np.ndarray(shape=(len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
+    out, live = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+    for k in range(0, most, 8):
+        apart = eight[x[live] + k] ^ eight[y[live] + k]
+        low = apart & (~apart + np.uint64(1))  # its lowest bit tells the first byte that differs
+        out[live] = np.where(apart == 0, k + 8, k + np.log2(np.maximum(low, 1).astype(float)).astype(np.int64) // 8)
+        live = live[apart == 0]
+        if not len(live):
+            break
+    return np.minimum(out, most)
+
+
+def nearest_smaller(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each suffix, in suffix order, its common prefix with the nearest one before it of smaller position (0: none).
+
+    lcp[i] is the common prefix of suffixes i - 1 and i. All pointers jump together over what is not smaller: what
+    lies between a suffix and the one it points to is never smaller, so the rounds grow with the logarithm.
+    """
+    to, least = np.arange(len(position)) - 1, lcp.copy()
+    live = np.flatnonzero(to >= 0)
+    while len(live):
+        live = live[position[to[live]] >= position[live]]
+        over = to[live]
+        least[live] = np.minimum(least[live], least[over])
+        to[live] = to[over]
+        live = live[to[live] >= 0]
+    least[to < 0] = 0
+    return least
+
+
+def longest_previous(segments: list[bytes], windows: np.ndarray, position: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """LPF, up to `length`, of all windows, segment by segment: the longest prefix of a window that another one of
+    smaller position has too. windows[i] of segment i start at positions position[i], position[i] + 1, ...
+
+    The nearest smaller positions before and after a window in suffix order hold its longest earlier matches.
+    """
     total = int(windows.sum())
-    owner = np.repeat(np.arange(len(segments)), windows)
+    if not total:
+        return np.zeros(0, dtype=np.int64)
+    size = np.array([len(s) for s in segments], dtype=np.int64)
+    buf = np.frombuffer(b"".join(segments) + bytes(length + 16), dtype=np.uint8)
     offset = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows)
-    r, p = rank[base[owner] + offset], position[owner] + offset
-    order = np.lexsort((p, r))
-    same = r[order][1:] == r[order][:-1]
-    # smallest position of each run of equal prefixes; a window is covered if that is smaller than its own
-    head = np.concatenate(([True], ~same))
-    least = p[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-    found = np.zeros(total, dtype=bool)
-    found[order] = least < p[order]
-    cut = np.cumsum(windows)[:-1]
-    return [np.flatnonzero(x) for x in np.split(found, cut)]
+    at, p = np.repeat(np.cumsum(size) - size, windows) + offset, np.repeat(position, windows) + offset
+    order = suffix_order(buf, at, p, length)
+    start, place = at[order], p[order]
+    lcp = np.concatenate(([0], common_prefix(buf, start[:-1], start[1:], length)))
+    before = nearest_smaller(place, lcp)
+    after = nearest_smaller(place[::-1], np.concatenate(([0], lcp[:0:-1])))[::-1]
+    out = np.empty(total, dtype=np.int64)
+    out[order] = np.maximum(before, after)
+    return out
+
+
+def earlier(segments: list[bytes], windows: np.ndarray, position: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """For each segment, the offsets of its windows whose longest previous factor reaches `length`."""
+    found = longest_previous(segments, windows, position, length) >= length
+    return [np.flatnonzero(x) for x in np.split(found, np.cumsum(windows)[:-1])]
 
 
 def _runs(offsets: np.ndarray):
@@ -137,6 +183,10 @@ def _runs(offsets: np.ndarray):
     return [(int(x[0]), int(x[-1])) for x in np.split(offsets, cut)]
 
 
+def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
+
+
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, bucket: int = BUCKET, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept): the removed byte runs [start, stop) and the bytes that are left, for every row.
 
@@ -183,12 +233,18 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, bucket: int
                 segs = [data[p][x : y + length] for p, x, y in zip(part.tolist(), a.tolist(), b.tolist(), strict=True)]
                 yield batch_of(_SEGMENT, h, ids[part], a, segs)
 
-    segments = written(texts.where("first").join(runs.hint("merge"), "doc_id").select("doc_id", "text", "runs").mapInArrow(cut, _SEGMENTS), "segments")
-    total = segments.count()
-    many = written(segments.groupBy("h").count().where(F.col("count") > hot).select("h"), "hot")
+    def single(batches):
+        for batch in batches:
+            for piece in sliced(batch, "seg", 1 << 18):
+                doc, a, seg = (piece.column(c).to_pylist() for c in ("doc_id", "a", "seg"))
+                rows = [(xxhash.xxh3_64_intdigest(s[o : o + length]) - (1 << 63), d, x + o, s[o : o + length]) for d, x, s in zip(doc, a, seg, strict=True) for o in range(len(s) - length + 1)]
+                yield batch_of(_SEGMENT, *zip(*rows, strict=True))
+
+    def settle(part: pa.Table) -> tuple[list[tuple], list[tuple]]:
+        """(removed runs (doc_id, first, last), runs of windows that are left: (h, doc_id, first, bytes)) of some segments.
 
-    def settle(part: pa.Table) -> pa.Table:
-        """Identical segments first: the earliest stands for all, the others are removed whole."""
+        Identical segments first: the earliest stands for all, the others are removed whole.
+        """
         doc, a, seg = np.asarray(part.column("doc_id")), np.asarray(part.column("a")), part.column("seg").to_pylist()
         order = np.lexsort((a, doc)).tolist()
         head: dict[bytes, int] = {}
@@ -202,15 +258,41 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, bucket: int
         ids = np.unique(doc[rest], return_inverse=True)[1].astype(np.int64)
         flat = ids * (int(a.max()) + 1000) + a[rest]
         windows = np.array([len(seg[i]) - length + 1 for i in rest], dtype=np.int64)
-        for i, offsets in zip(rest, earlier([seg[i] for i in rest], windows, flat, length), strict=True):
+        h, left = part.column("h").to_pylist(), []
+        for i, n, offsets in zip(rest, windows.tolist(), earlier([seg[i] for i in rest], windows, flat, length), strict=True):
             out += [(int(doc[i]), int(a[i]) + x, int(a[i]) + y) for x, y in _runs(offsets)]
-        return pa.table([list(c) for c in zip(*out, strict=True)] if out else [[], [], []], schema=_RUN)
+            left += [(h[i], int(doc[i]), int(a[i]) + x, seg[i][x : y + length]) for x, y in _runs(np.setdiff1d(np.arange(n), offsets))]
+        return out, left
+
+    def final(part: pa.Table) -> pa.Table:
+        return _table(_RUN, settle(part)[0])
 
-    buckets = max(1, -(-total // bucket))
-    calm = segments.join(many, "h", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    removed = calm.groupBy("bucket").applyInArrow(settle, "doc_id long, s long, e long")
-    if many.limit(1).count():
-        removed = removed.union(_hot_runs(segments.join(many, "h", "left_semi"), length))
+    def partly(part: pa.Table) -> pa.Table:
+        out, left = settle(part)
+        return _table(_PARTLY, [(*r, None, None) for r in out] + [(d, a, None, h, seg) for h, d, a, seg in left])
+
+    segments = written(texts.where("first").join(runs.hint("merge"), "doc_id").select("doc_id", "text", "runs").mapInArrow(cut, _SEGMENTS), "segments")
+    removed, fine = None, False
+    while True:
+        buckets = max(1, -(-segments.count() // bucket))
+        counts = segments.groupBy("h").count().where(F.col("count") > hot)
+        many = written(counts.select("h", F.ceil(F.col("count") / bucket).alias("cuts")), "hot")
+        some = many.count()
+        calm = segments.join(many, "h", "left_anti") if some else segments
+        done = calm.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInArrow(final, "doc_id long, s long, e long")
+        removed = done if removed is None else removed.union(done)
+        if not some:
+            break
+        # hot minimizers in parts: a window that a part removes has an equal earlier one among those that the part leaves,
+        # so only what is left meets in the next round
+        hotter = written(segments.join(F.broadcast(many) if some < 10_000 else many, "h").select("h", "doc_id", "a", "seg", F.pmod(F.xxhash64("doc_id", "a"), F.col("cuts")).alias("cut")), "hot-segments")
+        parts_done = written(hotter.groupBy("h", "cut").applyInArrow(partly, "doc_id long, s long, e long, h long, seg binary"), "hot-parts")
+        removed = removed.union(parts_done.where("seg is null").select("doc_id", "s", "e"))
+        left = parts_done.where("seg is not null").select("h", "doc_id", F.col("s").alias("a"), "seg")
+        if not fine and 2 * left.count() > hotter.count():  # they differ: from now on windows are dealt by all their bytes
+            fine = True
+            left = left.select("doc_id", "a", "seg").mapInArrow(single, _SEGMENTS)
+        segments = written(left, "segments")
     by_doc = removed.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -232,27 +314,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, bucket: int
     return arrow_map(texts.join(by_doc.hint("merge"), "doc_id", "left").select("doc_id", "text", "first", "runs"), finish, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
 
 
-def _hot_runs(segments: DataFrame, length: int) -> DataFrame:
-    """The same for minimizers with very many segments: identical segments, then windows, meet by their 128-bit hashes,
-    aggregated before the shuffle; each group needs only its smallest position."""
-    named = segments.select("doc_id", "a", "seg", F.sha2("seg", 256).alias("key"))
-    heads = named.groupBy("key").agg(F.min(F.struct("doc_id", "a")).alias("head"))
-    placed = named.join(heads, "key")
-    is_head = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("a") == F.col("head.a"))
-    copies = placed.where(~is_head).select("doc_id", F.col("a").alias("s"), (F.col("a") + F.length("seg") - length).alias("e"))
-
-    def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for doc, a, seg in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "a", "seg")), strict=True):
-            out += [(xxhash.xxh3_128_digest(seg[o : o + length]), doc, a + o) for o in range(len(seg) - length + 1)]
-        return batch_of(_WINDOW, *zip(*out, strict=True))
-
-    windows = written(arrow_map(placed.where(is_head).select("doc_id", "a", "seg"), explode, "w binary, doc_id long, s long", column="seg", limit=1 << 20), "windows")
-    least = windows.groupBy("w").agg(F.min(F.struct("doc_id", "s")).alias("least"), F.max(F.struct("doc_id", "s")).alias("most")).where("least <> most").select("w", "least")
-    later = windows.join(least, "w").where(F.struct("doc_id", "s") != F.col("least")).select("doc_id", "s", F.col("s").alias("e"))
-    return copies.union(later)
-
-
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])

@@ -12,10 +12,11 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from veilgraph.llm.common import arrow_map, batch_of, shared_dir, table
-from veilgraph.llm.decontamination import contaminated
-from veilgraph.llm.langid import langid, train_langid
+from veilgraph.llm.common import arrow_map, shared_dir, table
+from veilgraph.llm.decontamination import decontaminated
+from veilgraph.llm.langid import train_langid, with_language
 from veilgraph.llm.near_dedup import near_duplicates
 from veilgraph.llm.packing import bm25_packing
 from veilgraph.llm.suffix_dedup import suffix_dedup
@@ -25,49 +26,53 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SIMILARITY_PERCENT = 80
 
 
-def _by_id(rows: DataFrame) -> DataFrame:
-    """One row an id, so that joining decisions back never multiplies documents; null ids drop out (they join nothing)."""
-    return rows.where("doc_id is not null").dropDuplicates(["doc_id"])
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language (`und`: null text or no letter) and sets lang where it was null."""
-    named = langid(docs, train_langid(docs)).select("doc_id", "lang_pred")
-    known = _by_id(named.where("lang_pred <> 'und'"))
-    return docs.join(known, "doc_id").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
-
+    """Rejects documents without a language (`und`: null text or no letter) and sets lang where it was null.
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each component; repeated rows of an id leave one."""
-    kept = _by_id(near_duplicates(docs, percent=SIMILARITY_PERCENT).where("kept").select("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    Null and repeated ids are kept as they are; an empty table gives no rows; where no row can be learned from, every
+    text with a letter stays."""
+    return with_language(docs.select(*COLUMNS), train_langid(docs))
 
 
-_TEXT = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each component. Rows without an id have no component and stay. Rows that
+    share an id stand or fall together; where they share the text too, one stays (least lang, source and n_chars)."""
+    docs = docs.select(*COLUMNS)
+    left = near_duplicates(docs, percent=SIMILARITY_PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(left, "doc_id", "left_semi")
+    often = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = kept.join(often, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("m")).select("doc_id", "text", "m.*")
+    alone = kept.join(often, "doc_id", "left_anti")
+    return docs.where("doc_id is null").unionByName(alone.select(*COLUMNS)).unionByName(once.select(*COLUMNS))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later copies of 100-byte passages out of the texts; a document of which nothing is left goes.
 
-    Bytes of a character that a cut has split go with it. n_chars is counted anew.
-    """
+    Bytes of a character that a cut has split go with it. n_chars is counted anew. Rows without an id stay whole; rows
+    that share an id are cut each by what starts earlier under other ids."""
+    carried = ["doc_id", "lang", "source"]
+    cut = suffix_dedup(docs, carry=tuple(carried)).select("row", "kept")
+    rows = cut.select("row", "kept").schema["row"].dataType
+    kind = StructType([StructField("row", rows), StructField("text", StringType())])
 
     def text_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch_of(_TEXT, batch.column("doc_id"), [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()])
+        texts = pa.array([x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()], pa.string())
+        return pa.RecordBatch.from_arrays([batch.column("row"), texts], ["row", "text"])
 
-    cut = _by_id(arrow_map(suffix_dedup(docs).select("doc_id", "kept"), text_of, "doc_id long, text string", column="kept"))
-    left = docs.drop("text", "n_chars").join(cut.where(F.trim("text") != ""), "doc_id")
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    left = arrow_map(cut, text_of, kind, column="kept").where(F.trim("text") != "")
+    return left.select("row.*", "text").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item within its edit budget."""
-    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Drops documents that hold a benchmark item within its edit budget, whatever their id; null texts hold none."""
+    return decontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
+    """Pieces of training sequences: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
+
+    Null ids and repeated rows are packed as they are; an empty table gives no rows."""
     return bm25_packing(docs)
 
 

@@ -41,3 +41,25 @@ def test_each_stage_decides_as_brute_force(spark, sf_dir, tmp_path):
 def test_stages_take_an_empty_table(spark, sf_dir):
     none = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     assert [stage(spark, none, sf_dir).count() for _, stage in cp.STAGES] == [0] * 5
+
+
+def test_null_and_repeated_ids_and_clashing_names(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60 and lang is not null")
+    leak = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    rows = [(None, "plain words of no id at all", "en", "x", 1), (None, f"before {leak} after", "en", "x", 1), (7_001, "some words that only one row has", "en", "x", 1), (7_001, "some words that only one row has", "en", "a", 1), (7_001, "and another text of the same id", "en", "x", 1)]
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    for name in ("lang_pred", "row", "kept", "score", "first", "component_id", "h", "size"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    out = docs
+    for name, stage in cp.STAGES[:4]:
+        out = stage(spark, out if name == "language_id" else out.withColumn("kept", F.lit(1)), sf_dir)
+        assert out.columns == cp.COLUMNS
+    found = [r for r in out.collect() if r.doc_id in (None, 7_001)]
+    assert sorted((r.doc_id or 0, r.text, r.source) for r in found) == [(0, "plain words of no id at all", "x"), (7_001, "and another text of the same id", "x"), (7_001, "some words that only one row has", "a")]
+
+
+def test_language_id_without_rows_to_learn_from(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    docs = docs.unionByName(spark.createDataFrame([(90_001, "12 34", None, "x", 5)], docs.schema))
+    out = cp.language_id(spark, docs, sf_dir)
+    assert out.count() == docs.count() - 1 and out.where("lang is not null or doc_id = 90001").count() == 0

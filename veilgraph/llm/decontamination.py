@@ -8,6 +8,8 @@ the least edit distance of the item to any stretch of the text.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -115,6 +117,23 @@ def matcher(items: list[tuple[int, str]], share: float):
     return match
 
 
+def passes(items: DataFrame, pass_chars: int = PASS_CHARS, item_id: str = "item_id", item_text: str = "text") -> Iterator[list[tuple[int, str]]]:
+    """Normalized items in lists of at most `pass_chars` characters (one item at least); null and blank ones are left out."""
+    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    held, size = [], 0
+    for row in rows.orderBy("item_id", "text").toLocalIterator():
+        item = normalized(row["text"])
+        if not item.strip():
+            continue
+        if held and size + len(item) > pass_chars:
+            yield held
+            held, size = [], 0
+        held.append((row["item_id"], item))
+        size += len(item)
+    if held:
+        yield held
+
+
 def contaminated(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE, pass_chars: int = PASS_CHARS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, stop): each document's least edit distance to each item that it holds within the
     item's budget, and where (in the normalized text) that first ends.
@@ -124,9 +143,7 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE,
     characters, so what is broadcast does not grow with the benchmark.
     """
     spark = docs.sparkSession
-    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out, held, size = None, [], 0
 
     def one(some: list[tuple[int, str]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(some)
@@ -143,16 +160,29 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE,
 
         return arrow_map(picked, task, _KIND)
 
-    for row in rows.orderBy("item_id", "text").toLocalIterator():
-        item = normalized(row["text"])
-        if not item.strip():
-            continue
-        if held and size + len(item) > pass_chars:
-            out, held, size = (one(held) if out is None else out.unionAll(one(held))), [], 0
-        held.append((row["item_id"], item))
-        size += len(item)
-    last = one(held)
-    return last if out is None else out.unionAll(last)
+    out = [one(some) for some in passes(items, pass_chars, item_id, item_text)]
+    return reduce(DataFrame.unionAll, out) if out else spark.createDataFrame([], _KIND)
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE, pass_chars: int = PASS_CHARS, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item within its budget; null and blank texts stay.
+
+    A filter over the rows themselves: null and repeated ids and clashing column names make no difference.
+    """
+    for some in passes(items, pass_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(some)
+
+        @per_task
+        def task(sent=sent):
+            match = matcher(sent.value, share)
+
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                return batch.filter(pa.array([not match(normalized(x)) for x in texts_of(batch, text)], pa.bool_()))
+
+            return step
+
+        docs = arrow_map(docs, task, docs.schema, column=text)
+    return docs
 
 
 def op5_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

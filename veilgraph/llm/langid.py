@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,7 +158,9 @@ class Model:
         self.labels, self.weights, self.trans, self.first = labels, weights, trans, first
 
     def predict(self, texts: list[bytes | None]):
-        """(label, score, words) of each text. `und` with score 0 where a text is null or has no letter."""
+        """(label, score, words) of each text. `und` with score 0 where a text is null or has no letter, or nothing was learned."""
+        if not self.labels:
+            return [("und", 0.0, 0) for _ in texts]
         part, owner, feature = features([t or b"" for t in texts])
         lengths = np.bincount(part, minlength=len(texts))
         p = long_marginals(emissions(self.weights, len(part), owner, feature), lengths, self.trans, self.first) if len(part) else np.zeros((0, len(self.labels)))
@@ -178,7 +181,9 @@ def _has_letter(text: bytes) -> bool:
 
 def fit(rows: list[tuple[bytes, str]], epochs: int = EPOCHS, stretch: int = STRETCH, seed: int = 11) -> Model:
     """Trains on (text, language). Sequences join stretches of several documents, so transitions between languages
-    are seen; likelihood gradients by forward-backward, AdaGrad steps."""
+    are seen; likelihood gradients by forward-backward, AdaGrad steps. No rows give a model without labels."""
+    if not rows:
+        return Model([], np.zeros((0, 1 << BITS)), np.zeros((0, 0)), np.zeros(0))
     labels = sorted({lang for _, lang in rows})
     k, rng = len(labels), np.random.default_rng(seed)
     part, owner, feature = features([t for t, _ in rows])
@@ -245,19 +250,42 @@ def langid(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
     """(doc_id, lang_pred, score, n_words) for every row, no shuffle; only the text is read.
 
     score: the mean marginal of the language over the text's words, 0 to 1. A null text or one without a letter gives
-    `und`, 0; ties go to the first label in alphabetical order; an empty table gives no rows. The model (a fixed
-    number of weights) is broadcast.
+    `und`, 0; so does every text where no row could be learned from; ties go to the first label in alphabetical order;
+    an empty table gives no rows. The model (a fixed number of weights) is broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [x.encode() if x is not None else None for x in batch.column("text").to_pylist()]
-        return batch_of(_OUT, batch.column("doc_id"), *zip(*sent.value.predict(texts), strict=True))
+        return batch_of(_OUT, batch.column("doc_id"), *zip(*sent.value.predict(_encoded(batch.column("text"))), strict=True))
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return arrow_map(picked, step, "doc_id long, lang_pred string, score double, n_words long", limit=1 << 20)
 
 
+def with_language(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs, with all their columns, that have a language; `lang` is set where it was null. Where no row
+    could be learned from, the rows whose text has a letter, as they are.
+
+    A filter over the rows themselves: null and repeated ids and clashing column names make no difference.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = _encoded(batch.column(text))
+        if not sent.value.labels:
+            return batch.filter(pa.array([x is not None and _has_letter(x) for x in texts], pa.bool_()))
+        named = [x[0] for x in sent.value.predict(texts)]
+        at = batch.schema.get_field_index(lang)
+        filled = pc.coalesce(batch.column(at), pa.array(named, batch.schema.field(at).type))
+        return batch.set_column(at, batch.schema.field(at), filled).filter(pa.array([x != "und" for x in named], pa.bool_()))
+
+    return arrow_map(docs, step, docs.schema, column=text, limit=1 << 20)
+
+
+def _encoded(column: pa.Array) -> list[bytes | None]:
+    return [x.encode() if x is not None else None for x in column.to_pylist()]
+
+
 def op8_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid(docs, train_langid(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -6,6 +6,7 @@ hinge-loss model on these is fitted by dual coordinate descent; its weights are
 
 from __future__ import annotations
 
+from functools import reduce
 from operator import eq
 
 import numpy as np
@@ -111,12 +112,12 @@ def fit(xs: list[np.ndarray], ys: list[int], cost: float = COST, epochs: int = E
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_chars: int = 200_000) -> Nbsvm:
-    """Fits on at most `sample` labelled documents a class (smallest hash of the id, not held out): the bound of what
-    the driver holds. Labels that are null or whose document is missing are not used."""
-    from pyspark.sql import Window
-
+    """Fits on at most `sample` labelled documents a class (smallest hash of the id, not held out), of at most
+    `max_chars` characters each: the bound of what the driver holds. Labels that are null or whose document is missing
+    are not used; other columns are not read."""
     usable = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    picked = usable.withColumn("rn", F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("rn") <= sample)
+    # each class's smallest hashes by a top-k of every partition's top k: no task sees a whole class
+    picked = reduce(DataFrame.unionByName, (usable.where(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for side in ("quality > 0", "quality <= 0")))
     few = F.broadcast(picked.select("doc_id", "quality"))
     short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= max_chars)
     kind = pa.schema([("doc_id", pa.int64()), ("quality", pa.int64()), ("x", pa.list_(pa.int32()))])

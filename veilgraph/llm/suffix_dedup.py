@@ -187,16 +187,17 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, bucket: int = BUCKET, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, bucket: int = BUCKET, hot: int = HOT, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): the removed byte runs [start, stop) and the bytes that are left, for every row.
 
     A null text is empty. Rows that share an id stand at one place: neither is earlier than the other. A row without
     an id takes no part and keeps its bytes. Texts shorter than `length` keep theirs. An empty table gives no rows.
-    A later exact copy of a whole text is removed whole (each of its windows starts earlier in the first copy).
+    A later exact copy of a whole text is removed whole (each of its windows starts earlier in the first copy). With
+    `carry`, these columns of each row are given back too, as a struct `row`.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
     copies = picked.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("first"))
     firsts = written(copies.select(F.col("first").alias("doc_id")).distinct(), "firsts").withColumn("first", F.lit(True))
     # the texts, bucketed by id once: both later joins then move only their small side
@@ -309,9 +310,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, bucket: int
                 kept.append(data[at:s])
                 at = e
             out.append((doc, len(data), [{"start": s, "stop": e} for s, e in spans], b"".join(kept) + data[at:]))
-        return batch_of(_KEPT, *zip(*out, strict=True))
+        done = batch_of(_KEPT, *zip(*out, strict=True))
+        return done.append_column("row", batch.column("row")) if carry else done
 
-    return arrow_map(texts.join(by_doc.hint("merge"), "doc_id", "left").select("doc_id", "text", "first", "runs"), finish, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+    kind = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
+    both = texts.join(by_doc.hint("merge"), "doc_id", "left").select("doc_id", "text", "first", "runs", *(["row"] if carry else []))
+    return arrow_map(both, finish, f"{kind}, row {both.schema['row'].dataType.simpleString()}" if carry else kind)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

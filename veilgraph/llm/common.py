@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +17,17 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 
 
+#: What a Python worker keeps from one task to the next.
+HELD: dict = {}
+
+
+def released() -> None:
+    """Gives memory that this worker has freed back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library that has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,12 +52,17 @@ def arrow_map(df: DataFrame, work: Callable, schema: str, column: str = "text",
     """
 
     def run(batches):
-        step = work() if getattr(work, "per_task", False) else work
+        if getattr(work, "per_task", False):
+            step = work()
+        else:
+            step = work
+            HELD.clear()  # what other tasks of this worker have kept gives way
         for batch in batches:
             for part in sliced(batch, column, limit):
                 out = step(part)
                 if out is not None:
                     yield out
+        released()
 
     return df.mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilgraph.llm.common import arrow_map, batch_of, per_task, running_start, sliced, table, written
+from veilgraph.llm.common import HELD, arrow_map, batch_of, per_task, released, running_start, sliced, table, written
 from veilgraph.llm.tokens import Split, encoder_for, laid_out, scrambled
 
 WINDOW_TOKENS, BLOCK_BYTES, K1, B = 4096, 12 << 20, 1.2, 0.75
@@ -70,6 +70,7 @@ def statistics(texts: DataFrame) -> tuple[np.ndarray, int, float]:
     """(documents with each term, documents, mean words) over all rows of (text)."""
 
     def run(batches):
+        HELD.clear()
         counts, docs, total = np.zeros(1 << TERM_BITS, dtype=np.uint32), 0, 0
         for batch in batches:
             for part in sliced(batch, "text", SLICE_BYTES):
@@ -79,6 +80,7 @@ def statistics(texts: DataFrame) -> tuple[np.ndarray, int, float]:
         if docs:
             for k, part in enumerate(np.split(counts, len(counts) >> PART_BITS)):
                 yield batch_of(_COUNT, [k], [zlib.compress(part.astype("<u4").tobytes(), 1)], [docs if k == 0 else 0], [total if k == 0 else 0])
+        released()
 
     def summed(part: pa.Table) -> pa.Table:
         out = np.zeros(1 << PART_BITS, dtype=np.uint64)
@@ -126,7 +128,8 @@ class Shard:
     def __init__(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float):
         self.n = n = len(length)
         self.cut = np.searchsorted(doc, np.arange(n + 1))  # a document's terms
-        order = np.argsort(term, kind="stable")
+        # by term, then document: one plain sort of numbers that end in the place
+        order = np.sort(term.astype(np.int64) << 32 | np.arange(len(term))) & 0xFFFFFFFF
         first = np.flatnonzero(np.concatenate(([True], np.diff(term[order].astype(np.int64)) != 0))) if len(term) else np.zeros(0, np.int64)
         df = np.diff(np.concatenate((first, [len(term)])))
         names = term[order[first]]
@@ -134,7 +137,7 @@ class Shard:
         self.at = np.empty(len(term), dtype=np.int64)
         self.at[order] = np.repeat(np.where(useful, np.arange(len(names)), -1), df)
         weight = idf[term] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / max(1.0, mean))).astype(np.float32)[doc])
-        self.doc, self.weight = doc[order], weight[order].astype(np.float32)
+        self.doc, self.weight = doc[order], weight[order].astype(float)
         self.first = np.concatenate((first, [len(term)]))
         # terms of many documents as dense rows, the others posting by posting
         wide = np.flatnonzero(useful & (df * 16 > n))
@@ -364,6 +367,7 @@ def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int
             rows, size = {c: [] for c in names}, 0
             return batch_of(_OUT, *zip(*done, strict=True))
 
+        HELD.clear()
         for batch in batches:
             where = batch.column("range").to_pylist()
             sizes = batch.column("size").to_pylist()
@@ -378,6 +382,7 @@ def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int
                 size += sizes[k]
         if rows["ids"]:
             yield flush()
+        released()
 
     dealt = arrow_map(picked, task, "range int, key long, h long, doc_id long, size long, length long, ids binary, terms binary, tf binary", limit=2 * SLICE_BYTES)
     return dealt.repartitionById(len(begins), "range").sortWithinPartitions("key", "h", "doc_id").mapInArrow(pack, PACKED)

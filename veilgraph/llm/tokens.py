@@ -11,20 +11,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from veilgraph.llm.common import HELD
+
 #: White space beyond ASCII, as the vocabularies' own patterns take it.
 _OTHER = "\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 _WS = r"\x09-\x0d " + _OTHER
 _SAFE = re.compile(rf"(?<=[^{_WS}]) (?=[^{_WS}])")
 #: Characters of a long text that are worked on together; distinct segments that are remembered, at most.
 PART_CHARS, KEEP = 1 << 20, 600_000
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[*range(9, 14), 32]] = True
 _MARK = np.zeros(256, dtype=bool)
 _MARK[list(b".,;:!?")] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xF1357AEA2E62A9C5], dtype=np.uint64)
@@ -65,7 +63,7 @@ def laid_out(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def chunks(data: np.ndarray, offsets: np.ndarray):
     """(space, bound, start, stop): which bytes are white space, which start a text, and the stretches without white space."""
     n = len(data)
-    space = _SPACE[data]
+    space = (data == 32) | (data - np.uint8(9) < 5)
     bound = np.zeros(n + 1, dtype=bool)
     bound[offsets] = True
     solid = ~space
@@ -85,7 +83,7 @@ def stems(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 def lowered(data: np.ndarray) -> np.ndarray:
     """The bytes with the letters A-Z and their accented Latin-1 kin in lower case."""
-    out = _LOWER[data]
+    out = data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
     lead = np.flatnonzero(data[:-1] == 0xC3) + 1
     after = data[lead]
     out[lead[(after >= 0x80) & (after <= 0x9E) & (after != 0x97)]] += 32
@@ -428,12 +426,9 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
-_HELD: dict[tuple[str, bool], SegmentEncoder] = {}
-
-
 def encoder_for(vocab: str, lengths_only: bool = False) -> SegmentEncoder:
     """This Python worker's encoder: what it remembers serves all tasks that the worker runs."""
-    if (vocab, lengths_only) not in _HELD:
-        _HELD.clear()
-        _HELD[vocab, lengths_only] = SegmentEncoder(vocab, lengths_only)
-    return _HELD[vocab, lengths_only]
+    if (vocab, lengths_only) not in HELD:
+        HELD.clear()
+        HELD[vocab, lengths_only] = SegmentEncoder(vocab, lengths_only)
+    return HELD[vocab, lengths_only]

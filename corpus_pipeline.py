@@ -9,12 +9,10 @@ from __future__ import annotations
 
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from veilgraph.llm.common import arrow_map, shared_dir, table
+from veilgraph.llm.common import shared_dir, table
 from veilgraph.llm.decontamination import decontaminated
 from veilgraph.llm.langid import train_langid, with_language
 from veilgraph.llm.near_dedup import near_duplicates
@@ -51,16 +49,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Bytes of a character that a cut has split go with it. n_chars is counted anew. Rows without an id stay whole; rows
     that share an id are cut each by what starts earlier under other ids."""
-    carried = ["doc_id", "lang", "source"]
-    cut = suffix_dedup(docs, carry=tuple(carried)).select("row", "kept")
-    rows = cut.select("row", "kept").schema["row"].dataType
-    kind = StructType([StructField("row", rows), StructField("text", StringType())])
-
-    def text_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = pa.array([x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()], pa.string())
-        return pa.RecordBatch.from_arrays([batch.column("row"), texts], ["row", "text"])
-
-    left = arrow_map(cut, text_of, kind, column="kept").where(F.trim("text") != "")
+    left = suffix_dedup(docs, carry=("doc_id", "lang", "source")).where(F.trim("text") != "")
     return left.select("row.*", "text").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -28,7 +28,14 @@ def released() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bounds what a Python worker is handed at once by bytes, not rows alone: ten thousand long texts are too much."""
+    with contextlib.suppress(Exception):  # a session that lets no one set it
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -64,6 +71,7 @@ def arrow_map(df: DataFrame, work: Callable, schema: str, column: str = "text",
                     yield out
         released()
 
+    bounded(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

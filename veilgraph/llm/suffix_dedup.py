@@ -193,7 +193,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, bucket: int
     A null text is empty. Rows that share an id stand at one place: neither is earlier than the other. A row without
     an id takes no part and keeps its bytes. Texts shorter than `length` keep theirs. An empty table gives no rows.
     A later exact copy of a whole text is removed whole (each of its windows starts earlier in the first copy). With
-    `carry`, these columns of each row are given back too, as a struct `row`.
+    `carry`, these columns of each row are given back too, as a struct `row`, and what is left as `text`: bytes of a
+    character that a cut has split go with it.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -311,11 +312,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, bucket: int
                 at = e
             out.append((doc, len(data), [{"start": s, "stop": e} for s, e in spans], b"".join(kept) + data[at:]))
         done = batch_of(_KEPT, *zip(*out, strict=True))
-        return done.append_column("row", batch.column("row")) if carry else done
+        if not carry:
+            return done
+        texts = pa.array([x.decode("utf-8", "ignore") for x in done.column("kept").to_pylist()], pa.string())
+        return done.append_column("row", batch.column("row")).append_column("text", texts)
 
     kind = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
     both = texts.join(by_doc.hint("merge"), "doc_id", "left").select("doc_id", "text", "first", "runs", *(["row"] if carry else []))
-    return arrow_map(both, finish, f"{kind}, row {both.schema['row'].dataType.simpleString()}" if carry else kind)
+    return arrow_map(both, finish, f"{kind}, row {both.schema['row'].dataType.simpleString()}, text string" if carry else kind)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ _OTHER = "\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 _WS = r"\x09-\x0d " + _OTHER
 _SAFE = re.compile(rf"(?<=[^{_WS}]) (?=[^{_WS}])")
 #: Characters of a long text that are worked on together; distinct segments that are remembered, at most.
-PART_CHARS, KEEP = 1 << 20, 600_000
+PART_CHARS, KEEP = 1 << 20, 900_000
 _MARK = np.zeros(256, dtype=bool)
 _MARK[list(b".,;:!?")] = True
 _LETTER = np.zeros(256, dtype=bool)

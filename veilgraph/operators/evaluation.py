@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgraph.functions import geometry as G
@@ -83,11 +83,20 @@ def picked_threshold(swept: DataFrame, least_precision: float = 0.85) -> DataFra
     return swept.groupBy().agg(F.max_by(F.struct("thr", "p", "r", "f1"), rank).alias("best")).select("best.*")
 
 
-def upper_median(values: Column) -> Column:
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
+def at_index(rows: DataFrame, by: list[str], value: str, index, steps: int = 1024) -> DataFrame:
+    """(by, n, value): the value at place index(n), from 0, among a group's n values in ascending order; nulls are none.
 
-
-def index_percentile(values: Column, share_: float) -> Column:
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, F.least(F.size(ordered), (F.floor(F.size(ordered) * share_) + 1).cast("int")))
+    Exact without one task sorting a group: values are counted in `steps` stretches between the group's least and
+    greatest, and only those of the stretch that holds the place are ranked.
+    """
+    some = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    ends = some.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("n"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * steps)).otherwise(0)
+    dealt = some.join(ends, by).withColumn("_s", place)
+    counts = dealt.groupBy(*by, "n", "_s").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = counts.withColumn("_b", before).withColumn("_i", index(F.col("n")) - F.col("_b")).where((F.col("_i") >= 0) & (F.col("_i") < F.col("_c")))
+    # values of one number are all alike: ranking stops there
+    few = dealt.join(held.select(*by, "_s", "_i"), [*by, "_s"]).groupBy(*by, "n", "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    return few.withColumn("_u", upto).where((F.col("_u") > F.col("_i")) & (F.col("_u") - F.col("_c") <= F.col("_i"))).select(*by, "n", F.col("_v").alias("value"))

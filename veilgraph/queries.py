@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from importlib import import_module
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from veilgraph.sources.writers import reports
 from veilgraph.streaming import queue as Q
 from veilgraph.streaming import timing as W
 
+#: Modules of veilgraph.catalog whose queries belong to these.
+CATALOG = ["regions", "scoring"]
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
@@ -37,11 +40,18 @@ def query(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    for name in CATALOG:
+        import_module(f"veilgraph.catalog.{name}")
+
+
 def queries() -> dict:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
@@ -374,7 +384,9 @@ def cause_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type, l[len(l) // 2 + 1] AS upper_median, l[least(len(l), CAST(floor(len(l) * 0.9::DOUBLE) AS BIGINT) + 1)] AS p90 FROM (
   SELECT event_type, list_sort(list(value) FILTER (value IS NOT NULL)) AS l FROM events GROUP BY event_type)""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(E.upper_median(F.col("value")).alias("upper_median"), E.index_percentile(F.col("value"), 0.9).alias("p90"))
+    rows = table(spark, sf_dir, "events")
+    mid = E.at_index(rows, ["event_type"], "value", lambda n: F.floor(n / 2)).select("event_type", F.col("value").alias("upper_median"))
+    return mid.join(E.at_index(rows, ["event_type"], "value", lambda n: F.least(n - 1, F.floor(n * 0.9))).select("event_type", F.col("value").alias("p90")), "event_type")
 
 
 # ---- datasets

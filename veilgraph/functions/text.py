@@ -222,3 +222,40 @@ def split_of(key: Column, fraction: float) -> Column:
 def with_object_particle(word: Column) -> Column:
     code = F.ascii(F.substring(word, -1, 1)) - 44032
     return F.concat(word, F.when(code.between(0, 11171) & (code % 28 > 0), "을").otherwise("를"))
+
+
+def source_of(stem: Column) -> Column:
+    """The data set that a file's name begins with: four parts where the first is `realcard`, else one."""
+    parts = F.split(stem, "_")
+    return F.when(parts[0] == "realcard", F.array_join(F.slice(parts, 1, 4), "_")).otherwise(parts[0])
+
+
+def masked_name(name: Column) -> Column:
+    """The second letter hidden; of two letters, all but the first."""
+    return F.when(F.length(name) >= 3, F.concat(F.substring(name, 1, 1), F.lit("*"), F.substr(name, F.lit(3)))).otherwise(F.concat(F.substring(name, 1, 1), F.lit("*")))
+
+
+def masked_mobile(number: Column) -> Column:
+    return F.regexp_replace(number, r"^([^-]+)-[^-]+-([^-]+)$", "$1-****-$2")
+
+
+def fingerprint(content: Column, *fields: Column) -> Column:
+    """SHA-256 of a request's content and fields, apart by zero bytes; null fields count as empty."""
+    zero = F.lit("\x00")
+    whole = [content]
+    for f in fields:
+        whole += [zero, F.coalesce(f, F.lit(""))]
+    return F.sha2(F.concat(*whole).cast("binary"), 256)
+
+
+def url_path(url: Column) -> Column:
+    return F.coalesce(F.try_parse_url(F.trim(url), F.lit("PATH")), F.lit(""))
+
+
+def url_query(url: Column) -> Column:
+    return F.coalesce(F.try_parse_url(F.trim(url), F.lit("QUERY")), F.lit(""))
+
+
+def first_of_each(rows, by: list[str], text: str, order: str):
+    """(by, key, order): of rows whose text has the same label key, the least `order`."""
+    return rows.groupBy(*by, label_key(F.col(text)).alias("key")).agg(F.min(order).alias(order))

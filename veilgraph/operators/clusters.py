@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from veilgraph.functions import text as T
 from veilgraph.functions import vocab as V
 from veilgraph.operators.neighbors import links
-from veilgraph.session import stored
+
+
+def _joined(i: list[int], j: list[int]) -> dict[int, int]:
+    """The smallest member of each one's group, by union-find."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up.setdefault(y, y)
+        return x
+
+    for x, y in zip(i, j, strict=True):
+        a, b = top(x), top(y)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in list(up)}
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(photo_id, span_index, head): the smallest index reachable over edges (photo_id, i, j). Labels are lowered
-    through neighbours and through their own label's label, so chains of n lines take about log n rounds."""
-    both = stored(edges.union(edges.select("photo_id", "j", "i")).distinct(), "links")
-    labels = nodes.select("photo_id", "span_index", F.col("span_index").alias("head"))
-    while True:
-        near = both.join(labels.select("photo_id", F.col("span_index").alias("j"), "head"), ["photo_id", "j"]).groupBy("photo_id", F.col("i").alias("span_index")).agg(F.min("head").alias("low"))
-        lower = labels.join(near, ["photo_id", "span_index"], "left").select("photo_id", "span_index", F.col("head").alias("was"), F.least("head", F.coalesce("low", "head")).alias("head"))
-        jump = labels.select("photo_id", F.col("span_index").alias("head"), F.col("head").alias("next"))
-        moved = stored(lower.join(jump, ["photo_id", "head"]).select("photo_id", "span_index", "was", F.least("head", "next").alias("head")), "heads")
-        labels = moved.select("photo_id", "span_index", "head")
-        if moved.where("was <> head").limit(1).count() == 0:
-            return labels
+    """(photo_id, span_index, head): the smallest index reachable over edges (photo_id, i, j).
+
+    Components never leave a page, so one shuffle by page settles them all; a task holds one page's links at a time.
+    """
+    kinds = nodes.select("photo_id", "span_index").schema
+    kind = StructType([kinds["photo_id"], kinds["span_index"], StructField("head", kinds["span_index"].dataType)])
+
+    def one(page: pa.Table) -> pa.Table:
+        heads = _joined(page.column("i").to_pylist(), page.column("j").to_pylist())
+        who = page.column("photo_id")
+        return pa.table([pa.array([who[0].as_py()] * len(heads), type=who.type), pa.array(list(heads), type=page.column("i").type), pa.array(list(heads.values()), type=page.column("i").type)], names=["photo_id", "span_index", "head"])
+
+    linked = edges.select("photo_id", "i", "j").groupBy("photo_id").applyInArrow(one, kind)
+    return nodes.select("photo_id", "span_index").join(linked, ["photo_id", "span_index"], "left").select("photo_id", "span_index", F.coalesce("head", "span_index").alias("head"))
 
 
 def clusters(spans: DataFrame) -> DataFrame:

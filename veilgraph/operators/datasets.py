@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 
 from veilgraph.functions import text as T
 
-# ---- fixed values: smallest box side in pixels, IoU of a box drawn twice, share of the image that a box may cover
-LEAST_PX, TWICE_IOU, WHOLE = 6, 0.9, 0.9
-
 
 def content_id(content: Column) -> Column:
     return F.substring(F.sha1(content.cast("binary")), 1, 12)
 
 
 def first_copies(rows: DataFrame, content: str, order: str) -> DataFrame:
-    """(id, first, copies): one row a distinct content, aggregated before the shuffle."""
-    return rows.groupBy(content_id(F.col(content)).alias("id")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
+    """(id, first, copies): one row a distinct content, by its whole digest, aggregated before the shuffle."""
+    whole = F.sha1(F.col(content).cast("binary"))
+    out = rows.groupBy(whole.alias("whole")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
+    return out.select(F.substring("whole", 1, 12).alias("id"), "first", "copies")
 
 
 def assigned(rows: DataFrame, key: str, fraction: float = 0.15) -> DataFrame:

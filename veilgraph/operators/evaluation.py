@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgraph.functions import geometry as G
+from veilgraph.operators.grid import overlapping
 
 
 def verdict(expect: Column, got: Column) -> Column:
@@ -43,7 +44,8 @@ def matched(gt: DataFrame, pred: DataFrame, least_iou: float = 0.5) -> DataFrame
     gt: image_id, gt_index, box, ignore; pred: image_id, pred_index, box, score. Only overlapping candidates are
     joined; the one-to-one choice is a fold within each image.
     """
-    pairs = pred.join(gt.select("image_id", "gt_index", F.col("box").alias("g"), "ignore"), "image_id").withColumn("iou", G.iou(F.col("box"), F.col("g"))).where(F.col("iou") >= least_iou)
+    truth = gt.select("image_id", "gt_index", F.col("box").alias("g"), "ignore")
+    pairs = overlapping(pred, truth, "image_id", "box", "g").withColumn("iou", G.iou(F.col("box"), F.col("g"))).where(F.col("iou") >= least_iou)
     options = pairs.groupBy("image_id", "pred_index").agg(F.collect_list(F.struct((-F.col("iou")).alias("n"), "gt_index", "ignore")).alias("options"))
     per = pred.select("image_id", "pred_index", "score").join(options, ["image_id", "pred_index"], "left")
     rows = per.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("n"), "pred_index", "score", F.array_sort(F.coalesce("options", F.array().cast("array<struct<n:double,gt_index:int,ignore:boolean>>"))).alias("options")))).alias("preds"))

@@ -55,3 +55,19 @@ def findings(pieces: DataFrame, keys: list[str], text: str, kinds: list[str] | N
     default = F.create_map(*(F.lit(x) for pair in V.DEFAULT_SEVERITY.items() for x in pair))
     public = (F.col("kind") == "email") & T.public_mailbox(F.col("hit"))
     return each.withColumn("severity", F.when(public, "info").otherwise(F.coalesce(default[F.col("kind")], F.lit("review"))))
+
+
+#: Kinds that raise a decoded code to `cover` when its text holds them.
+SENSITIVE_IN_CODES = ["rrn", "card", "mobile", "email", "landline", "address_road", "address_unit"]
+
+
+def code_findings(codes: DataFrame, keys: list[str], payload: str) -> DataFrame:
+    """(keys, payload_kind, severity, contains): contact, network and telephone codes are covered, links and plain text
+    reviewed; personal values inside (of a link: in its path and query only) raise it and are told by kind."""
+    kind = T.payload_class(F.col(payload))
+    inner = F.when(kind == "url", F.concat_ws(" ", T.url_path(F.col(payload)), T.url_query(F.col(payload)))).otherwise(F.col(payload))
+    found = F.when(inner.rlike(r"[\p{Nd}@]"), F.transform(scan(inner), lambda h: h["kind"])).otherwise(F.array().cast("array<string>"))
+    held = F.sort_array(F.array_distinct(F.array_intersect(found, T.lit_array(SENSITIVE_IN_CODES))))
+    base = F.when(kind.isin("vcard", "wifi", "tel"), "cover").otherwise("review")
+    out = codes.select(*keys, kind.alias("payload_kind"), base.alias("_base"), held.alias("contains"))
+    return out.select(*keys, "payload_kind", F.when(F.size("contains") > 0, "cover").otherwise(F.col("_base")).alias("severity"), "contains")

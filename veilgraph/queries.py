@@ -25,7 +25,7 @@ from veilgraph.streaming import queue as Q
 from veilgraph.streaming import timing as W
 
 #: Modules of veilgraph.catalog whose queries belong to these.
-CATALOG = ["regions", "scoring"]
+CATALOG = ["regions", "scoring", "curation", "service", "words"]
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
@@ -232,10 +232,12 @@ def neighbors_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("photo_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("distance"), 3).alias("distances"))
 
 
-@query()
+@query(f"""WITH {_SPANS}, n AS (SELECT *, CASE WHEN row - lag(row) OVER (PARTITION BY doc_id ORDER BY i) > 1 THEN 1 ELSE 0 END AS new FROM s),
+c AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS cluster FROM n)
+SELECT doc_id AS photo_id, CAST(cluster AS BIGINT) AS cluster, count(*) AS spans, CAST(min(x) AS BIGINT) AS x, CAST(min(y) AS BIGINT) AS y, CAST(max(x + w) - min(x) AS BIGINT) AS w, CAST(max(y) + 30 - min(y) AS BIGINT) AS h FROM c GROUP BY doc_id, cluster""")
 def cluster_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = document_spans(spark, sf_dir)
-    return C.cluster_summary(spans, C.clusters(spans))
+    return C.cluster_summary(spans, C.clusters(spans)).select("photo_id", F.col("cluster").cast("long").alias("cluster"), "spans", *(F.col(c).cast("long").alias(c) for c in "xywh"))
 
 
 # ---- judgement of spans
@@ -309,7 +311,19 @@ def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.join(other, "event_id").select("event_id", F.round(G.iou(F.col("a"), F.col("b")), 6).alias("iou"), F.round(G.share_of_smaller(F.col("a"), F.col("b")), 6).alias("of_smaller"))
 
 
-@query()
+_SQL_BOXES = "event_id * 37 % 500 AS x, event_id * 53 % 400 AS y, event_id % 60 + 20 AS w, event_id % 40 + 15 AS h"
+
+
+def _sql_iou(a: str, b: str) -> str:
+    both = f"(greatest(0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x)) * greatest(0, least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y)))"
+    return f"({both}::DOUBLE / ({a}.w * {a}.h + {b}.w * {b}.h - {both}))"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT user_id, event_id, round(value, 3) AS score, {_SQL_BOXES}, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 3) DESC NULLS FIRST, event_id) AS rn FROM events),
+r AS (SELECT user_id, 0::BIGINT AS rn, CAST([] AS STRUCT(event_id BIGINT, score DOUBLE, x BIGINT, y BIGINT, w BIGINT, h BIGINT)[]) AS kept FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT r.user_id, b.rn, CASE WHEN len(list_filter(r.kept, lambda k: {_sql_iou('k', 'b')} >= 0.4::DOUBLE)) > 0 THEN r.kept
+    ELSE list_append(r.kept, struct_pack(event_id := b.event_id, score := b.score, x := b.x, y := b.y, w := b.w, h := b.h)) END FROM r JOIN b ON b.user_id = r.user_id AND b.rn = r.rn + 1)
+SELECT user_id, CAST(k.event_id AS INTEGER) AS event_id, k.score AS score FROM (SELECT user_id, unnest(kept) AS k FROM r WHERE rn = (SELECT max(rn) FROM b WHERE b.user_id = r.user_id))""")
 def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy suppression of each user's boxes (a user stands for a photo)."""
     rows = table(spark, sf_dir, "events").select("user_id", F.struct(F.round("value", 3).cast("double").alias("score"), F.col("event_id").cast("int").alias("seq"), F.col("event_type").alias("class"), _box(F.col("event_id")).alias("box")).alias("b"))
@@ -334,12 +348,27 @@ def _matching(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return gt, pred
 
 
-@query()
+_SWEEP = f"""WITH RECURSIVE e AS (SELECT user_id AS img, event_id, {_SQL_BOXES} FROM events),
+g AS (SELECT * FROM e WHERE event_id % 3 <> 1),
+q AS (SELECT img, event_id, x + event_id % 11 - 5 AS x, y + event_id % 7 - 3 AS y, w, h, (event_id * 7919 % 1000)::DOUBLE / 1000 AS score FROM e WHERE event_id % 3 <> 2),
+o AS (SELECT q.img, q.event_id, list({{'gt': g.event_id, 'ignore': g.event_id % 10 = 0}} ORDER BY {_sql_iou('q', 'g')} DESC, g.event_id) AS options FROM q JOIN g ON g.img = q.img AND {_sql_iou('q', 'g')} >= 0.5::DOUBLE GROUP BY 1, 2),
+p AS (SELECT q.img, q.score, o.options, row_number() OVER (PARTITION BY q.img ORDER BY q.score DESC, q.event_id) AS rn FROM q LEFT JOIN o ON o.img = q.img AND o.event_id = q.event_id),
+r AS (SELECT img, 0::BIGINT AS rn, CAST([] AS BIGINT[]) AS used, NULL::DOUBLE AS score, NULL::STRUCT(gt BIGINT, "ignore" BOOLEAN) AS best FROM (SELECT DISTINCT img FROM q)
+  UNION ALL SELECT img, rn, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.gt) END, score, best FROM (
+    SELECT r.img, p.rn, r.used, p.score, list_filter(p.options, lambda z: z."ignore" OR NOT list_contains(r.used, z.gt))[1] AS best FROM r JOIN p ON p.img = r.img AND p.rn = r.rn + 1)),
+t AS (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS thr),
+c AS (SELECT thr, count(*) FILTER (r.score >= thr AND r.best IS NOT NULL AND NOT r.best."ignore") AS tp, count(*) FILTER (r.score >= thr AND r.best IS NULL) AS fp FROM t, r WHERE r.rn > 0 GROUP BY thr),
+f AS (SELECT *, (SELECT count(*) FROM g WHERE event_id % 10 <> 0) - tp AS fn FROM c),
+w AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0::DOUBLE END AS p, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0::DOUBLE END AS r FROM f),
+z AS (SELECT *, CASE WHEN p + r > 0 THEN p * r * 2 / (p + r) ELSE 0.0::DOUBLE END AS f1 FROM w)"""
+
+
+@query(f"{_SWEEP} SELECT thr, tp, fp, fn, p, r, f1 FROM z")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.sweep(*_matching(spark, sf_dir), [0.1, 0.3, 0.5, 0.7, 0.9])
 
 
-@query()
+@query(f"{_SWEEP} SELECT thr, p, r, f1 FROM z ORDER BY p >= 0.85 DESC, CASE WHEN p >= 0.85 THEN r ELSE f1 END DESC, thr LIMIT 1")
 def threshold_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.picked_threshold(threshold_sweep(spark, sf_dir))
 
@@ -427,7 +456,21 @@ def ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.ewma_by(_events(spark, sf_dir).withColumn("v", F.col("value").cast("double")), "event_type", ["ts", "event_id"], "value").select("event_type", "records", "average")
 
 
-@query()
+def _sql_guess(units: str) -> str:
+    slope = "greatest(0.0::DOUBLE, (a.n * a.sxy - a.sx * a.sy) / (a.n * a.sxx - a.sx * a.sx))"
+    return f"""CASE WHEN a.seen = 0 OR a.n <= 0 THEN NULL WHEN a.seen >= 3 AND a.n * a.sxx - a.sx * a.sx > greatest(1.0::DOUBLE, a.n * a.sxx) * 1e-9::DOUBLE
+      THEN greatest(0.0::DOUBLE, (a.sy - {slope} * a.sx) / a.n) + {slope} * {units} WHEN a.sx / a.n > 0 THEN (a.sy / a.n) * {units} / (a.sx / a.n) ELSE a.sy / a.n END"""
+
+
+_WEIGHT = f"(CASE WHEN coalesce(({_sql_guess('x.u')}) > 0 AND x.s > ({_sql_guess('x.u')}) * 5.0::DOUBLE, FALSE) THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END)"
+_STEP = ", ".join(f"{c} := a.{c} * 0.9::DOUBLE + {_WEIGHT} * {v}" for c, v in (("n", "1.0::DOUBLE"), ("sx", "x.u"), ("sy", "x.s"), ("sxx", "(x.u * x.u)"), ("sxy", "(x.u * x.s)")))
+
+
+@query(f"""WITH z AS (SELECT event_type, list(struct_pack(n := 0.0::DOUBLE, sx := 0.0::DOUBLE, sy := 0.0::DOUBLE, sxx := 0.0::DOUBLE, sxy := 0.0::DOUBLE, seen := 0::BIGINT, u := (event_id % 7 + 1)::DOUBLE, s := value::DOUBLE) ORDER BY ts, event_id) AS l
+  FROM events WHERE value IS NOT NULL AND value >= 0 GROUP BY event_type),
+m AS (SELECT event_type, list_reduce(list_prepend(struct_pack(n := 0.0::DOUBLE, sx := 0.0::DOUBLE, sy := 0.0::DOUBLE, sxx := 0.0::DOUBLE, sxy := 0.0::DOUBLE, seen := 0::BIGINT, u := 0.0::DOUBLE, s := 0.0::DOUBLE), l),
+  lambda a, x: struct_pack({_STEP}, seen := a.seen + 1, u := 0.0::DOUBLE, s := 0.0::DOUBLE)) AS a FROM z)
+SELECT 'judge:' || event_type AS key, CAST(a.seen AS INTEGER) AS records, round({_sql_guess('4.0::DOUBLE')}, 6) AS seconds_for_4 FROM m""")
 def duration_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _events(spark, sf_dir).select(F.concat(F.lit("judge:"), F.col("event_type")).alias("key"), "ts", "event_id", (F.col("event_id") % 7 + 1).cast("double").alias("units"), F.col("value").cast("double").alias("seconds"))
     models = W.models(records, ["ts", "event_id"])

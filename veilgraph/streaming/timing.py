@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # ---- fixed values of the duration model
@@ -19,9 +19,18 @@ def ewma(ordered: Column, keep: float = KEEP, take: float = TAKE) -> Column:
     return F.aggregate(rest, F.element_at(ordered, 1), lambda a, x: a * keep + x * take)
 
 
+#: Records that an average still hears of: 0.7 ** 256 is far below the last bit of any double.
+HEARD = 256
+
+
 def ewma_by(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v"))))
-    return events.where(F.col(value).isNotNull()).groupBy(key).agg(rows.alias("rows")).select(key, F.size("rows").cast("long").alias("records"), ewma(F.transform("rows", lambda r: r["v"])).alias("average"))
+    """(key, records, average). Each partition hands on a key's last HEARD records only: what is older has no weight."""
+    some = events.where(F.col(value).isNotNull())
+    last = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
+    heard = some.select(key, *order, F.col(value).alias("v")).withColumn("_rn", F.row_number().over(last)).where(F.col("_rn") <= HEARD)
+    rows = heard.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "v"))).alias("rows"))
+    averages = rows.select(key, ewma(F.transform("rows", lambda r: r["v"])).alias("average"))
+    return some.groupBy(key).agg(F.count(F.lit(1)).alias("records")).join(averages, key)
 
 
 def predicted(s: Column, units: Column) -> Column:
@@ -100,3 +109,8 @@ def ewma_stream(events: DataFrame, key: str, keep: float = KEEP, take: float = T
             yield pd.DataFrame({key: [k[0]], "records": [n], "average": [average]})
 
     return events.groupBy(key).applyInPandasWithState(update, f"{key} string, records long, average double", "average double, n long", "update", "NoTimeout")
+
+
+def stage_base(key: Column) -> Column:
+    """What a stage is called by: two parts of a judge's key, one of any other."""
+    return F.when(key.startswith("judge:"), F.substring_index(key, ":", 2)).otherwise(F.substring_index(key, ":", 1))

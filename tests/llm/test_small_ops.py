@@ -252,7 +252,7 @@ def test_copies_meet_under_one_key(spark):
     df = np.zeros(1 << packing.TERM_BITS)
     doc, term, _, _ = packing.terms_of(packing.split_of(pa.array(texts + near)))
     df += np.bincount(term, minlength=len(df))
-    key = packing.keys_of(doc, term, df, packing.idf_of(df, 400), 400, 400)
+    key = packing.keys_of(doc, term, packing.idf_of(df, 400), 400, 400)
     assert (key[:200] == key[200:]).mean() > 0.9 and len(set(key[:200].tolist())) > 40
 
 

@@ -100,21 +100,23 @@ def statistics(texts: DataFrame) -> tuple[np.ndarray, int, float]:
     return df, docs, total / max(1, docs)
 
 
-def keys_of(doc: np.ndarray, term: np.ndarray, df: np.ndarray, idf: np.ndarray, total: int, n: int) -> np.ndarray:
+def keys_of(doc: np.ndarray, term: np.ndarray, idf: np.ndarray, total: int, n: int) -> np.ndarray:
     """Each document's key: a draw from its terms that a COMMON share of all documents has, then a draw from all of them.
 
     Chances are in proportion to idf and the draws are the same for all documents, so the chance that two documents
     draw the same term is their idf-weighted Jaccard similarity over the terms in question.
     """
     key = np.zeros(n, dtype=np.int64)
-    for salt, some in ((1, (df[term] > total * COMMON) & (idf[term] > 0)), (2, idf[term] > 0)):
+    weight = idf[term]
+    common = float(idf_of(np.array([total * COMMON]), total)[0])
+    for salt, some in ((1, (weight > 0) & (weight < common)), (2, weight > 0)):
         won = np.zeros(n, dtype=np.int64)
         d, t = doc[some], term[some]
         if len(d):
             first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
             size = np.diff(np.concatenate((first, [len(d)])))
             bits = scrambled((t.astype(np.uint64) + np.uint64(salt << 40)) * np.uint64(0x9E3779B97F4A7C15))
-            race = -np.log(((bits >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / idf[t]
+            race = -np.log(((bits >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / weight[some]
             low = np.repeat(np.minimum.reduceat(race, first), size)
             at = np.flatnonzero(race == low)
             won[d[at[::-1]]] = t[at[::-1]] + 1
@@ -294,13 +296,13 @@ def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int
     df, total, mean = statistics(docs.select(F.col(text).alias("text")))
     if not total:
         return spark.createDataFrame([], PACKED)
-    sent = spark.sparkContext.broadcast((df.astype(np.float32), idf_of(df, total).astype(np.float32)))
+    sent = spark.sparkContext.broadcast(idf_of(df, total).astype(np.float32))
 
     def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = split_of(batch.column("text"))
         doc, term, _, _ = terms_of(texts)
         size = (np.diff(texts.offsets) + 1) * LAYOUT
-        return batch_of(_PLACE, keys_of(doc, term, *sent.value, total, batch.num_rows), batch.column("h"), batch.column("doc_id"), size)
+        return batch_of(_PLACE, keys_of(doc, term, sent.value, total, batch.num_rows), batch.column("h"), batch.column("doc_id"), size)
 
     places = written(arrow_map(picked.where(F.pmod("h", F.lit(LAYOUT)) == 0), placed, "key long, h long, doc_id long, size long", limit=SLICE_BYTES), "packing-places")
     begins = layout(places, block) or [(0, 0)]
@@ -314,7 +316,7 @@ def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = split_of(batch.column("text"))
             doc, term, tf, length = terms_of(texts)
-            key, h = keys_of(doc, term, *sent.value, total, batch.num_rows), np.asarray(batch.column("h"))
+            key, h = keys_of(doc, term, sent.value, total, batch.num_rows), np.asarray(batch.column("h"))
             ids, sizes = encoder.encode(batch.column("text"), texts)
             raw, at = ids.astype(small).tobytes(), np.concatenate(([0], np.cumsum(sizes))).tolist()
             wide = small.itemsize
@@ -341,7 +343,7 @@ def bm25_packing(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int
         cut = [len(x) // 4 for x in rows["terms"]]
         term, tf = np.frombuffer(b"".join(rows["terms"]), dtype="<u4"), np.frombuffer(b"".join(rows["tf"]), dtype="<u2")
         tokens = np.array([len(x) // np.dtype(width).itemsize + 1 for x in rows["ids"]])
-        shard = Shard(np.repeat(np.arange(len(cut)), cut), term, tf, np.array(rows["length"]), sent.value[1], mean)
+        shard = Shard(np.repeat(np.arange(len(cut)), cut), term, tf, np.array(rows["length"]), sent.value, mean)
         packer, out = Packer(window, first), []
         for d in reading_order(shard, tokens, window):
             out += packer.add(d, 0, int(tokens[d]))

@@ -167,9 +167,9 @@ class SegmentEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._hash = [np.zeros(0, dtype=np.uint64) for _ in range(2)]  # sorted; the second holds what is newer
-        self._key = [np.zeros((_WORDS, 0), dtype=np.uint64) for _ in range(2)]
-        self._start, self._size, self._used = ([np.zeros(0, dtype=np.int64) for _ in range(2)] for _ in range(3))
+        # two tables, each sorted by hash; the second holds what is newer
+        kinds = [np.uint64] * (1 + _WORDS) + [np.int32, np.uint16, np.uint8]
+        self._tables = [[np.zeros(0, dtype=k) for k in kinds] for _ in range(2)]  # hash, key, first place, number of ids, uses
         self._ids = np.zeros(0, dtype=np.uint32)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
@@ -273,49 +273,50 @@ class SegmentEncoder:
             raise _Collision
         # what is remembered is compared by its bytes too; long segments are never remembered
         begin, many, new = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), np.ones(len(distinct), dtype=bool)
-        for side in range(2):
-            at = np.searchsorted(self._hash[side], distinct)
-            at[at == len(self._hash[side])] = 0
-            here = np.flatnonzero(self._hash[side][at] == distinct) if len(self._hash[side]) else np.zeros(0, np.int64)
+        for held, *keys, first, size, used in self._tables:
+            at = np.searchsorted(held, distinct)
+            at[at == len(held)] = 0
+            here = np.flatnonzero(held[at] == distinct) if len(held) else np.zeros(0, np.int64)
             at = at[here]
-            for k in range(_WORDS):
-                if (self._key[side][k][at] != key[k][one[here]]).any():
+            for mine, other in zip(keys, key, strict=True):
+                if (mine[at] != other[one[here]]).any():
                     raise _Collision
-            self._used[side][at] += 1
-            begin[here], many[here], new[here] = self._start[side][at], self._size[side][at], False
+            used[at] = np.minimum(used[at], 254) + 1
+            begin[here], many[here], new[here] = first[at], size[at], False
         if new.any():
             new = np.flatnonzero(new)
             ids, sizes = self._encoded(data, start[one[new]], stop[one[new]])
             begin[new], many[new] = len(self._ids) + np.cumsum(sizes) - sizes, sizes
             self._ids = np.concatenate((self._ids, ids))
             new = new[(stop - start)[one[new]] <= _LONG]
-            self._merge(1, distinct[new], np.stack([w[one[new]] for w in key]), begin[new], many[new], np.ones(len(new), dtype=np.int64))
+            self._insert(1, [distinct[new], *(w[one[new]] for w in key), begin[new], many[new], np.ones(len(new))])
         return begin[code], many[code]
 
-    def _merge(self, side: int, h, key, start, size, used) -> None:
-        h, key = np.concatenate((self._hash[side], h)), np.concatenate((self._key[side], key), axis=1)
-        start, size, used = (np.concatenate(x) for x in zip((self._start[side], self._size[side], self._used[side]), (start, size, used), strict=True))
-        order = np.argsort(h, kind="stable")
-        self._hash[side], self._key[side], self._start[side], self._size[side], self._used[side] = h[order], key[:, order], start[order], size[order], used[order]
+    def _insert(self, side: int, rows: list[np.ndarray]) -> None:
+        """Puts rows in their places, one column at a time: no second table stands beside the first."""
+        order = np.argsort(rows[0], kind="stable")
+        table, place = self._tables[side], np.searchsorted(self._tables[side][0], rows[0][order])
+        for k, column in enumerate(rows):
+            table[k] = np.insert(table[k], place, column[order].astype(table[k].dtype))
 
     def _settle(self) -> None:
         """Joins what is newer to the rest when there is enough of it; drops what is too much."""
-        if len(self._hash[1]) < self._keep // 8:
+        if len(self._tables[1][0]) < self._keep // 8:
             return
-        self._merge(0, self._hash[1], self._key[1], self._start[1], self._size[1], self._used[1])
-        for x in (self._hash, self._start, self._size, self._used):
-            x[1] = x[1][:0]
-        self._key[1] = self._key[1][:, :0]
-        used, size = self._used[0], self._size[0]
-        rows = np.arange(len(used))
-        if len(used) > self._keep:
-            rows = np.flatnonzero(used > 1)
-            if len(rows) > self._keep // 2:
-                rows = np.sort(rows[np.argsort(-used[rows], kind="stable")[: self._keep // 2]])
-        # the ids of what has gone, and of long segments, go
-        self._ids = self._ids[_spread(self._start[0][rows], size[rows])]
-        self._hash[0], self._key[0], self._size[0] = self._hash[0][rows], self._key[0][:, rows], size[rows]
-        self._start[0], self._used[0] = np.cumsum(size[rows]) - size[rows], np.minimum(used[rows], 2 if len(rows) < len(used) else used.max(initial=1))
+        self._insert(0, self._tables[1])
+        self._tables[1] = [c[:0].copy() for c in self._tables[1]]
+        table = self._tables[0]
+        used = table[-1]
+        if len(used) <= self._keep:
+            return
+        rows = np.flatnonzero(used > 1)
+        if len(rows) > self._keep // 2:
+            rows = np.sort(rows[np.argsort(used[rows], kind="stable")[::-1][: self._keep // 2]])
+        for k, column in enumerate(table):
+            table[k] = column[rows]
+        first, size = table[-3].astype(np.int64), table[-2].astype(np.int64)
+        self._ids = self._ids[_spread(first, size)]  # those of what has gone, and of long segments, go
+        table[-3], table[-1] = (np.cumsum(size) - size).astype(np.int32), np.minimum(table[-1], 2)
 
     def _fast(self, data: np.ndarray, offsets: np.ndarray, split: Split | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, or none for lengths only; number of ids of each text)."""

@@ -25,7 +25,7 @@ from veilgraph.streaming import queue as Q
 from veilgraph.streaming import timing as W
 
 #: Modules of veilgraph.catalog whose queries belong to these.
-CATALOG = ["regions", "scoring", "curation", "service", "words"]
+CATALOG = ["regions", "scoring", "curation", "service", "words", "lines"]
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from veilgraph.functions import text as T
 from veilgraph.functions import vocab as V
-from veilgraph.operators.neighbors import left_neighbors, line_above, nearby
+from veilgraph.operators.neighbors import left_neighbors, line_above, nearby, settled
 from veilgraph.plans.scan import scan
+from veilgraph.session import stored
 
 CLEARLY_CLOSER = 0.5
 KEY = ["photo_id", "span_index"]
@@ -21,13 +22,17 @@ def judged(spans: DataFrame) -> DataFrame:
     within reach: one side alone decides, the clearly closer of two does, otherwise the hit is for review. Text that
     was not read well enough gives a region without its text, for review.
     """
-    base = spans.withColumn("normal", T.normalized(F.col("text"))).withColumn("hits", scan(F.col("text")))
+    spans = settled(spans)
+    # the scan and the words of each span are used several times: written once
+    found = spans.withColumn("normal", T.normalized(F.col("text"))).withColumn("hits", scan(F.col("text")))
+    found = found.withColumn("words", T.words_in(F.col("text"))).withColumn("ends", T.edge_context_word(F.col("text"))).withColumn("starts", T.edge_context_word(F.col("text"), at_end=False))
+    base = stored(found.select(*KEY, "conf", "normal", "hits", "words", "ends", "starts"), "scanned")
     hits = base.select(*KEY, "conf", "normal", F.posexplode("hits").alias("seq", "h")).select(*KEY, "conf", "normal", "seq", "h.kind", "h.hit")
     default = F.create_map(*(F.lit(x) for pair in V.DEFAULT_SEVERITY.items() for x in pair))
     hits = hits.withColumn("certainty", T.certainty(F.col("conf"))).withColumn("fallback", F.coalesce(default[F.col("kind")], F.lit("review")))
 
     # labels of spans: at their end, at their start, and of the nearest span on the left
-    ends = base.select(*KEY, T.edge_context_word(F.col("text")).alias("ends"), T.edge_context_word(F.col("text"), at_end=False).alias("starts"))
+    ends = base.select(*KEY, "ends", "starts")
     left = left_neighbors(spans).where("rank = 1").select("photo_id", F.col("i").alias("span_index"), "j")
     of_left = left.join(ends.select("photo_id", F.col("span_index").alias("j"), F.col("ends").alias("left_ends")), ["photo_id", "j"]).drop("j")
     above = line_above(spans).select("photo_id", F.col("i").alias("span_index"), "j")
@@ -44,7 +49,7 @@ def judged(spans: DataFrame) -> DataFrame:
     hits = hits.withColumn("prefix_label", prefix).join(labels, KEY, "left").withColumn("label", F.coalesce("prefix_label", "left_ends", "inherited")).drop("prefix_label", "left_ends", "inherited")
 
     # words within reach, with their least distance
-    words = base.select(*KEY, "hits", T.words_in(F.col("text")).alias("w"))
+    words = base.select(*KEY, "hits", F.col("words").alias("w"))
     words = words.select(*KEY, F.col("w.personal").alias("personal"), F.when(F.size("hits") > 0, F.array().cast("array<string>")).otherwise(F.col("w.public")).alias("public"))
     around = nearby(spans).select("photo_id", F.col("i").alias("span_index"), "j", "distance").join(words.select("photo_id", F.col("span_index").alias("j"), "personal", "public"), ["photo_id", "j"])
     own_text = F.expr("concat(substring(normal, 1, instr(normal, hit) - 1), ' ', substring(normal, instr(normal, hit) + length(hit)))")

@@ -7,10 +7,13 @@ costs about n times the neighbours a line has.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgraph.functions import geometry as G
+from veilgraph.session import stored
 
 BAND = 256
 RADIUS_EM, LINK_EM = 6.0, 2.5
@@ -37,10 +40,30 @@ def pairs(spans: DataFrame, up: Column, down: Column) -> DataFrame:
     return met.where((F.col("i") != F.col("j")) & (F.col("band") == F.greatest("lo_a", "lo_b"))).select("photo_id", "i", "j", "a", "b")
 
 
+#: What settled() has written, by the spans it has given back.
+_SETTLED: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def settled(spans: DataFrame) -> DataFrame:
+    """The spans as a table in the shared folder, with their neighbours as tables beside it: nearby(), left_neighbors()
+    and line_above() of what this returns read them, instead of joining the spans anew each time."""
+    if spans in _SETTLED:
+        return spans
+    kept = stored(spans, "spans")
+    wide = F.greatest(F.col("a.h"), F.lit(12)) * RADIUS_EM
+    met = stored(pairs(kept, wide, wide), "pairs")  # wider than any of the three looks
+    _SETTLED[kept] = met
+    return kept
+
+
+def _pairs(spans: DataFrame, up: Column, down: Column) -> DataFrame:
+    return _SETTLED[spans] if spans in _SETTLED else pairs(spans, up, down)
+
+
 def nearby(spans: DataFrame) -> DataFrame:
     """(photo_id, i, j, distance): spans within six line heights of span i."""
     reach = F.greatest(F.col("a.h"), F.lit(12)) * RADIUS_EM
-    return pairs(spans, reach, reach).withColumn("distance", G.distance(F.col("a"), F.col("b"))).where(F.col("distance") <= reach).select("photo_id", "i", "j", "distance")
+    return _pairs(spans, reach, reach).withColumn("distance", G.distance(F.col("a"), F.col("b"))).where(F.col("distance") <= reach).select("photo_id", "i", "j", "distance")
 
 
 def left_neighbors(spans: DataFrame) -> DataFrame:
@@ -49,7 +72,7 @@ def left_neighbors(spans: DataFrame) -> DataFrame:
     gap = F.col("a.x") - (F.col("b.x") + F.col("b.w"))
     same = (mid <= F.least("a.h", "b.h") * 0.8) & (gap >= -4) & (gap <= F.greatest("a.h", "b.h") * 4)
     none = F.lit(0)
-    return pairs(spans, none, none).where(same).withColumn("gap", gap).select("photo_id", "i", "j", "gap", F.row_number().over(Window.partitionBy("photo_id", "i").orderBy("gap", "j")).alias("rank"))
+    return _pairs(spans, none, none).where(same).withColumn("gap", gap).select("photo_id", "i", "j", "gap", F.row_number().over(Window.partitionBy("photo_id", "i").orderBy("gap", "j")).alias("rank"))
 
 
 def line_above(spans: DataFrame, reach_em: float = 0.9) -> DataFrame:
@@ -58,7 +81,7 @@ def line_above(spans: DataFrame, reach_em: float = 0.9) -> DataFrame:
     gap = F.col("a.y") - (F.col("b.y") + F.col("b.h"))
     above = (F.col("b.y") + F.col("b.h") / 2) < (F.col("a.y") + F.col("a.h") / 2) - h * 0.5
     fits = above & (F.abs(F.col("b.x") - F.col("a.x")) <= h * 1.5) & (gap >= h * -0.35) & (gap <= h * reach_em)
-    found = pairs(spans, F.col("a.h") * reach_em + 1, F.lit(0)).where(fits).withColumn("gap", gap)
+    found = _pairs(spans, F.col("a.h") * reach_em + 1, F.lit(0)).where(fits).withColumn("gap", gap)
     return found.groupBy("photo_id", "i").agg(F.min(F.struct("gap", "j")).alias("m")).select("photo_id", "i", "m.j", "m.gap")
 
 

@@ -10,7 +10,8 @@ from veilgraph.functions import text as T
 from veilgraph.functions import vocab as V
 from veilgraph.operators.clusters import clusters
 from veilgraph.operators.judge import judged
-from veilgraph.operators.neighbors import left_neighbors, line_above, nearby
+from veilgraph.operators.neighbors import left_neighbors, line_above, nearby, settled
+from veilgraph.session import stored
 
 KEY = ["photo_id", "span_index"]
 FOUND = [*KEY, "kind", "evidence_text", "certainty", "severity", "label"]
@@ -195,12 +196,14 @@ def health_documents(spans: DataFrame, persons: DataFrame) -> DataFrame:
 
 def findings(spans: DataFrame, unlabelled: str = "context") -> DataFrame:
     """All text passes in their order: hits, labelled names, secrets, ID numbers, unlabelled names, promotion, birth dates."""
-    called, numbers = names(spans), id_numbers(spans)
-    first = relabelled(spans, judged(spans))
+    # what several passes read is written once: each plan stays small, and a lost executor costs little
+    spans = settled(spans)
+    called, numbers = stored(names(spans), "names"), stored(id_numbers(spans), "numbers")
+    first = stored(relabelled(spans, stored(judged(spans), "judged")), "hits")
     seen = first.select(*KEY, "kind", "severity").unionByName(numbers.select(*KEY, "kind", "severity"))
-    guessed = unlabelled_names(spans, called, seen, unlabelled)
+    guessed = stored(unlabelled_names(spans, called, seen, unlabelled), "guessed")
     every_name = called.unionByName(guessed)
-    beside = beside_names(spans, every_name)
+    beside = stored(beside_names(spans, every_name), "beside")
     passes = [promoted(first, beside), called, secrets(spans), numbers, guessed, birth_dates(spans, every_name, beside)]
     out = passes[0].select(*FOUND).withColumn("pass_no", F.lit(0))
     for n, p in enumerate(passes[1:], 1):

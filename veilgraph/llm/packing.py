@@ -66,6 +66,17 @@ def idf_of(df: np.ndarray, total: int) -> np.ndarray:
     return np.where(df > 1, np.log1p((total - df + 0.5) / (df + 0.5)), 0.0)
 
 
+def _sparse(counts: np.ndarray) -> bytes:
+    """Places and values of what is not zero, of up to 2 ** PART_BITS counts."""
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + counts[at].astype("<u8").tobytes()
+
+
+def _dense(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 10
+    return np.frombuffer(raw, dtype="<u2", count=n).astype(np.int64), np.frombuffer(raw, dtype="<u8", offset=2 * n).astype(np.int64)
+
+
 def statistics(texts: DataFrame) -> tuple[np.ndarray, int, float]:
     """(documents with each term, documents, mean words) over all rows of (text)."""
 
@@ -79,15 +90,15 @@ def statistics(texts: DataFrame) -> tuple[np.ndarray, int, float]:
                 docs, total = docs + len(length), total + int(length.sum())
         if docs:
             for k, part in enumerate(np.split(counts, len(counts) >> PART_BITS)):
-                yield batch_of(_COUNT, [k], [zlib.compress(part.astype("<u4").tobytes(), 1)], [docs if k == 0 else 0], [total if k == 0 else 0])
+                yield batch_of(_COUNT, [k], [_sparse(part)], [docs if k == 0 else 0], [total if k == 0 else 0])
         released()
 
     def summed(part: pa.Table) -> pa.Table:
-        out = np.zeros(1 << PART_BITS, dtype=np.uint64)
+        out = np.zeros(1 << PART_BITS, dtype=np.int64)
         for raw in part.column("counts"):
-            data = zlib.decompress(raw.as_py())
-            out += np.frombuffer(data, dtype="<u4" if len(data) == 4 << PART_BITS else "<u8")
-        return pa.table([part.column("part")[:1], [zlib.compress(out.tobytes(), 1)], [sum(part.column("docs").to_pylist())], [sum(part.column("words").to_pylist())]], schema=_COUNT)
+            at, n = _dense(raw.as_py())
+            out[at] += n
+        return pa.table([part.column("part")[:1], [_sparse(out)], [sum(part.column("docs").to_pylist())], [sum(part.column("words").to_pylist())]], schema=_COUNT)
 
     kind = "part int, counts binary, docs long, words long"
     # a part's counts meet in two steps, some tasks' at a time
@@ -95,7 +106,8 @@ def statistics(texts: DataFrame) -> tuple[np.ndarray, int, float]:
     df = np.zeros(1 << TERM_BITS, dtype=np.float64)
     docs = total = 0
     for r in some.groupBy("part").applyInArrow(summed, kind).collect():
-        df[r["part"] << PART_BITS : (r["part"] + 1) << PART_BITS] = np.frombuffer(zlib.decompress(r["counts"]), dtype="<u8")
+        at, n = _dense(r["counts"])
+        df[(r["part"] << PART_BITS) + at] = n
         docs, total = docs + r["docs"], total + r["words"]
     return df, docs, total / max(1, docs)
 

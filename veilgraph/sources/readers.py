@@ -43,8 +43,11 @@ def register_backend(name: str, read: Backend) -> None:
     _BACKENDS[name] = read
 
 
-def spans_of_images(images: DataFrame, read: Backend) -> DataFrame:
-    """binaryFile rows -> spans, dropping blank text and negative confidence; an unreadable image gives none."""
+def spans_of_images(images: DataFrame, read: Backend | str) -> DataFrame:
+    """binaryFile rows -> spans, dropping blank text and negative confidence; an unreadable image gives none.
+
+    `read` is a backend or the name under which one was registered."""
+    read = _BACKENDS[read] if isinstance(read, str) else read
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

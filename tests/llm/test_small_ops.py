@@ -124,6 +124,32 @@ def test_knn_joins_groups_that_need_the_same_rows_only():
     assert knn.joined_groups(own, first, counts, 1.0).tolist() == [0, 1, 2, 2]
 
 
+@pytest.mark.parametrize("top", [3, 1000, 10**5, 10**9])
+def test_knn_picks_the_best_without_sorting_scores(monkeypatch, top):
+    """Ties and own ids over several runs, in floats, doubles and integers."""
+    rng = np.random.default_rng(top)
+    x, q = rng.integers(-top, top + 1, (300, 3)), rng.integers(-top, top + 1, (9, 3))
+    x[::2] = x[0]
+    ids, asked = np.sort(rng.integers(0, 300, 300)), rng.integers(0, 303, 9)
+    kind = knn.exact_kind(q, x)
+    assert kind == {3: np.float32, 1000: np.float32, 10**5: np.float64, 10**9: np.int64}[top]
+    want = []
+    for i in range(9):
+        best = sorted((-int(x[j] @ q[i]), j) for j in range(300) if ids[j] != asked[i])[:7]
+        want += [(i, j, -s) for s, j in best]
+    monkeypatch.setattr(np, "argsort", None)
+    got = knn.nearest(q.astype(kind), asked, x.astype(kind), ids, 7)
+    assert list(zip(*(c.tolist() for c in got), strict=True)) == want
+
+
+@pytest.mark.parametrize("part", ["float", "double"])
+def test_knn_vectors_that_take_part(spark, part):
+    inf, nan = float("inf"), float("nan")
+    rows = [(0, [0.5, -0.001]), (1, []), (2, None), (3, [None]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [1.0, inf]), (7, [-inf, 1.0]), (8, [nan, None, inf]), (None, [1.0])]
+    got = knn.quantized(spark.createDataFrame(rows, f"vec_id long, embedding array<{part}>"))
+    assert sorted(map(tuple, got.collect())) == [(0, [128, -1]), (1, [])]
+
+
 def test_knn_query_equals_its_sql(spark, sf_dir):
     for t in ("embeddings",):
         duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")

@@ -21,16 +21,18 @@ PIVOTS, REDUCERS = (32, 512), 16
 DATA_BLOCK, QUERY_BLOCK, TILE = 8192, 16_384, 512
 #: Steps in which a cell's distances are counted. Groups are joined if the joint one needs at most WIDER times the rows of the larger.
 STEPS, WIDER = 64, 1.25
+#: Rows of which one stands for all until it is picked.
+RUN = 64
 _DEALT = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.int64())), ("cell", pa.int32()), ("dist", pa.float64())])
 _HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def quantized(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
     """(vec_id, v): floor(scale * x) of each component. Rows whose id or vector is null, or that hold a null or non-finite component, take no part."""
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    wide = F.transform(F.col(embedding), lambda x: x.cast("double"))
-    kept = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), wide.alias("x")).where("vec_id is not null and x is not null")
-    return kept.where(~F.exists("x", bad)).select("vec_id", F.transform("x", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    finite = ~F.isnan(F.array_max("x")) & (F.array_max("x") < float("inf")) & (F.array_min("x") > float("-inf"))
+    kept = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("x")).where("vec_id is not null and x is not null")
+    kept = kept.where(~F.exists("x", F.isnull) & F.coalesce(finite, F.lit(True)))  # an empty vector has no largest component
+    return kept.select("vec_id", F.transform("x", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -48,24 +50,40 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in doubles (BLAS) where every partial sum stays below 2**53."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
-    return (q.astype(float) @ x.astype(float).T).astype(np.int64) if top < 2**53 else q @ x.T
+def exact_kind(q: np.ndarray, x: np.ndarray) -> type:
+    """The narrowest kind in which every inner product is exact: no partial sum exceeds the product of the norms."""
+    norm = lambda v: float(np.sqrt(np.square(v.astype(float)).sum(1).max(initial=0)))
+    top = norm(q) * norm(x) * (1 + 1e-9)
+    return np.float32 if top < 2**24 else np.float64 if top < 2**53 else np.int64
 
 
 def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int):
-    """(query index, data index, score) of each query's k best by (score desc, id asc); rows with the query's own id are left out."""
-    order = np.argsort(x_ids, kind="stable")
-    x, x_ids = x[order], x_ids[order]
-    score = products(q, x)
-    low = -np.iinfo(np.int64).max  # not the least number: it is its own negative and would sort first
-    score[q_ids[:, None] == x_ids[None, :]] = low
-    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(len(q)), best.shape[1])
-    cols, got = best.ravel(), np.take_along_axis(score, best, 1).ravel()
+    """(query index, data index, score) of each query's k best by (score desc, id asc); rows with the query's own id are left out.
+
+    x stands in ascending order of x_ids. Scores are not sorted: of each run of RUN rows only the best is compared,
+    and k times the first run that holds the best score gives its first row, which has the smallest id.
+    """
+    n, runs, asks = len(x), -(-len(x) // RUN), np.arange(len(q))
+    score = np.empty((runs * RUN, len(q)), dtype=q.dtype)
+    np.matmul(x, q.T, out=score[:n])
+    low = -np.inf if score.dtype.kind == "f" else -np.iinfo(np.int64).max
+    score[n:] = low
+    first, last = np.searchsorted(x_ids, q_ids, "left"), np.searchsorted(x_ids, q_ids, "right")
+    own = np.repeat(asks, last - first)
+    score[np.arange(len(own)) - np.repeat(np.cumsum(last - first) - last, last - first), own] = low
+    score = score.reshape(runs, RUN, len(q))
+    top, cols, got = score.max(1), [], []
+    for _ in range(min(k, n)):
+        run = top.argmax(0)
+        some = score[run, :, asks]
+        at = some.argmax(1)
+        got.append(some[asks, at])
+        cols.append(run * RUN + at)
+        score[run, at, asks] = some[asks, at] = low
+        top[run, asks] = some.max(1)
+    cols, got, rows = np.array(cols).T.ravel(), np.array(got).T.ravel(), np.repeat(asks, min(k, n))
     keep = got > low
-    return rows[keep], order[cols[keep]], got[keep]
+    return rows[keep], cols[keep], got[keep].astype(np.int64)
 
 
 def joined_groups(need: np.ndarray, group: np.ndarray, counts: np.ndarray, step: float) -> np.ndarray:
@@ -109,6 +127,8 @@ def voronoi_knn(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int | N
     so no task holds a whole cell; groups of queries whose bounds exclude little share their rows.
     """
     spark = data.sparkSession
+    # rows of the driver as an Arrow table: no Python worker has to unpickle them
+    small = lambda rows, **kinds: spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds)))
     sizes = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("top")).first()
     dim = max(sizes["dim"] or 0, queries.agg(F.max(F.size("v"))).first()[0] or 0, 1)
     top = sizes["top"] or 0.0
@@ -127,9 +147,10 @@ def voronoi_knn(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int | N
                 v = matrix(b.column("v"), dim).astype(float)
                 norm = (v * v).sum(1)
                 up = np.sqrt(np.maximum(top - norm, 0)) if lifted else np.zeros(len(v))
-                d = np.sqrt(np.maximum(norm[:, None] + up[:, None] ** 2 + top - 2 * (v @ p.T + np.outer(up, lift)), 0))
-                cell = d.argmin(1) if len(d) else np.zeros(0, dtype=int)
-                yield batch_of(_DEALT, b.column("vec_id"), b.column("v"), cell.astype(np.int32), d[np.arange(len(d)), cell])
+                near = v @ p.T + np.outer(up, lift)
+                cell = near.argmax(1) if len(v) else np.zeros(0, dtype=int)
+                dist = np.sqrt(np.maximum(norm + up**2 + top - 2 * near[np.arange(len(v)), cell], 0))
+                yield batch_of(_DEALT, b.column("vec_id"), b.column("v"), cell.astype(np.int32), dist)
 
         return run
 
@@ -163,11 +184,11 @@ def voronoi_knn(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int | N
     asked = {g: sum(radius[i][1] for i in radius if group[i] == g) for g in set(group.tolist()) if g >= 0}
     need = {(j, g): (float(near[group == g, j].min()), float(far[group == g, j].max())) for g in asked for j in range(len(p))}
     # bounded by pivots * groups rows
-    wanted = F.broadcast(spark.createDataFrame([(j, g, lo, hi) for (j, g), (lo, hi) in need.items()], "cell int, g int, lo double, hi double"))
+    wanted = F.broadcast(small([(j, g, lo, hi) for (j, g), (lo, hi) in need.items()], cell=pa.int32(), g=pa.int32(), lo=pa.float64(), hi=pa.float64()))
     sent = x.join(wanted, "cell").where("dist >= lo and dist <= hi")
     filled = {r["g"]: r["count"] for r in sent.groupBy("g").count().collect()}
-    cuts = F.broadcast(spark.createDataFrame([(g, -(-filled.get(g, 1) // block), -(-n // query_block)) for g, n in asked.items()], "g int, nb long, nq long"))
-    homes = F.broadcast(spark.createDataFrame([(j, int(g)) for j, g in enumerate(group) if g >= 0], "cell int, g int"))
+    cuts = F.broadcast(small([(g, -(-filled.get(g, 1) // block), -(-n // query_block)) for g, n in asked.items()], g=pa.int32(), nb=pa.int64(), nq=pa.int64()))
+    homes = F.broadcast(small([(j, int(g)) for j, g in enumerate(group) if g >= 0], cell=pa.int32(), g=pa.int32()))
     left = sent.join(cuts, "g").select("vec_id", "v", "g", F.pmod(F.xxhash64("vec_id"), F.col("nb")).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("qb"))
     right = q.join(homes, "cell").join(cuts, "g").select("vec_id", "v", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("b"), F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("nq")).alias("qb"))
 
@@ -175,7 +196,10 @@ def voronoi_knn(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int | N
         ids, qids = np.asarray(some.column("vec_id")), np.asarray(asks.column("vec_id"))
         if len(ids) == 0 or len(qids) == 0:
             return _HIT.empty_table()
-        x, q, out = matrix(some.column("v"), dim), matrix(asks.column("v"), dim), []
+        order = np.argsort(ids, kind="stable")
+        x, q, ids, out = matrix(some.column("v"), dim)[order], matrix(asks.column("v"), dim), ids[order], []
+        kind = exact_kind(q, x)
+        x, q = x.astype(kind), q.astype(kind)
         for at in range(0, len(q), TILE):
             r, c, s = nearest(q[at : at + TILE], qids[at : at + TILE], x, ids, k)
             out.append((qids[r + at], ids[c], s))
